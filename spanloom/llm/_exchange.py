@@ -11,6 +11,7 @@ Answers are written to the shared folder, so a lost executor costs at most the r
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Callable
 
@@ -70,6 +71,13 @@ def ask(chunk: int, kind: int, keys: np.ndarray, values: list[np.ndarray], bucke
     return rows
 
 
+def release(spark) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished rounds: it acts on frames that
+    the driver's collectors have found unreachable."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_table(rows: list[tuple], chunk_first: bool = True) -> pa.Table:
     c, k, b, body = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table({"chunk": pa.array(c, pa.int64()), "kind": pa.array(k, pa.int32()), "bucket": pa.array(b, pa.int32()), "body": pa.array(body, pa.binary())})
@@ -154,6 +162,7 @@ class Corpus:
         answers = stored(merge(self.asking(make), reply, self.buckets), f"{self.name}-answers")
         s = answers.agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
         self.kept.append(answers)
+        release(answers.sparkSession)
         answers = answers.select("chunk", "kind", "bucket", "body")
         self.answers = answers if self.answers is None else self.answers.unionByName(answers)
         return s[0], s[1]

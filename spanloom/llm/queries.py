@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spanloom.session import table
 
 
@@ -11,5 +13,45 @@ def op1_suffix_tree_lm(spark, sf_dir):
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_tree_lm": op1_suffix_tree_lm}
+def op2_min_bin_slack(spark, sf_dir):
+    import public_tokenizers
+
+    from spanloom.llm.bin_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op3_compression_bands(spark, sf_dir):
+    from spanloom.llm.compression_bands import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op4_relative_lz(spark, sf_dir):
+    from spanloom.llm.relative_lz import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_simhash_pivots(spark, sf_dir):
+    from spanloom.llm.simhash_pivots import hex_digits, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op8_quality_qda(spark, sf_dir):
+    from spanloom.llm.quality_qda import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_bitmask(spark, sf_dir):
+    from spanloom.llm.language_bitmask import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask)}
 ORACLE_SQL: dict[str, str] = {}

@@ -32,7 +32,7 @@ from spanloom.llm._exchange import Corpus, answered, ask, pack, unpack
 from spanloom.llm._words import Words, mix, remainder, texts_of
 
 DEPTH, MIN_COUNT, PENALTY = 2, 12, 1.0
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 HELD_OUT = (5, 1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
 
@@ -87,7 +87,7 @@ class Level:
 
     def __init__(self, at: np.ndarray, keys: np.ndarray):
         self.at = at
-        self.key, self.first, self.which = np.unique(keys, return_index=True, return_inverse=True)
+        self.key, self.first, self.which = (x if x.dtype == np.uint64 else x.astype(np.int32) for x in np.unique(keys, return_index=True, return_inverse=True))
 
 
 class State:
@@ -95,11 +95,11 @@ class State:
 
     def __init__(self, payload: bytes):
         self.ids, self.none, train, self.counts, self.words, index = unpack(payload)
-        self.index = index.astype(np.int64)
+        self.index = index.astype(np.int32)
         self.train_doc = train.astype(bool)
         self.train = np.repeat(self.train_doc, self.counts)
         ends = np.cumsum(self.counts)
-        place = np.arange(len(index)) - np.repeat(ends - self.counts, self.counts)
+        place = np.arange(len(index), dtype=np.int32) - np.repeat((ends - self.counts).astype(np.int32), self.counts)
         self.place = place  # words before a token in its document
         self.levels: list[Level] = []
 
@@ -113,7 +113,7 @@ class State:
         usable = np.zeros(len(self.index), bool)
         usable[1:] = count_before[:-1] >= min_count
         usable &= self.place >= k
-        at = np.flatnonzero(usable)
+        at = np.flatnonzero(usable).astype(np.int32)
         self.levels.append(level := Level(at, self.gram(at, k)))
         return level
 
