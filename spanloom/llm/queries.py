@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.llm import spaced_seeds
 from spanloom.session import table
 
 
@@ -35,6 +36,12 @@ def op4_relative_lz(spark, sf_dir):
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_spaced_seeds(spark, sf_dir):
+    from spanloom.llm.spaced_seeds import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_pivots(spark, sf_dir):
     from spanloom.llm.simhash_pivots import hex_digits, near_duplicates
 
@@ -53,5 +60,11 @@ def op9_language_bitmask(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark, sf_dir):
+    from spanloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle()}
