@@ -36,6 +36,12 @@ def op4_relative_lz(spark, sf_dir):
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_line_neighbourhood(spark, sf_dir):
+    from spanloom.llm.line_neighbourhood import digest, drop_near_lines
+
+    return digest(drop_near_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_spaced_seeds(spark, sf_dir):
     from spanloom.llm.spaced_seeds import overlaps
 
@@ -66,5 +72,5 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle()}
