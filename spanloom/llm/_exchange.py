@@ -18,11 +18,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import stored
+from spanloom.session import discard, fresh_path, remove, stored
 
 BUCKET_BYTES = 16 << 20
 ASK = "chunk long, kind int, bucket int, body binary"
@@ -121,18 +120,23 @@ def merge(asked: DataFrame, reply: Callable, buckets: int) -> DataFrame:
 
 
 class Corpus:
-    """Documents packed into chunks, dealt once; rounds run against them."""
+    """Documents packed into chunks, written once; rounds run against them."""
 
     def __init__(self, packed: DataFrame, name: str):
         """packed: chunk long, size long, payload binary; one row is a chunk."""
         self.name = name
         self.answers: DataFrame | None = None
         self.kept: list[DataFrame] = []
-        self.table = stored(packed, f"{name}-chunks")
-        n, size = self.table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        spark = packed.sparkSession
+        slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = fresh_path(spark, f"{name}-chunks")
+        self.table = "spanloom_" + self.path.rpartition("-")[2]
+        # bucketed by chunk: rounds join answers to chunks without moving the chunks again
+        packed.write.option("path", self.path).bucketBy(slots, "chunk").saveAsTable(self.table)
+        chunks = spark.table(self.table)
+        size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         self.buckets = max(1, -(-int(size) // BUCKET_BYTES))
-        slots = max(1, min(int(n), 4 * self.buckets))
-        self.chunks = self.table.drop("size").repartition(slots, "chunk").persist(StorageLevel.DISK_ONLY)
+        self.chunks = chunks.drop("size")
 
     def asking(self, make: Callable) -> DataFrame:
         """make(chunk, payload, answers table) -> rows of ask()."""
@@ -169,9 +173,10 @@ class Corpus:
 
     def finish(self, make: Callable, schema: str) -> DataFrame:
         """The last pass; its rows are written, then the chunks and answers go."""
-        from spanloom.session import discard
-
         out = stored(self.each(make, schema), f"{self.name}-result")
-        self.chunks.unpersist()
-        discard(self.table, *self.kept)
+        spark = out.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(spark, self.path)
+        discard(*self.kept)
+        release(spark)
         return out
