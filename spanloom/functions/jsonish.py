@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unfenced(x: Column) -> Column:
@@ -25,7 +26,7 @@ def parse_object(x: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced(texts: pd.Series) -> pd.Series:
     """The first balanced object that parses, strings and escapes respected; regular expressions cannot say this."""
 
@@ -61,10 +62,10 @@ def bracketed(x: Column) -> Column:
     """span, label, decision of each ``span text [LABEL] (decision)``."""
     pattern = r"([^\[\]()]*)\[([^\]]*)\]\s*(?:\(([^)]*)\))?"
     groups = [F.regexp_extract_all(x, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("s", "l", "d"), strict=True))), lambda a: F.struct(F.trim(a["0"]).alias("span"), F.trim(a["1"]).alias("label"), F.lower(F.trim(a["2"])).alias("decision")))
+    return F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("s", "l", "d"), strict=True))), lambda a: F.struct(F.trim(a["s"]).alias("span"), F.trim(a["l"]).alias("label"), F.lower(F.trim(a["d"])).alias("decision")))
 
 
 def listed(x: Column) -> Column:
     """A JSON list, or parts split at ; | and comma."""
-    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[;|,]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[;|,]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.trim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), parts)).otherwise(parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def located(text: Column, span: Column) -> Column:
@@ -24,7 +25,7 @@ def nth_start(text: Column, span: Column, n: Column) -> Column:
     return F.when((F.size(pieces) < 2) | (F.coalesce(span, F.lit("")) == ""), -1).otherwise(before + k * F.length(span))
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 def token_offsets(texts: pd.Series) -> pd.Series:
     """Places of word tokens; the built-in expressions give matches but not their offsets."""
     import re
