@@ -31,7 +31,7 @@ from spanloom.llm._stats import lines_of
 from spanloom.llm._words import _BASE, _UNBASE, Words, _power, buffers, mix, slices
 
 MIN_WORDS = 6
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _NO_DOC = np.iinfo(np.int64).min
 _LENGTH, _SIDE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _u64 = np.uint64
