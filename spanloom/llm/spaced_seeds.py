@@ -25,6 +25,8 @@ SPAN = 12
 #: Tokens compared on each side of a hit, the least number compared, and the least equal share.
 MARGIN, MIN_ALIGNED, MIN_EQUAL = 6, 13, 0.75
 BROADCAST_SEEDS = 200_000
+#: Places in a piece of a text.
+SEGMENT = 64
 
 
 def tokens(text: Column) -> Column:
@@ -35,9 +37,18 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda t: F.xxhash64(t))
 
 
+def segments(rows: DataFrame, *keep: str) -> DataFrame:
+    """Token hashes in short overlapping pieces, so that a place's row carries its surroundings and
+    not the whole text: h, first and last (the piece's own places; every place belongs to one piece)."""
+    lead = lambda s: F.least(s, F.lit(MARGIN))
+    piece = lambda s: F.struct(F.slice("h", s - lead(s) + 1, lead(s) + SEGMENT + SPAN + MARGIN).alias("h"), lead(s).alias("first"))
+    cut = rows.filter(F.size("h") >= SPAN).select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - SPAN, F.lit(SEGMENT)), piece)).alias("s"))
+    return cut.select(*keep, "s.h", "s.first", F.least(F.col("s.first") + SEGMENT - 1, F.size("s.h") - SPAN).alias("last"))
+
+
 def seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows with column h (token hashes) to one row per place and mask: place, mask, seed."""
-    placed = rows.filter(F.size("h") >= SPAN).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("place"))
+    """rows with h, first and last to one row per place and mask: place, mask, seed."""
+    placed = rows.select(*keep, "h", F.explode(F.sequence("first", "last")).alias("place"))
     per_mask = [F.struct(F.lit(m).alias("mask"), F.xxhash64(F.lit(m), *(F.col("h")[F.col("place") + o] for o in mask)).alias("seed")) for m, mask in enumerate(MASKS)]
     return placed.select(*keep, "h", "place", F.inline(F.array(*per_mask)))
 
@@ -45,11 +56,11 @@ def seeds(rows: DataFrame, *keep: str) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits, best_equal, best_aligned for each document and item that overlap."""
     items = benchmark.select("item_id", _hashed(tokens(F.col("text"))).alias("h")).filter(F.size("h") >= MIN_ALIGNED)
-    asked = seeds(items, "item_id").select("item_id", F.col("h").alias("item"), F.col("place").alias("item_place"), "mask", "seed")
+    asked = seeds(segments(items, "item_id"), "item_id").select("item_id", F.col("h").alias("item"), F.col("place").alias("item_place"), "mask", "seed")
     if asked.count() <= BROADCAST_SEEDS:
         asked = F.broadcast(asked)
     texts = docs.select("doc_id", _hashed(tokens(F.col("text"))).alias("h"))
-    met = seeds(texts, "doc_id").join(asked, ["mask", "seed"])
+    met = seeds(segments(texts, "doc_id"), "doc_id").join(asked, ["mask", "seed"])
     # the aligned stretch: from back tokens before the hit to ahead tokens after its start
     back = F.least(F.lit(MARGIN), F.col("place"), F.col("item_place"))
     ahead = F.least(F.lit(SPAN + MARGIN), F.size("h") - F.col("place"), F.size("item") - F.col("item_place"))
