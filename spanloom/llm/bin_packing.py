@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import buffers
+from spanloom.llm._words import buffers, slices
 from spanloom.session import stored
 
 CAPACITY, CLOSING = 4096, 1
@@ -43,19 +44,20 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def learn(self, texts: bytes) -> None:
+        """Encodes the words of many texts that are not known yet, in one call."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(set(texts.split()).difference(self.known))
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
     def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        """32-bit ids of a text whose words have been learned."""
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -71,18 +73,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, encode = TaskContext.get().partitionId(), Counter(), encoder(tokenizer).ids
+        part, seen, words = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
         for batch in batches:
-            data, bounds = buffers(batch.column(1))
-            raw, at = data.data, bounds.tolist()
+            ids_of = batch.column(0).to_pylist()
             rows = []
-            for doc, a, b in zip(batch.column(0).to_pylist(), at, at[1:], strict=False):
-                ids = encode(bytes(raw[a:b])) + end
-                for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[i : i + 4 * capacity]
-                    n = len(cut) // 4
-                    rows.append((doc, k, i // 4, n, zlib.crc32(cut), cut if with_ids else None, part, seen[n]))
-                    seen[n] += 1
+            for lo, hi, data, bounds in slices(*buffers(batch.column(1))):
+                raw, at = data.tobytes(), bounds.tolist()
+                words.learn(b" ".join(raw[a:b] for a, b in zip(at, at[1:], strict=False)))
+                for doc, a, b in zip(ids_of[lo:hi], at, at[1:], strict=False):
+                    ids = words.ids(raw[a:b]) + end
+                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[i : i + 4 * capacity]
+                        n = len(cut) // 4
+                        rows.append((doc, k, i // 4, n, zlib.crc32(cut), cut if with_ids else None, part, seen[n]))
+                        seen[n] += 1
             if rows:
                 d, k, s, n, c, t, p, r = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.binary()), pa.array(p, pa.int32()), pa.array(r, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "rank"])
