@@ -28,7 +28,7 @@ from spanloom.llm._words import buffers, slices
 from spanloom.session import stored
 
 CAPACITY, CLOSING = 4096, 1
-CACHE = 300_000
+CACHE = 900_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long"
 _tokenizers: dict = {}
 
