@@ -415,7 +415,7 @@ def o_char_grams(spark, sf_dir):
 
 @query(f"""WITH {fx.RT}, s AS (SELECT llm, score AS s, meaning_preserved AS y FROM rt WHERE meaning_preserved IS NOT NULL), k AS (SELECT llm, sum(y) AS p, sum(1 - y) AS q, sum(CASE WHEN s >= 0.5 THEN y ELSE 0 END) AS tp, sum(CASE WHEN s >= 0.5 THEN 1 - y ELSE 0 END) AS fp FROM s GROUP BY llm),
  a AS (SELECT x.llm, sum(CASE WHEN x.s > z.s THEN 1 WHEN x.s = z.s THEN 0.5 ELSE 0 END) AS area FROM s x JOIN s z ON x.llm = z.llm AND x.y = 1 AND z.y = 0 GROUP BY x.llm)
-SELECT llm, p + q AS n, round((tp + q - fp) / (p + q), 6) AS accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / p, 6) AS recall, round(2 * tp / (tp + fp + p), 6) AS f1, round(area / (p * q), 6) AS auroc FROM k JOIN a USING (llm)""")
+SELECT llm, p + q AS n, round((tp + q - fp) / (p + q), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(p, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(tp + fp + p, 0), 0), 6) AS f1, round(area / nullif(p * q, 0), 6) AS auroc FROM k LEFT JOIN a USING (llm)""")
 def o_metrics(spark, sf_dir):
     rt = fx.roundtrips(spark, sf_dir).select("llm", "score", F.col("meaning_preserved").alias("y"))
     m = evaluation.metrics(rt, ["llm"])
