@@ -47,8 +47,11 @@ def segments(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows with h, first and last to one row per place and mask: place, mask, seed."""
-    placed = rows.select(*keep, "h", F.explode(F.sequence("first", "last")).alias("place"))
+    """rows with h, first and last to one row per place and mask: h (the tokens compared around a hit
+    there), place (in that h), mask, seed."""
+    lead = lambda p: F.least(p, F.lit(MARGIN))
+    window = lambda p: F.struct(F.slice("h", p - lead(p) + 1, lead(p) + SPAN + MARGIN).alias("h"), lead(p).alias("place"))
+    placed = rows.select(*keep, F.inline(F.transform(F.sequence("first", "last"), window)))
     per_mask = [F.struct(F.lit(m).alias("mask"), F.xxhash64(F.lit(m), *(F.col("h")[F.col("place") + o] for o in mask)).alias("seed")) for m, mask in enumerate(MASKS)]
     return placed.select(*keep, "h", "place", F.inline(F.array(*per_mask)))
 
