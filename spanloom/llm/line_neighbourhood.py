@@ -61,7 +61,7 @@ def packer(text_at: int, id_at: int):
             null = batch.column(text_at).is_null()
             rest = batch.remove_column(text_at).append_column("_null", null)
             for lo, hi, data, bounds in slices(*buffers(batch.column(text_at))):
-                held.append((ids[lo:hi], np.diff(bounds), data, rest.slice(lo, hi - lo)))
+                held.append((ids[lo:hi], np.diff(bounds), data.copy(), rest.slice(lo, hi - lo)))
                 size += len(data) + 8 * (hi - lo)
                 if size >= CHUNK_BYTES:
                     yield row()
@@ -79,14 +79,21 @@ class Lines:
         at = int.from_bytes(payload[:8], "little")
         self.ids, lengths, self.raw = unpack(payload[8 : 8 + at])
         self.rest = payload[8 + at :]
-        w = Words(self.raw, np.concatenate([[0], np.cumsum(lengths)]), lower=True)
-        self.bounds = w.bounds
-        self.start, self.end, self.doc = lines_of(w)
+        self.bounds = np.concatenate([[0], np.cumsum(lengths)])
+        # slice by slice, as hashing takes many times a text's size
+        parts, words = [], 0
+        for lo, _, data, bounds in slices(self.raw, self.bounds):
+            w = Words(data, bounds, lower=True)
+            start, end, doc = lines_of(w)
+            first, last = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
+            parts.append((start + self.bounds[lo], end + self.bounds[lo], doc + lo, first + words, last - first, w.hashes()))
+            words += len(w.start)
+        if not parts:
+            parts = [(np.zeros(0, np.int64),) * 5 + (np.zeros(0, _u64),)]
+        self.start, self.end, self.doc, first, n, self.h = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
-        first, last = np.searchsorted(w.start, self.start), np.searchsorted(w.start, self.end)
-        self.long = np.flatnonzero(last - first >= min_words)
-        self.first, self.n = first[self.long], (last - first)[self.long]
-        self.h = w.hashes()
+        self.long = np.flatnonzero(n >= min_words)
+        self.first, self.n = first[self.long], n[self.long]
         self.prefix = self._prefix(self.h)
         self.key = mix(self._whole(self.prefix, self.first, self.n) + self.n.astype(_u64) * _LENGTH)
         self.line_doc = self.ids[self.doc[self.long]]
