@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text
-from spanloom.operators import evaluation, graph, relational, resolve, retrieval
+from spanloom.operators import evaluation, graph, relational, resolve, retrieval, schema, senses
 from spanloom.plans import fixtures as fx
 from spanloom.session import table
 
@@ -448,6 +448,89 @@ def o_cross_validated_models(spark, sf_dir):
     return relational.union_all(*out)
 
 
+# N, O, U: clusters, senses, cards and schemas
+
+
+def _mentions(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("E"), "label").alias("element"), "embedding", (F.col("vec_id") % 3 != 0).alias("positive"), F.concat(F.lit("role"), F.col("vec_id") % 2).alias("role"), F.concat(F.lit("head"), F.col("vec_id") % 5).alias("head"))
+
+
+@query()
+def o_average_linkage(spark, sf_dir):
+    return senses.linked(_mentions(spark, sf_dir), "element", "vec_id", "embedding", 0.6)
+
+
+@query()
+def n_senses(spark, sf_dir):
+    return senses.senses(_mentions(spark, sf_dir), "element", "vec_id", "embedding", "positive", "role", "head", 5, 0.6).select("element", "vec_id", "sense")
+
+
+_NODES = "nodes AS (SELECT information_model AS cluster_id, label AS node, information_model || doc_id % 2 AS source_model, llm, form_id AS form, count(*) AS n_mentions FROM spans GROUP BY ALL)"
+
+
+@query(f"""WITH {fx.RT}, {fx.ANN}, {_NODES}, u AS (SELECT DISTINCT cluster_id, node FROM nodes),
+edges AS (SELECT x.cluster_id AS c, CASE (length(x.node) + length(y.node)) % 3 WHEN 0 THEN 'near_equivalent' WHEN 1 THEN 'unsafe_to_merge' ELSE 'complementary' END AS relationship
+          FROM u x JOIN u y ON x.cluster_id = y.cluster_id AND x.node < y.node),
+s AS (SELECT cluster_id, sum(n_mentions)::BIGINT AS support, count(DISTINCT source_model) AS ns, count(DISTINCT llm) AS nl, count(DISTINCT form) AS nf, count(DISTINCT node) AS n_nodes FROM nodes GROUP BY ALL),
+e AS (SELECT c, count(*) FILTER (relationship = 'near_equivalent') AS n_equivalent, count(*) FILTER (relationship = 'unsafe_to_merge') AS n_unsafe FROM edges GROUP BY c)
+SELECT cluster_id, support, n_nodes, coalesce(n_equivalent, 0) AS n_equivalent, coalesce(n_unsafe, 0) AS n_unsafe,
+  concat_ws(';', CASE WHEN ns <= 1 THEN 'single_source_model_support' END, CASE WHEN nl <= 1 THEN 'single_llm_support' END, CASE WHEN nf <= 1 THEN 'single_form_support' END,
+    CASE WHEN coalesce(n_unsafe, 0) > 0 THEN 'unsafe_merge_warning_present' END, CASE WHEN coalesce(n_equivalent, 0) = 0 THEN 'singleton_or_no_explicit_equivalence_edge' END, CASE WHEN n_nodes > 5 THEN 'large_seed_cluster_review_boundary' END) AS flags
+FROM s LEFT JOIN e ON cluster_id = c""")
+def n_cards(spark, sf_dir):
+    s = fx.spans(spark, sf_dir)
+    nodes = s.groupBy(F.col("information_model").alias("cluster_id"), F.col("label").alias("node"), F.concat("information_model", F.col("doc_id") % 2).alias("source_model"), "llm", F.col("form_id").alias("form")).agg(F.count("*").alias("n_mentions"))
+    pairs = relational.pairs_within(nodes, "cluster_id", "node").select("a", "b", ((F.length("a") + F.length("b")) % 3).alias("r"))
+    edges = pairs.select("a", "b", F.when(F.col("r") == 0, "near_equivalent").when(F.col("r") == 1, "unsafe_to_merge").otherwise("complementary").alias("relationship"))
+    size = lambda c: F.size(c).cast("long")
+    return schema.cards(nodes, edges, "cluster_id").select("cluster_id", "support", size("nodes").alias("n_nodes"), size("equivalence_edges").alias("n_equivalent"), size("unsafe_merge_warnings").alias("n_unsafe"), F.array_join("quality_flags", ";").alias("flags"))
+
+
+@query(f"""WITH {fx.RT}, w AS (SELECT form_id, unnest(tk) AS t FROM rt), c AS (SELECT form_id, t, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT form_id, t, row_number() OVER (PARTITION BY form_id ORDER BY n DESC, t) AS r FROM c)
+SELECT form_id, coalesce(string_agg(t, ' ' ORDER BY t) FILTER (r <= 10 AND t NOT IN ({", ".join(f"'{x}'" for x in schema.ARTIFACTS)})), '') AS terms FROM k GROUP BY form_id""")
+def u_term_profile(spark, sf_dir):
+    rt = fx.roundtrips(spark, sf_dir).withColumn("suggested", F.lit(None).cast("array<string>"))
+    found = schema.term_profile(rt, "form_id", "suggested", "tk", 10).join(rt.filter(F.size("tk") > 0).select("form_id").distinct(), "form_id", "left_semi")
+    return found.select("form_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query(f"WITH {fx.RT} SELECT information_model, llm, count(*) AS n_rows, count(*) FILTER (length(original_text) > 0) AS n_eligible, count(*) FILTER (meaning_preserved = 1) AS n_preserved, count(*) FILTER (meaning_preserved = 0) AS n_not_preserved, round(avg(len(tk)), 6) AS mean_tokens FROM rt GROUP BY ALL")
+def u_corpus_summary(spark, sf_dir):
+    rt = fx.roundtrips(spark, sf_dir)
+    return rt.groupBy("information_model", "llm").agg(F.count("*").alias("n_rows"), F.count_if(F.length("original_text") > 0).alias("n_eligible"), F.count_if(F.col("meaning_preserved") == 1).alias("n_preserved"), F.count_if(F.col("meaning_preserved") == 0).alias("n_not_preserved"), r6(F.avg(F.size("tk"))).alias("mean_tokens"))
+
+
+@query(f"WITH {fx.RT} SELECT form_id, llm, round(avg(score) FILTER (condition = 'cond0'), 6) AS cond0, round(avg(score) FILTER (condition = 'cond1'), 6) AS cond1, round(avg(score) FILTER (condition = 'cond2'), 6) AS cond2 FROM rt GROUP BY ALL")
+def u_wide_conditions(spark, sf_dir):
+    names = ["cond0", "cond1", "cond2"]
+    wide = fx.roundtrips(spark, sf_dir).groupBy("form_id", "llm").pivot("condition", names).agg(F.avg("score"))
+    return wide.select("form_id", "llm", *(r6(F.col(c)).alias(c) for c in names))
+
+
+_FIELDS = "f AS (SELECT upper(lang) AS fold, 'E' || length(source) AS field_id, source, count(*) AS n FROM documents GROUP BY ALL)"
+
+
+@query(f"WITH {_FIELDS} SELECT fold, count(*) AS n_fields, CAST(to_json({{'schema_id': fold, 'fields': list({{'field_id': field_id, 'name': source, 'n': n}} ORDER BY n DESC, source)}}) AS VARCHAR) AS schema_json FROM f GROUP BY fold")
+def u_schema_emission(spark, sf_dir):
+    f = table(spark, sf_dir, "documents").groupBy(F.upper("lang").alias("fold"), F.concat(F.lit("E"), F.length("source")).alias("field_id"), "source").agg(F.count("*").alias("n"))
+    return schema.emit(f, "fold", [-F.col("n"), F.col("source")], field_id=F.col("field_id"), name=F.col("source"), n=F.col("n"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_distinct_ordered, ';') AS ids, array_to_string(list_filter(['ICO', 'DUO', 'ODRL', 'FHIR', 'FHIR_Consent'], lambda m: regexp_matches(prose, '(?i)\b' || m || '\b')), ';') AS models,
+  (doc_id % 3 = 0 OR doc_id % 4 = 1) AS allowed
+FROM (SELECT *, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS list_distinct_ordered
+      FROM (SELECT *, ['C' || (doc_id % 50 + 100)] || regexp_extract_all(prose, '(?:C\d{3,}|SG[_-]?\d+|field[_-]?\d+|cluster[_-]?\d+)', 0, 'i') AS ids
+            FROM (SELECT doc_id, 'see C' || (doc_id % 100 + 100) || ', field_' || (doc_id % 7) || CASE doc_id % 4 WHEN 0 THEN ' of ico' WHEN 1 THEN ' of FHIR_Consent' ELSE ' (DUO)' END AS prose FROM documents)))""")
+def u_field_evidence(spark, sf_dir):
+    part = F.when(F.col("doc_id") % 4 == 0, " of ico").when(F.col("doc_id") % 4 == 1, " of FHIR_Consent").otherwise(" (DUO)")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see C"), F.col("doc_id") % 100 + 100, F.lit(", field_"), F.col("doc_id") % 7, part).alias("prose"))
+    allowed = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("m1 "), F.lit("x")))
+    given = F.array(F.concat(F.lit("C"), F.col("doc_id") % 50 + 100))
+    return d.select("doc_id", F.array_join(schema.evidence_ids([given], [F.col("prose")]), ";").alias("ids"), F.array_join(schema.models_named(F.col("prose")), ";").alias("models"), schema.modifier_allowed(allowed, F.concat(F.lit("m"), F.col("doc_id") % 4)).alias("allowed"))
+
+
 def flagship(spark, sf_dir):
     return f_pair_metrics(spark, sf_dir)
 
