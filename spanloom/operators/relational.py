@@ -16,6 +16,24 @@ def top_per_group(df: DataFrame, by: list, order: list, n: int) -> DataFrame:
     return ranked(df, by, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
 
 
+def review_mixture(df: DataFrame, by: list, n: int, score: str, errors: str, recall: str, tie: str) -> DataFrame:
+    """Of each group the n // 3 best and worst by score and, for the rest of n, the most errors (then
+    the least recall); a row that is picked twice counts once. Nulls in score are never best or worst
+    before a value; missing errors count as 0, missing recall as 1. tie, ascending, breaks ties."""
+    third = max(1, n // 3)
+    picks = {
+        "_best": ([F.col(score).desc_nulls_last()], third), "_worst": ([F.col(score).asc_nulls_last()], third),
+        "_errors": ([F.coalesce(errors, F.lit(0)).desc(), F.coalesce(recall, F.lit(1.0)).asc()], max(1, n - 2 * third)),
+    }
+    out = df
+    for name, (order, _) in picks.items():
+        out = ranked(out, by, [*order, F.col(tie)], name)
+    picked = [F.col(name) <= most for name, (_, most) in picks.items()]
+    turn = F.when(picked[0], F.col("_best")).when(picked[1], third + F.col("_worst")).otherwise(2 * third + F.col("_errors"))
+    kept = out.filter(picked[0] | picked[1] | picked[2]).withColumn("_turn", turn)
+    return top_per_group(kept, by, [F.col("_turn")], n).drop("_turn", *picks)
+
+
 def keep_best(df: DataFrame, by: list, order: Column, largest: bool = True) -> DataFrame:
     """One row a key, by an aggregate rather than a window: rows of a key are combined before they are shuffled."""
     row = F.struct(*df.columns)

@@ -79,6 +79,17 @@ def emit(selected: DataFrame, by: str, order: list[Column], **fields: Column) ->
     return selected.groupBy(by).agg(F.count("*").alias("n_fields"), F.to_json(F.struct(F.first(by).alias("schema_id"), listed.alias("fields"))).alias("schema_json"))
 
 
+def evaluation_rows(rows: DataFrame, held_out: DataFrame, form: str, sentence: str, order: str, split: str = "all") -> DataFrame:
+    """One row a form and sentence (the first by order), without empty sentences, with eval_split
+    (heldout if the form is in held_out, else training) and eval_row_id; split keeps one of the two."""
+    first = rows.filter(F.length(F.trim(sentence)) > 0).groupBy(form, sentence).agg(F.min(order).alias(order))
+    known = held_out.select(F.col(form).alias("_form")).distinct()
+    out = first.join(known, F.col("_form").eqNullSafe(F.col(form)), "left")
+    out = out.withColumn("eval_split", F.when(F.col("_form").isNotNull(), "heldout").otherwise("training")).drop("_form")
+    out = out.withColumn("eval_row_id", F.substring(F.sha1(F.concat_ws("||", F.coalesce(form, F.lit("")), sentence)), 1, 12))
+    return out if split == "all" else out.filter(F.col("eval_split") == split)
+
+
 def field_rows(path: str, spark) -> DataFrame:
     """The fields of a schema file (JSON), one row each; unknown keys are ignored."""
     with open(path, encoding="utf-8") as f:

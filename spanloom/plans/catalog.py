@@ -531,6 +531,22 @@ def u_field_evidence(spark, sf_dir):
     return d.select("doc_id", F.array_join(schema.evidence_ids([given], [F.col("prose")]), ";").alias("ids"), F.array_join(schema.models_named(F.col("prose")), ";").alias("models"), schema.modifier_allowed(allowed, F.concat(F.lit("m"), F.col("doc_id") % 4)).alias("allowed"))
 
 
+@query(f"""WITH {fx.RT}, r AS (SELECT condition, llm, doc_id, score,
+  row_number() OVER (PARTITION BY condition, llm ORDER BY score DESC, doc_id) AS b, row_number() OVER (PARTITION BY condition, llm ORDER BY score, doc_id) AS w,
+  row_number() OVER (PARTITION BY condition, llm ORDER BY doc_id % 6 DESC, (doc_id % 11) / 10.0, doc_id) AS e FROM rt)
+SELECT condition, llm, doc_id, score FROM r WHERE b <= 3 OR w <= 3 OR e <= 3""")
+def k_review_mixture(spark, sf_dir):
+    rt = fx.roundtrips(spark, sf_dir).select("condition", "llm", "doc_id", "score", (F.col("doc_id") % 6).alias("errors"), ((F.col("doc_id") % 11) / 10).alias("recall"))
+    return relational.review_mixture(rt, ["condition", "llm"], 9, "score", "errors", "recall", "doc_id").select("condition", "llm", "doc_id", "score")
+
+
+@query(f"WITH {fx.RT} SELECT min(doc_id) AS doc_id, form_id, original_text, CASE WHEN length(form_id) % 2 = 0 THEN 'heldout' ELSE 'training' END AS eval_split FROM rt WHERE length(original_text) > 0 GROUP BY form_id, original_text")
+def u_evaluation_rows(spark, sf_dir):
+    rt = fx.roundtrips(spark, sf_dir)
+    held = rt.select("form_id").distinct().filter(F.length("form_id") % 2 == 0)
+    return schema.evaluation_rows(rt, held, "form_id", "original_text", "doc_id").select("doc_id", "form_id", "original_text", "eval_split")
+
+
 def flagship(spark, sf_dir):
     return f_pair_metrics(spark, sf_dir)
 
