@@ -10,8 +10,9 @@ independent hash of the variant is compared before a line is dropped.
 Three rounds (``_exchange``), each on what the last left: equal lines; halves of lines, as one
 edit leaves one half as it was, so that only lines which share a half emit variants; variants.
 
-Defined cases: words are runs outside ASCII white space, A-Z lower-cased; lines under
-``MIN_WORDS`` words are never dropped; null and empty texts have no lines and stay as they are;
+Defined cases: words are runs outside ASCII white space, A-Z lower-cased; a line with any word is
+dropped if an equal line is earlier; lines under ``MIN_WORDS`` words (also long ones without blanks)
+are no near copies of others, as one word is too much of them; lines without a word stay; null and empty texts have no lines and stay as they are;
 repeated rows: the first that is met is the earlier; null doc_ids come first; an empty table
 gives no rows; columns named like the results are replaced, all others are kept.
 """
@@ -73,9 +74,10 @@ def packer(text_at: int, id_at: int):
 
 
 class Lines:
-    """The lines of a chunk that have enough words; first, n: their words."""
+    """The lines of a chunk that have words; first, n: their words."""
 
     def __init__(self, payload: bytes, min_words: int):
+        self.min_words = min_words
         at = int.from_bytes(payload[:8], "little")
         self.ids, lengths, self.raw = unpack(payload[8 : 8 + at])
         self.rest = payload[8 + at :]
@@ -92,12 +94,12 @@ class Lines:
             parts = [(np.zeros(0, np.int64),) * 5 + (np.zeros(0, _u64),)]
         self.start, self.end, self.doc, first, n, self.h = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
-        self.long = np.flatnonzero(n >= min_words)
-        self.first, self.n = first[self.long], n[self.long]
+        self.worded = np.flatnonzero(n > 0)
+        self.first, self.n = first[self.worded], n[self.worded]
         self.prefix = self._prefix(self.h)
         self.key = mix(self._whole(self.prefix, self.first, self.n) + self.n.astype(_u64) * _LENGTH)
-        self.line_doc = self.ids[self.doc[self.long]]
-        self.line_no = self.number[self.long].astype(np.int32)
+        self.line_doc = self.ids[self.doc[self.worded]]
+        self.line_no = self.number[self.worded].astype(np.int32)
 
     @staticmethod
     def _prefix(h):
@@ -116,13 +118,18 @@ class Lines:
 
     def owners(self, table: pa.Table) -> np.ndarray:
         """Rows of lines whose earliest place in the corpus is here."""
-        rows = np.arange(len(self.long))
+        rows = np.arange(len(self.worded))
         keys, at = self.earliest(rows)
         if len(keys) == 0:
             return rows
         (mine,) = answered(table, 0)
         return np.sort(at[mine.astype(bool)])
 
+    def near(self, table: pa.Table) -> np.ndarray:
+        """Those of the owners that have enough words to be compared by edits."""
+        rows = self.owners(table)
+        return rows[self.n[rows] >= self.min_words]
+
     def halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the halves of rows: key, row, and 1 where the row is a word longer than the
         line that the key stands for."""
@@ -187,13 +194,13 @@ def _reply(kind, n, group, sent, source):
 
 def _ask_lines(payload, chunk, buckets, min_words):
     x = Lines(payload, min_words)
-    keys, at = x.earliest(np.arange(len(x.long)))
+    keys, at = x.earliest(np.arange(len(x.worded)))
     return ask(chunk, 0, keys, [x.line_doc[at], x.line_no[at]], buckets)
 
 
 def _ask_halves(payload, table, chunk, buckets, min_words):
     x = Lines(payload, min_words)
-    key, _, longer = x.halves(x.owners(table))
+    key, _, longer = x.halves(x.near(table))
     keys, which = np.unique(key, return_inverse=True)
     n = len(keys)
     return ask(chunk, 1, keys, [np.bincount(which[longer == 0], minlength=n).astype(np.uint32), np.bincount(which[longer == 1], minlength=n).astype(np.uint32)], buckets)
@@ -204,11 +211,11 @@ class Variants:
     3 the variant, or the whole line that a longer one may shrink to."""
 
     def __init__(self, x: Lines, table: pa.Table):
-        owners = x.owners(table)
-        self.ready = len(owners) > 0
+        rows = x.near(table)
+        self.ready = len(rows) > 0
         if not self.ready:
             return
-        key, row, longer = x.halves(owners)
+        key, row, longer = x.halves(rows)
         keys, which = np.unique(key, return_inverse=True)
         (flags,) = answered(table, 1)
         flags = flags[which]
@@ -246,7 +253,7 @@ def _ask_variants(payload, table, chunk, buckets, min_words):
 
 def _finish(payload, table, min_words, schema):
     x = Lines(payload, min_words)
-    rows = np.arange(len(x.long))
+    rows = np.arange(len(x.worded))
     gone = np.ones(len(rows), bool)
     owners = x.owners(table)
     gone[owners] = False
@@ -266,7 +273,7 @@ def _finish(payload, table, min_words, schema):
             own_doc, own_line = x.line_doc[e["row"]], x.line_no[e["row"]]
             before = (doc < own_doc) | ((doc == own_doc) & (line < own_line))
             gone[e["row"][before & (check == e["check"])]] = True
-    lost = x.long[gone]
+    lost = x.worded[gone]
     raw = x.raw.tobytes()
     n = len(x.ids)
     texts: list = []

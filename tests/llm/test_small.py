@@ -222,3 +222,12 @@ def warc_text(payload):
 def zlib_stored(raw):
     gz = zlib.compressobj(0, zlib.DEFLATED, 31)
     return gz.compress(raw) + gz.flush()
+
+
+def test_short_lines_are_dropped_as_exact_copies(spark):
+    url = "https://example.org/" + "a" * 80
+    texts = ["Released under the MIT License.\n" + url + "\n\nHome\nno such line", "HOME\nreleased  under the MIT License.\n\n" + url + "\nno such word\n", "一行没有空格的文字\n \n一行没有空格的文字", "one two three\none two four", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in line_neighbourhood.drop_near_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i]["removed_lines"] for i in range(5)] == [[], [0, 1, 3], [2], [], []]
+    assert got[1]["text"] == "\nno such word" and got[3]["text"] == texts[3] and got[4]["text"] is None
