@@ -1,5 +1,6 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -231,3 +232,16 @@ def test_short_lines_are_dropped_as_exact_copies(spark):
     got = {r["doc_id"]: r for r in line_neighbourhood.drop_near_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert [got[i]["removed_lines"] for i in range(5)] == [[], [0, 1, 3], [2], [], []]
     assert got[1]["text"] == "\nno such word" and got[3]["text"] == texts[3] and got[4]["text"] is None
+
+
+def test_random_and_encoded_texts_leave_the_bands(spark):
+    rng = random.Random(8)
+    fold = lambda t, n: "\n".join(t[i : i + n] for i in range(0, len(t), n))
+    lower, printable = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(33, 127)))
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = [fold(base64.b64encode(rng.randbytes(n)).decode(), 76) for n in (6_000, 22_500)]
+    texts += [" ".join(word(printable, 6) for _ in range(n)) for n in (100, 300, 900, 4000)]
+    texts += [" ".join(word(lower, rng.randint(2, 9)) for _ in range(n)) for n in (1500, 5000)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = compression_bands.judge(made).collect()
+    assert len(got) == 8 and all(r["n_words"] > 50 and not r["base_failed"] and not r["kept"] for r in got)
