@@ -4,23 +4,24 @@ A cluster is its sum of unit vectors and their number: the mean cosine distance
 members of two clusters is one minus the product of their sums over the product of their
 numbers, so no distance between members is ever formed.
 
-A group of more than ``block`` entries is dealt into blocks by the signs of random projections,
-with a salt where signs do not part it, and each block is linked by itself; its sums are
-entries of the next round. Distances stay exact, the order of merges in such groups does not: it
-is an approximation there. After ``rounds`` rounds what is still apart in a large group stays so.
+A group of more than ``block`` clusters is worked on in rounds: every cluster finds its nearest
+one, block of clusters against block, and those that are each other's nearest merge. Average
+linkage never brings merged clusters nearer to a third than the nearer of them was, so these merges
+are those of the one-by-one order, up to ties. Rounds go on until nothing merges; a group that has
+become small enough is finished in one piece. Equal vectors are one cluster from the beginning.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sets
 from spanloom.session import discard, stored
 
-BLOCK, ROUNDS, PLANES, SEED = 1000, 4, 12, 17
+BLOCK = 1000
 
 
 def unit(v):
@@ -59,37 +60,95 @@ def average_linkage(sums: np.ndarray, number: np.ndarray, threshold: float) -> n
         best[closer] = i
 
 
-def linked(rows: DataFrame, group: str, key: str, vector: str, threshold: float, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def _nearest(large: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """g, k, mate: each cluster's nearest one below the threshold, ties by a hash of the pair."""
+    g, kind = large.schema["g"].dataType.simpleString(), large.schema["k"].dataType.simpleString()
+    at = large.join(sizes.withColumn("blocks", F.ceil(F.col("size") / block)), "g").withColumn("own", F.pmod(F.xxhash64("k"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    at = at.select("g", "k", "v", "n", "own", other.alias("_o")).withColumn("x", F.least("own", "_o")).withColumn("y", F.greatest("own", "_o"))
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k", ignore_index=True)
+        mean = np.stack(part["v"].to_numpy()) / part["n"].to_numpy()[:, None]
+        own, x, y = part["own"].to_numpy(), part["x"].iloc[0], part["y"].iloc[0]
+        out = []
+        for p, q in {(x, y), (y, x)}:
+            rows, cols = np.flatnonzero(own == p), np.flatnonzero(own == q)
+            if len(rows) == 0 or len(cols) == 0:
+                continue
+            # rounded, so that both sides of a pair see the same number
+            near = np.round(mean[rows] @ mean[cols].T, 12)
+            near[rows[:, None] == cols[None, :]] = -np.inf
+            best = near.max(1)
+            r, c = np.nonzero((near == best[:, None]) & (1 - best < threshold)[:, None])
+            lo, hi = np.minimum(rows[r], cols[c]), np.maximum(rows[r], cols[c])
+            code = pd.util.hash_array(part["k"].to_numpy())
+            tie = pd.util.hash_array(code[lo] * np.uint64(0x9E3779B97F4A7C15) + code[hi]).view(np.int64)
+            order = np.lexsort((tie, r))
+            first = order[np.unique(r[order], return_index=True)[1]]
+            k = part["k"].to_numpy()
+            out.append(pd.DataFrame({"g": part["g"].iloc[0], "k": k[rows[r[first]]], "mate": k[cols[c[first]]], "near": best[r[first]], "tie": tie[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"g": part["g"].iloc[:0], "k": part["k"].iloc[:0], "mate": part["k"].iloc[:0], "near": np.zeros(0), "tie": np.zeros(0, np.int64)})
+
+    found = at.groupBy("g", "x", "y").applyInPandas(find, f"g {g}, k {kind}, mate {kind}, near double, tie long")
+    return found.groupBy("g", "k").agg(F.max_by("mate", F.struct("near", -F.col("tie"))).alias("mate"))
+
+
+def _summed(v: Column) -> Column:
+    """Of a collected list of vectors, the sum."""
+    return F.aggregate(F.slice(v, 2, F.size(v)), F.element_at(v, 1), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+
+
+def linked(rows: DataFrame, group: str, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """group, key, cluster (the smallest key of it). Null vectors are left out; keys are unique in a group."""
-    at = rows.filter(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), unit(F.col(vector).cast("array<double>")).alias("v"), F.lit(1).cast("long").alias("n"))
+    at = rows.filter(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), unit(F.col(vector).cast("array<double>")).alias("v"))
     at = stored(at, "linkage")
-    members = at.select("g", "k", F.col("k").alias("cluster"))
-    first = at.select(F.size("v").alias("d")).first()
-    planes = np.random.default_rng(SEED).normal(size=(PLANES, first["d"] if first else 1))
-    kind = at.schema["k"].dataType.simpleString()
+    g, kind = at.schema["g"].dataType.simpleString(), at.schema["k"].dataType.simpleString()
+    used = [at]
+    # a vector of zeros is not near its equals
+    if threshold > 0:
+        same = F.when(F.exists("v", lambda x: x != 0), F.lit(None).cast(kind)).otherwise(F.col("k"))
+        at = at.withColumn("alone", same).groupBy("g", "v", "alone").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.collect_list("k").alias("of"))
+    else:
+        at = at.select("g", "v", "k", F.lit(1).cast("long").alias("n"), F.array("k").alias("of"))
+    at = stored(at.select("g", "k", F.transform("v", lambda x: x * F.col("n")).alias("v"), "n", "of"), "linkage")
+    members = at.select("g", F.explode("of").alias("k"), F.col("k").alias("cluster"))
+    at = at.select("g", "k", "v", "n")
+    used.append(at)
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("k", ignore_index=True)
         label = average_linkage(np.stack(part["v"].to_numpy()), part["n"].to_numpy(), threshold)
-        sums = part.assign(label=label).groupby("label").agg(g=("g", "first"), k=("k", "min"), v=("v", lambda x: np.sum(np.stack(x.to_numpy()), 0)), n=("n", "sum"), of=("k", list))
-        return sums.reset_index(drop=True)
+        return part[["g"]].assign(cluster=part["k"], to=part["k"].to_numpy()[label])
 
-    used = [at]
-    for turn in range(rounds):
-        large = at.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > block)
-        final = large.isEmpty()
-        signs = F.concat(*(F.when(sets.dot(F.col("v"), F.array(*map(F.lit, p.tolist()))) > 0, "1").otherwise("0") for p in planes[turn % 2 :: 2]))
-        parted = at.join(large.select("g", F.lit(True).alias("big")), "g", "left").withColumn("part", F.when(F.col("big"), signs).otherwise(""))
-        full = parted.groupBy("g", "part").agg(F.ceil(F.count("*") / block).alias("salts"))
-        parted = parted.join(full, ["g", "part"]).withColumn("salt", F.pmod(F.xxhash64("k", F.lit(turn)), "salts"))
-        done = stored(parted.groupBy("g", "part", "salt").applyInPandas(lambda key, part: link(part), f"g {at.schema['g'].dataType.simpleString()}, k {kind}, v array<double>, n long, of array<{kind}>"), "linkage")
-        merged = done.select("g", F.explode("of").alias("cluster"), F.col("k").alias("to"))
-        members = stored(members.join(merged, ["g", "cluster"]).select("g", "k", F.col("to").alias("cluster")), "linkage-members")
-        at = done.select("g", "k", "v", "n")
+    ended = None
+    while True:
+        sizes = stored(at.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > block), "linkage-sizes")
+        used.append(sizes)
+        small = at.join(sizes.select("g"), "g", "left_anti")
+        done = stored(small.groupBy("g").applyInPandas(link, f"g {g}, cluster {kind}, to {kind}"), "linkage-done")
+        ended = done if ended is None else ended.unionByName(done)
         used.append(done)
-        if final:
+        if sizes.isEmpty():
             break
-    members = members.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+        large = at.join(sizes.select("g"), "g", "left_semi")
+        mates = stored(_nearest(large, sizes, threshold, block), "linkage-nearest")
+        back = mates.select("g", F.col("k").alias("mate"), F.col("mate").alias("k"))
+        pairs = stored(mates.join(back, ["g", "k", "mate"]).filter(F.col("k") > F.col("mate")).select("g", "k", F.col("mate").alias("to")), "linkage-pairs")
+        used += [mates, pairs]
+        moved = pairs.select("g").distinct()
+        still = stored(large.join(moved, "g", "left_anti").select("g", F.col("k").alias("cluster"), F.col("k").alias("to")), "linkage-done")
+        ended = ended.unionByName(still)
+        named = large.join(moved, "g", "left_semi").join(pairs, ["g", "k"], "left").withColumn("k", F.coalesce("to", "k"))
+        # at most two a cluster
+        at = stored(named.groupBy("g", "k").agg(F.collect_list("v").alias("v"), F.sum("n").alias("n")).select("g", "k", _summed(F.col("v")).alias("v"), "n"), "linkage")
+        joined = members.join(pairs.withColumnRenamed("k", "cluster"), ["g", "cluster"], "left")
+        used.append(members)
+        members = stored(joined.select("g", "k", F.coalesce("to", "cluster").alias("cluster")), "linkage-members")
+        used += [still, at]
+    found = members.join(ended, ["g", "cluster"]).select("g", "k", "to")
+    least = found.groupBy("g", "to").agg(F.min("k").alias("cluster"))
+    members = stored(found.join(least, ["g", "to"]).select(F.col("g").alias(group), F.col("k").alias(key), "cluster"), "linkage-members")
     discard(*used)
     return members
 
