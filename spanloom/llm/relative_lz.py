@@ -1,14 +1,14 @@
-"""Substring dedup by parsing every document relative to an index of the whole corpus.
+"""Substring dedup by counting windows of words over the whole corpus.
 
-The reference is all text, cut into blocks by hash range. A document is factored greedily: a
-factor runs on while each next window of ``width`` words is found in a block as a sequence that
-also starts elsewhere. Factors of at least ``width`` words are duplicate spans.
+There is no relative Lempel-Ziv parse here: no reference positions and no greedy longest factor.
+The corpus' windows of ``width`` words are counted in blocks of a hash range; those that start at
+two places or more are repeats, and duplicate spans are the union of a document's repeats.
 
 Asking every block about every window would move as much as the text, so blocks index sampled
 seeds first: the least hash of a window's shorter word sequences (``seed`` words) depends on the
 window's words alone, so two equal windows choose the same seed at the same offset. Only windows
-whose seed starts at two places or more are then looked up whole. At factor boundaries, where a
-seed repeats but the window does not, that second look-up decides window by window, so the
+whose seed starts at two places or more are then looked up whole. Where a seed repeats but the
+window does not, that second look-up decides window by window, so the
 result is exact up to collisions of 64-bit hashes.
 
 Both rounds go through ``_exchange``: a passage that half of all documents share is sent once by
