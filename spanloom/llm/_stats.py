@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from spanloom.llm._words import Words, mix, per_doc, spans_hash, window_hash
+from spanloom.llm._words import Words, distinct, mix, per_doc, run_hash, window_hash
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -24,8 +24,8 @@ def lines_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeats(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each entry: how many of its document's entries have its key."""
     both = mix(keys + mix(doc.astype(np.uint64) + np.uint64(1)))
-    _, which, n = np.unique(both, return_inverse=True, return_counts=True)
-    return n[which] if len(n) else np.zeros(0, np.int64)
+    keys, _, which = distinct(both)
+    return np.bincount(which, minlength=len(keys))[which]
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -58,8 +58,8 @@ def base_statistics(w: Words) -> dict[str, np.ndarray]:
     worded = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends, line_doc = starts[worded], ends[worded], line_doc[worded]
     if len(starts):
-        keys = mix(spans_hash(w.byte_values(), starts, ends) + mix(line_doc.astype(np.uint64) + np.uint64(1)))
-        _, first = np.unique(keys, return_index=True)
+        keys = mix(run_hash(data, starts, ends) + mix(line_doc.astype(np.uint64) + np.uint64(1)))
+        _, first, _ = distinct(keys)
         again = np.ones(len(keys), bool)
         again[first] = False
         dup = np.bincount(line_doc[again], minlength=docs)

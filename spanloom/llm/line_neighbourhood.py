@@ -2,19 +2,21 @@
 
 Two lines are within one edit (a word substituted, inserted or deleted) exactly if they agree
 after deleting the same word place of both, or one word of one of them. Every line emits its
-variants as hashed keys; equal keys join; per key the earliest line (doc_id, then line number)
-is kept, and any other line with that key is dropped. A key names the place that was deleted,
-so equal keys prove distance at most 1 and no pair is formed in a key's group; a second,
-independent hash of the variant is compared before a line is dropped.
+variants as hashed keys; equal keys join; each line of a key is compared with the key's earliest
+line (doc_id, then line number), and is dropped if the words of both, spelt out, are within one
+edit. A key names the place that was deleted, so the lines of a key are all within one edit of
+each other and no pair is formed in a key's group.
 
-Three rounds (``_exchange``), each on what the last left: equal lines; halves of lines, as one
-edit leaves one half as it was, so that only lines which share a half emit variants; variants.
+Four rounds (``_exchange``), each on what the last left: equal lines; halves of lines, as one
+edit leaves one half as it was, so that only lines which share a half emit variants; variants;
+the words of the lines that others are compared with, sent once to each chunk that needs them.
 
 Defined cases: words are runs outside ASCII white space, A-Z lower-cased; a line with any word is
 dropped if an equal line is earlier; lines under ``MIN_WORDS`` words (also long ones without blanks)
 are no near copies of others, as one word is too much of them; lines without a word stay; null and empty texts have no lines and stay as they are;
 repeated rows: the first that is met is the earlier; null doc_ids come first; an empty table
-gives no rows; columns named like the results are replaced, all others are kept.
+gives no rows; columns named like the results are replaced, all others are kept. Lines that are
+equal or share a variant are compared by 64-bit hashes; of equal lines the hash decides.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from spanloom.llm._exchange import Corpus, answered, ask, pack, unpack
+from spanloom.llm._exchange import Corpus, Ragged, answered, ask, kinds, pack, unpack
 from spanloom.llm._stats import lines_of
-from spanloom.llm._words import _BASE, _UNBASE, Words, _power, buffers, mix, slices
+from spanloom.llm._words import _BASE, _UNBASE, Words, _power, buffers, distinct, mix, slices
 
 MIN_WORDS = 6
 CHUNK_BYTES = 4 << 20
@@ -49,20 +51,20 @@ def packer(text_at: int, id_at: int):
         size = 0
 
         def row():
-            rest = pa.Table.from_batches([h[3] for h in held])
+            rest = pa.Table.from_batches([h[4] for h in held])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rest)
-            body = pack(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+            body = pack(*(np.concatenate([h[i] for h in held]) for i in range(4)))
             payload = len(body).to_bytes(8, "little") + body + sink.getvalue().to_pybytes()
             return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 24) + number], pa.int64()), "size": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
             ids = np.array([_NO_DOC if x is None else x for x in batch.column(id_at).to_pylist()], np.int64)
-            null = batch.column(text_at).is_null()
-            rest = batch.remove_column(text_at).append_column("_null", null)
+            null = np.array(batch.column(text_at).is_null(), np.uint8)
+            rest = batch.remove_column(text_at)
             for lo, hi, data, bounds in slices(*buffers(batch.column(text_at))):
-                held.append((ids[lo:hi], np.diff(bounds), data.copy(), rest.slice(lo, hi - lo)))
+                held.append((ids[lo:hi], np.diff(bounds), null[lo:hi], data.copy(), rest.slice(lo, hi - lo)))
                 size += len(data) + 8 * (hi - lo)
                 if size >= CHUNK_BYTES:
                     yield row()
@@ -79,7 +81,7 @@ class Lines:
     def __init__(self, payload: bytes, min_words: int):
         self.min_words = min_words
         at = int.from_bytes(payload[:8], "little")
-        self.ids, lengths, self.raw = unpack(payload[8 : 8 + at])
+        self.ids, lengths, self.null, self.raw = unpack(payload[8 : 8 + at])
         self.rest = payload[8 + at :]
         self.bounds = np.concatenate([[0], np.cumsum(lengths)])
         # slice by slice, as hashing takes many times a text's size
@@ -113,7 +115,7 @@ class Lines:
     def earliest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct line keys among rows, and each one's earliest row."""
         order = rows[np.lexsort((self.line_no[rows], self.line_doc[rows]))]
-        keys, at = np.unique(self.key[order], return_index=True)
+        keys, at, _ = distinct(self.key[order])
         return keys, order[at]
 
     def owners(self, table: pa.Table) -> np.ndarray:
@@ -144,26 +146,32 @@ class Lines:
             out.append((mix(self._whole(self.prefix, f + n - tail, tail) + tag + _SIDE), rows, np.full(len(rows), longer, np.uint8)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def variants(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Deletion variants of rows: hash, second hash, row, place of the deleted word."""
+    def words(self, row: int) -> list[bytes]:
+        line = self.worded[row]
+        return self.raw[self.start[line] : self.end[line]].tobytes().lower().split()
+
+    def variants(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Deletion variants of rows: hash, row, place of the deleted word."""
         n = self.n[rows]
         row = np.repeat(rows, n)
         begin = np.repeat(self.first[rows], n)
         length = np.repeat(n, n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
-        def deleted(prefix):
-            p = begin + place
-            raw = prefix[p] - prefix[begin] + (prefix[begin + length] - prefix[p + 1]) * _UNBASE
-            return raw * _power(_UNBASE, len(prefix))[begin]
+        p, prefix = begin + place, self.prefix
+        raw = prefix[p] - prefix[begin] + (prefix[begin + length] - prefix[p + 1]) * _UNBASE
+        raw *= _power(_UNBASE, len(prefix))[begin]
+        return mix(raw + (length - 1).astype(_u64) * _LENGTH), row, place
 
-        second = self._prefix(mix(self.h ^ _SIDE))
-        size = (length - 1).astype(_u64) * _LENGTH
-        return mix(deleted(self.prefix) + size), (mix(deleted(second) + size) >> _u64(32)).astype(np.uint32), row, place
 
-    def second_whole(self, rows: np.ndarray) -> np.ndarray:
-        second = self._prefix(mix(self.h ^ _SIDE))
-        return (mix(self._whole(second, self.first[rows], self.n[rows]) + self.n[rows].astype(_u64) * _LENGTH) >> _u64(32)).astype(np.uint32)
+def within_one(x: list[bytes], y: list[bytes]) -> bool:
+    """Whether one word substituted, inserted or deleted, or none, makes x into y."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) - len(x) > 1:
+        return False
+    i = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+    return x[i + (len(x) == len(y)) :] == y[i + 1 :]
 
 
 def _least(n: int, group: np.ndarray, *by: np.ndarray) -> np.ndarray:
@@ -180,16 +188,19 @@ def _reply(kind, n, group, sent, source):
         same, longer = np.bincount(group, sent[0], n), np.bincount(group, sent[1], n)
         flags = (same > 1).astype(np.uint8) | (((same > 0) & (longer > 0)).astype(np.uint8) << 1)
         return [flags[group]], (0, 0)
-    if kind == 2:
-        best = _least(n, group, sent[0], sent[1])[group]
-        return [sent[0][best], sent[1][best], sent[2][best]], (0, 0)
-    # kind 3: the earliest whole line and the earliest longer line of each key
-    out = []
-    for whole in (1, 0):
-        doc = np.where(sent[3] == whole, sent[0], np.iinfo(np.int64).max)
+    if kind == 4:
+        words = Ragged(sent[0], sent[1])
+        owner = np.zeros(n, np.int64)
+        has = np.flatnonzero(sent[0] > 0)
+        owner[group[has]] = has
+        return [words.take(owner[group])], (0, 0)
+    # the earliest line of each key; kind 3: the earliest whole line and the earliest longer one
+    out, many = [], (np.bincount(group, minlength=n) > 1)[group].astype(np.uint8)
+    for whole in (None,) if kind == 2 else (1, 0):
+        doc = sent[0] if whole is None else np.where(sent[3] == whole, sent[0], np.iinfo(np.int64).max)
         best = _least(n, group, doc, sent[1])[group]
         out += [doc[best], sent[1][best], sent[2][best]]
-    return out, (0, 0)
+    return [many, *out], (0, 0)
 
 
 def _ask_lines(payload, chunk, buckets, min_words):
@@ -201,7 +212,7 @@ def _ask_lines(payload, chunk, buckets, min_words):
 def _ask_halves(payload, table, chunk, buckets, min_words):
     x = Lines(payload, min_words)
     key, _, longer = x.halves(x.near(table))
-    keys, which = np.unique(key, return_inverse=True)
+    keys, _, which = distinct(key)
     n = len(keys)
     return ask(chunk, 1, keys, [np.bincount(which[longer == 0], minlength=n).astype(np.uint32), np.bincount(which[longer == 1], minlength=n).astype(np.uint32)], buckets)
 
@@ -216,27 +227,55 @@ class Variants:
         if not self.ready:
             return
         key, row, longer = x.halves(rows)
-        keys, which = np.unique(key, return_inverse=True)
+        which = distinct(key)[2]
         (flags,) = answered(table, 1)
         flags = flags[which]
         equal = np.unique(row[(flags & 1).astype(bool) & (longer == 0)])
         grow = (flags & 2).astype(bool)
         short, long = np.unique(row[grow & (longer == 0)]), np.unique(row[grow & (longer == 1)])
-        v, check, r, place = x.variants(equal)
-        self.two = self._distinct(x, mix(v + mix(place.astype(_u64) + _u64(1))), check, r, None)
-        v, check, r, _ = x.variants(long)
+        v, r, place = x.variants(equal)
+        self.two = self._distinct(x, mix(v + mix(place.astype(_u64) + _u64(1))), r, None)
+        v, r, _ = x.variants(long)
         whole = np.concatenate([np.ones(len(short), np.uint8), np.zeros(len(r), np.uint8)])
-        self.three = self._distinct(x, np.concatenate([x.key[short], v]), np.concatenate([x.second_whole(short), check]), np.concatenate([short, r]), whole)
+        self.three = self._distinct(x, np.concatenate([x.key[short], v]), np.concatenate([short, r]), whole)
 
     @staticmethod
-    def _distinct(x, key, check, row, whole):
+    def _distinct(x, key, row, whole):
         """One entry a key (and kind of line): its earliest line in this chunk."""
         side = np.zeros(len(key), np.uint8) if whole is None else whole
-        order = np.lexsort((x.line_no[row], x.line_doc[row], side, key))
-        k, s = key[order], side[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        return {"key": key, "side": side, "row": row, "check": check, "at": order[new], "of": np.cumsum(new) - 1, "order": order}
+        which = distinct(key)[2]
+        # rows are numbered in the order of their documents, which need not be that of doc_ids
+        rank = np.empty(len(x.line_no), np.int64)
+        rank[np.lexsort((x.line_no, x.line_doc))] = np.arange(len(x.line_no))
+        entry = which * 2 + side
+        order = np.argsort((entry << 32) | rank[row])
+        e = entry[order]
+        new = np.ones(len(e), bool)
+        new[1:] = e[1:] != e[:-1]
+        of = np.empty(len(key), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return {"key": key, "side": side, "row": row, "at": order[new], "of": of}
+
+    def partners(self, x: Lines, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and the line key of an earlier line that shares a variant; rows whose words
+        others may ask for."""
+        rows, keys, asked = [], [], []
+        for kind, e in ((2, self.two), (3, self.three)):
+            if len(e["at"]) == 0:
+                continue
+            many, *got = (g[e["of"]] for g in answered(table, kind))
+            own_doc, own_line = x.line_doc[e["row"]], x.line_no[e["row"]]
+            side = e["side"].astype(bool)  # a whole line looks for a longer one, and the other way round
+            doc, line, key = got if kind == 2 else (np.where(side, got[i + 3], got[i]) for i in range(3))
+            first_doc, first_line = got[:2] if kind == 2 else (np.where(side, got[i], got[i + 3]) for i in range(2))
+            first = (first_doc == own_doc) & (first_line == own_line)
+            before = (doc < own_doc) | ((doc == own_doc) & (line < own_line))
+            rows.append(e["row"][before])
+            keys.append(key[before])
+            asked.append(e["row"][first & many.astype(bool)])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, _u64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(keys), np.unique(np.concatenate(asked))
 
 
 def _ask_variants(payload, table, chunk, buckets, min_words):
@@ -246,11 +285,35 @@ def _ask_variants(payload, table, chunk, buckets, min_words):
     if v.ready:
         for kind, e in ((2, v.two), (3, v.three)):
             at = e["at"]
-            values = [x.line_doc[e["row"][at]], x.line_no[e["row"][at]], e["check"][at]]
+            values = [x.line_doc[e["row"][at]], x.line_no[e["row"][at]], x.key[e["row"][at]]]
             rows += ask(chunk, kind, e["key"][at], values + ([e["side"][at]] if kind == 3 else []), buckets)
     return rows
 
 
+def _wanted(x: Lines, v: Variants, table: pa.Table) -> tuple:
+    """What the last round asks: sorted line keys, the words of those that are here, and the
+    (row, place among the keys) pairs to compare."""
+    rows, partner, asked = v.partners(x, table)
+    near = x.near(table)
+    asked = np.union1d(asked, near[np.isin(x.key[near], partner)])  # lines that only this chunk compares with
+    pairs = np.unique(np.column_stack([rows.astype(np.uint64), partner]), axis=0) if len(rows) else np.zeros((0, 2), np.uint64)
+    keys, _, which = distinct(np.concatenate([pairs[:, 1], x.key[asked]]))
+    lines = [b""] * len(keys)
+    for row, k in zip(asked.tolist(), which[len(pairs) :].tolist(), strict=True):
+        lines[k] = b" ".join(x.words(row))
+    words = Ragged(np.array([len(t) for t in lines], np.int64), np.frombuffer(b"".join(lines), np.uint8))
+    return keys, words, pairs[:, 0].astype(np.int64), which[: len(pairs)]
+
+
+def _ask_words(payload, table, chunk, buckets, min_words):
+    x = Lines(payload, min_words)
+    v = Variants(x, table)
+    if not v.ready:
+        return []
+    keys, words, _, _ = _wanted(x, v, table)
+    return ask(chunk, 4, keys, [words], buckets)
+
+
 def _finish(payload, table, min_words, schema):
     x = Lines(payload, min_words)
     rows = np.arange(len(x.worded))
@@ -258,21 +321,12 @@ def _finish(payload, table, min_words, schema):
     owners = x.owners(table)
     gone[owners] = False
     v = Variants(x, table)
-    if v.ready:
-        for kind, e in ((2, v.two), (3, v.three)):
-            if len(e["at"]) == 0:
-                continue
-            got = answered(table, kind)
-            entry = np.empty(len(e["key"]), np.int64)
-            entry[e["order"]] = e["of"]
-            if kind == 2:
-                doc, line, check = (g[entry] for g in got)
-            else:
-                side = e["side"].astype(bool)  # a whole line looks for a longer one, and the other way round
-                doc, line, check = (np.where(side, got[i + 3][entry], got[i][entry]) for i in range(3))
-            own_doc, own_line = x.line_doc[e["row"]], x.line_no[e["row"]]
-            before = (doc < own_doc) | ((doc == own_doc) & (line < own_line))
-            gone[e["row"][before & (check == e["check"])]] = True
+    if v.ready and 4 in kinds(table):
+        _, _, row, which = _wanted(x, v, table)
+        words = Ragged(*answered(table, 4))
+        for r, k in zip(row.tolist(), which.tolist(), strict=True):
+            if not gone[r] and within_one(words[k].split(), x.words(r)):
+                gone[r] = True
     lost = x.worded[gone]
     raw = x.raw.tobytes()
     n = len(x.ids)
@@ -293,7 +347,7 @@ def _finish(payload, table, min_words, schema):
             texts.append(raw[x.bounds[i] : x.bounds[i + 1]].decode())
             report.append([])
     rest = pa.ipc.open_stream(x.rest).read_all()
-    null = rest["_null"].to_pylist()
+    null = x.null.tolist()
     made = {"text": pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string()), "n_lines": pa.array(np.diff(first).astype(np.int64)), "removed_lines": pa.array(report, pa.list_(pa.int64()))}
     return pa.table({name: made[name] if name in made else rest[name] for name in schema})
 
@@ -301,15 +355,15 @@ def _finish(payload, table, min_words, schema):
 def drop_near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with each later near-equal line taken out of its text; n_lines (before) and
     removed_lines (their numbers, from 0) are added."""
-    docs = docs.drop("n_lines", "removed_lines", "_null")
+    docs = docs.drop("n_lines", "removed_lines")
     schema = StructType(list(docs.schema.fields)).add("n_lines", LongType()).add("removed_lines", ArrayType(LongType()))
     names = schema.names
-    packed = docs.mapInArrow(packer(docs.columns.index("text"), docs.columns.index("doc_id")), "chunk long, size long, payload binary")
-    corpus = Corpus(packed, "lines")
+    corpus = Corpus(docs, packer(docs.columns.index("text"), docs.columns.index("doc_id")), "lines", CHUNK_BYTES)
     buckets = corpus.buckets
     corpus.round(lambda c, p, t: _ask_lines(p, c, buckets, min_words), _reply)
     corpus.round(lambda c, p, t: _ask_halves(p, t, c, buckets, min_words), _reply)
     corpus.round(lambda c, p, t: _ask_variants(p, t, c, buckets, min_words), _reply)
+    corpus.round(lambda c, p, t: _ask_words(p, t, c, buckets, min_words), _reply)
     return corpus.finish(lambda c, p, t: _finish(p, t, min_words, names), schema)
 
 

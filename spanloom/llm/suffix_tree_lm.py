@@ -12,8 +12,11 @@ precedes it in the document that is a state.
 Scale. Counts live in hash buckets that chunks of the corpus ask (``_exchange``). Level by level
 a chunk sends only n-grams whose context occurs often enough; each n-gram is sent once per chunk
 however frequent it is. For the divergence sums every n-gram is owned by the first chunk that
-counted it, which adds its term to its context's bucket. No table of the model is ever
-broadcast or collected; the model grows with the corpus.
+counted it, which adds its term to its context's bucket; the bucket decides on the state. No table
+of the model is ever broadcast or collected; the model grows with the corpus.
+
+A passage that occurs twice in training forms states at every place: contexts of up to ``depth``
+words need two occurrences only.
 
 Defined cases: null and empty texts are the end token alone; repeated rows each count; a null
 doc_id counts as empty text for the held-out rule; an empty table gives no rows; other columns
@@ -28,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm._exchange import Corpus, answered, ask, pack, unpack
-from spanloom.llm._words import Words, mix, remainder, texts_of
+from spanloom.llm._exchange import Corpus, answered, ask, kinds, pack, unpack
+from spanloom.llm._words import Words, distinct, mix, remainder, texts_of
 
-DEPTH, MIN_COUNT, PENALTY = 2, 12, 1.0
+DEPTH, MIN_COUNT, PENALTY = 3, 2, 1.0
 CHUNK_BYTES = 8 << 20
 HELD_OUT = (5, 1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
@@ -53,7 +56,7 @@ def packer(modulus: int, left_out: int):
 
         def row():
             docs, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
-            words, index = np.unique(tokens, return_inverse=True)
+            words, _, index = distinct(tokens)
             train = remainder([None if m else int(d) for d, m in zip(docs["id"], docs["none"], strict=True)], modulus) != left_out
             payload = pack(docs["id"], docs["none"].astype(np.uint8), train.astype(np.uint8), counts, words, index.astype(np.uint32))
             return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 24) + number], pa.int64()), "size": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
@@ -82,135 +85,139 @@ def packer(modulus: int, left_out: int):
 
 
 class Level:
-    """The n-grams of one context length in a chunk: at: the tokens whose context of that length
-    is a candidate; key: distinct n-grams; which: of each such token; first: a token of each key."""
+    """The n-grams of one context length in a chunk. at: the tokens whose context of that length
+    is a candidate; key: distinct n-grams; which: of each such token; first: a place in at of each
+    key; contexts: distinct contexts; context_of: of each token in at."""
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray):
+    def __init__(self, at: np.ndarray, grams: np.ndarray, context_keys: np.ndarray, context_ids: np.ndarray):
         self.at = at
-        self.key, self.first, self.which = (x if x.dtype == np.uint64 else x.astype(np.int32) for x in np.unique(keys, return_index=True, return_inverse=True))
+        self.key, first, which = distinct(grams)
+        self.first, self.which = first.astype(np.int32), which.astype(np.int32)
+        used = np.zeros(len(context_keys), bool)
+        used[context_ids] = True
+        self.contexts = context_keys[used]
+        self.context_of = (np.cumsum(used, dtype=np.int32) - 1)[context_ids]
 
 
 class State:
-    """What a chunk knows: filled level by level from the answers."""
+    """What a chunk knows: filled level by level from the answers.
+
+    For each token: count, the training count of the n-gram that ends there at the last level
+    (0: none); gram, that n-gram's hash; number, its place among the level's keys. A context of k
+    words is the n-gram of the level before that ends one token earlier."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, table: pa.Table, model: dict):
         self.ids, self.none, train, self.counts, self.words, index = unpack(payload)
         self.index = index.astype(np.int32)
         self.train_doc = train.astype(bool)
         self.train = np.repeat(self.train_doc, self.counts)
         ends = np.cumsum(self.counts)
-        place = np.arange(len(index), dtype=np.int32) - np.repeat((ends - self.counts).astype(np.int32), self.counts)
-        self.place = place  # words before a token in its document
-        self.levels: list[Level] = []
+        # words before a token in its document
+        self.place = np.arange(len(index), dtype=np.int32) - np.repeat((ends - self.counts).astype(np.int32), self.counts)
+        self.model, self.depth = model, 0
+        if table is None:
+            return
+        (c1,) = answered(table, 0)
+        self.c1 = np.abs(c1.astype(np.int64))
+        self.base = ((self.c1 + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))[self.index]
+        self.p, self.count, self.deep = self.base, self.c1[self.index], np.zeros(len(index), np.int8)
+        self.key, self.number, self.gram = self.words, self.index, self.words[self.index]
 
     def unigrams(self) -> np.ndarray:
         return np.bincount(self.index[self.train], minlength=len(self.words)).astype(np.uint32)
 
-    def open(self, depth: int, min_count: int, count_before: np.ndarray) -> Level:
-        """The next level. count_before: training count of the n-gram that ends at each token
-        and has the length of the new contexts."""
-        k = len(self.levels) + 1
+    def open(self) -> Level:
+        """The next level."""
+        self.depth = k = self.depth + 1
         usable = np.zeros(len(self.index), bool)
-        usable[1:] = count_before[:-1] >= min_count
+        usable[1:] = self.count[:-1] >= self.model["min_count"]
         usable &= self.place >= k
         at = np.flatnonzero(usable).astype(np.int32)
-        self.levels.append(level := Level(at, self.gram(at, k)))
+        grams = mix(self.gram[at] * _LEVEL[0] + self.words[self.index[at - k]] * _LEVEL[1])
+        self.level = level = Level(at, grams, self.key, self.number[at - 1])
+        self.before = self.count
+        self.gram = np.zeros(len(self.index), np.uint64)
+        self.gram[at] = grams
+        self.number = np.zeros(len(self.index), np.int32)
+        self.number[at] = level.which
+        self.key = level.key
         return level
 
-    def gram(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the n-gram of k context words and the token."""
-        h = self.words[self.index[at]]
-        for i in range(1, k + 1):
-            h = mix(h * _LEVEL[0] + self.words[self.index[at - i]] * _LEVEL[1])
-        return h
+    def counted(self, table: pa.Table) -> None:
+        """Takes the training counts of the open level's n-grams."""
+        level = self.level
+        self.count = np.zeros(len(self.index), np.int64)
+        self.signed = np.zeros(0, np.int64)
+        if len(level.at):
+            self.signed = answered(table, 2 * self.depth)[0].astype(np.int64)
+            self.count[level.at] = np.abs(self.signed)[level.which]
 
-    def context(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the k words before each token, apart from that of any n-gram."""
-        h = np.full(len(at), np.uint64(k))
-        for i in range(1, k + 1):
-            h = mix(h * _LEVEL[0] + self.words[self.index[at - i]] * _LEVEL[1])
-        return h
+    def smoothed(self, table: pa.Table) -> None:
+        """Takes the open level's retained states: successors of each context, 0 if it is none."""
+        level = self.level
+        if len(level.at) == 0:
+            return
+        t = answered(table, 2 * self.depth + 1)[0].astype(np.int64)[level.context_of]
+        use = t > 0
+        at, t = level.at[use], t[use]
+        self.p = self.p.copy()
+        self.p[at] = (self.count[at] + t * self.p[at]) / (self.before[at - 1] + t)
+        self.deep[at] = self.depth
 
 
-def _grams_reply(kind, n, group, sent, source):
-    """Training counts; the sign marks the chunk that owns the n-gram."""
-    local = sent[0].astype(np.int64)
+def _grams_reply(n, group, local):
+    """Training counts; the sign marks the first chunk that counted the n-gram, its owner."""
     total = np.bincount(group, local, n).astype(np.int64)
-    owner = np.full(n, np.iinfo(np.int64).max)
-    has = local > 0
-    np.minimum.at(owner, group[has], source[has])
+    has = np.flatnonzero(local > 0)[::-1]
+    owner = np.full(n, -1, np.int64)
+    owner[group[has]] = has
+    owner = owner[owner >= 0]
     t = total[group]
-    return [np.where(has & (owner[group] == source), -t, t).astype(np.int64 if len(t) and t.max() > 2**31 - 1 else np.int32)], (float(total.sum()), float((total > 0).sum()))
+    t[owner] = -t[owner]
+    return [t.astype(np.int64 if len(t) and total.max() > 2**31 - 1 else np.int32)], (float(total.sum()), float((total > 0).sum()))
 
 
-def _reply(kind, n, group, sent, source):
-    if kind % 2:  # sums for contexts
-        return [np.bincount(group, sent[0], n)[group], np.bincount(group, sent[1], n)[group].astype(np.int64)], (0, 0)
-    return _grams_reply(kind, n, group, sent, source)
+def _replying(penalty: float):
+    def reply(kind, n, group, sent, source):
+        if kind % 2 == 0:
+            return _grams_reply(n, group, sent[0].astype(np.int64))
+        terms, distinct_, count = (np.bincount(group, x, n) for x in sent)
+        divergence = terms - count * np.log(np.maximum(count, 1))
+        kept = (distinct_ > 0) & (divergence > penalty * 0.5 * distinct_ * np.log(np.maximum(count, 2)))
+        return [np.where(kept, distinct_, 0).astype(np.uint32)[group]], (0, 0)
 
+    return reply
 
-def _rebuild(payload: bytes, table, model: dict, upto: int) -> tuple[State, dict]:
-    """Runs a chunk through the levels that have been answered.
 
-    Returns, for each token: p: its probability by the longest state among the levels that are
-    complete; count: of the n-gram that ends there at the last level."""
-    s = State(payload)
-    (c1,) = answered(table, 0)
-    c1 = np.abs(c1.astype(np.int64))
-    n, v = model["n"], model["v"]
-    p = ((c1 + 0.5) / (n + 0.5 * (v + 1)))[s.index]
-    known, count, deep = c1, c1[s.index], np.zeros(len(p), np.int8)
-    out = {"c1": known, "base": p}
+def _rebuilt(payload: bytes, table: pa.Table, model: dict, upto: int) -> State:
+    """Runs a chunk through the levels up to upto, of which the last may lack its states yet."""
+    s = State(payload, table, model)
+    there = kinds(table)
     for k in range(1, upto + 1):
-        before = count
-        level = s.open(k, model["min_count"], before)
-        if len(level.at) == 0:
-            out |= {"contexts": np.zeros(0, np.uint64), "signed": np.zeros(0, np.int64)}
-            count = np.zeros(len(p), np.int64)
-            continue
-        if not any(x == 2 * k for x in set(table["kind"].to_pylist())):
-            break
-        (signed,) = answered(table, 2 * k)
-        signed = signed.astype(np.int64)
-        contexts, context_first, context_of = np.unique(s.context(level.at, k), return_index=True, return_inverse=True)
-        c_context = before[level.at - 1][context_first]
-        total = np.abs(signed)
-        out |= {"contexts": contexts, "signed": signed, "owned": signed < 0, "context_of_key": context_of[level.first], "total": total}
-        if 2 * k + 1 in set(table["kind"].to_pylist()):
-            s_sum, distinct = answered(table, 2 * k + 1)
-            divergence = s_sum - c_context * np.log(np.maximum(c_context, 1))
-            kept = (distinct > 0) & (divergence > model["penalty"] * 0.5 * distinct * np.log(np.maximum(c_context, 2)))
-            use = kept[context_of]
-            t = distinct[context_of]
-            fine = (total[level.which] + t * p[level.at]) / (c_context[context_of] + np.maximum(t, 1))
-            p = p.copy()
-            p[level.at[use]] = fine[use]
-            deep[level.at[use]] = k
-        else:
-            out["parent"] = p[level.at[level.first]]
-        count = np.zeros(len(p), np.int64)
-        count[level.at] = total[level.which]
-    return s, out | {"p": p, "count": count, "deep": deep}
-
-
-def _ask_words(chunk, payload, table, buckets):
-    s = State(payload)
+        s.open()
+        s.counted(table)
+        if 2 * k + 1 in there:
+            s.smoothed(table)
+    return s
+
+
+def _ask_words(chunk, payload, buckets):
+    s = State(payload, None, {})
     return ask(chunk, 0, s.words, [s.unigrams()], buckets)
 
 
 def _ask_level(chunk, payload, table, model, k, buckets):
     """Divergence terms of level k - 1, n-grams of level k (none beyond the depth)."""
-    s, x = _rebuild(payload, table, model, k - 1)
+    s = _rebuilt(payload, table, model, k - 1)
     rows = []
-    if k > 1 and len(x["contexts"]):
-        own = x["owned"]
-        total, parent = x["total"][own].astype(float), x["parent"][own]
-        of = x["context_of_key"][own]
-        m = len(x["contexts"])
-        terms = np.bincount(of, total * (np.log(total) - np.log(parent)), m)
-        rows += ask(chunk, 2 * k - 1, x["contexts"], [terms, np.bincount(of, minlength=m).astype(np.uint32)], buckets)
+    if k > 1 and len(s.level.at):
+        level, own = s.level, s.signed < 0
+        total, first = -s.signed[own].astype(float), level.first[own]
+        of, m = level.context_of[first], len(level.contexts)
+        terms = np.bincount(of, total * (np.log(total) - np.log(s.p[level.at[first]])), m)
+        rows += ask(chunk, 2 * k - 1, level.contexts, [terms, np.bincount(of, minlength=m).astype(np.uint32), np.bincount(of, total, m).astype(np.uint32)], buckets)
     if k <= model["depth"]:
-        level = s.open(k, model["min_count"], x["count"])
+        level = s.open()
         if len(level.at):
             train = s.train[level.at]
             rows += ask(chunk, 2 * k, level.key, [np.bincount(level.which[train], minlength=len(level.key)).astype(np.uint32)], buckets)
@@ -218,29 +225,28 @@ def _ask_level(chunk, payload, table, model, k, buckets):
 
 
 def _score(payload, table, model):
-    s, x = _rebuild(payload, table, model, model["depth"])
+    s = _rebuilt(payload, table, model, model["depth"])
     starts = np.cumsum(s.counts) - s.counts
     total = lambda a: np.add.reduceat(a, starts) if len(starts) else a
     return pa.table({
         "doc_id": pa.array(s.ids, pa.int64(), mask=s.none.astype(bool)),
         "held_out": pa.array(~s.train_doc),
         "n_tokens": pa.array(s.counts.astype(np.int64)),
-        "n_known": pa.array(total((x["c1"] > 0)[s.index].astype(np.int64))),
+        "n_known": pa.array(total((s.c1 > 0)[s.index].astype(np.int64))),
         "train_tokens": pa.array(np.full(len(starts), int(model["n"]), dtype=np.int64)),
-        "base_score": pa.array(total(np.log10(x["base"]))),
-        "score": pa.array(total(np.log10(x["p"]))),
-        "n_deep": pa.array(total((x["deep"] > 0).astype(np.int64))),
+        "base_score": pa.array(total(np.log10(s.base))),
+        "score": pa.array(total(np.log10(s.p))),
+        "n_deep": pa.array(total((s.deep > 0).astype(np.int64))),
     })
 
 
 def score_corpus(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, penalty: float = PENALTY, held_out: tuple[int, int] = HELD_OUT) -> DataFrame:
     """Trains on the documents whose crc32(doc_id) mod held_out[0] is not held_out[1] and scores
     all. n_deep: tokens scored by a state below the root."""
-    packed = docs.select("doc_id", "text").mapInArrow(packer(*held_out), "chunk long, size long, payload binary")
-    corpus = Corpus(packed, "lm")
-    buckets = corpus.buckets
-    n, v = corpus.round(lambda c, p, t: _ask_words(c, p, t, buckets), _reply)
-    model = {"n": n, "v": v, "min_count": min_count, "penalty": penalty, "depth": depth}
+    corpus = Corpus(docs.select("doc_id", "text"), packer(*held_out), "lm", CHUNK_BYTES)
+    buckets, reply = corpus.buckets, _replying(penalty)
+    n, v = corpus.round(lambda c, p, t: _ask_words(c, p, buckets), reply)
+    model = {"n": n, "v": v, "min_count": min_count, "depth": depth}
     for k in range(1, depth + 2):
-        corpus.round(lambda c, p, t, k=k: _ask_level(c, p, t, model, k, buckets), _reply)
+        corpus.round(lambda c, p, t, k=k: _ask_level(c, p, t, model, k, buckets), reply)
     return corpus.finish(lambda c, p, t: _score(p, t, model), SCHEMA)
