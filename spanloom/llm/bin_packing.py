@@ -14,8 +14,8 @@ rows are packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,40 +24,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import buffers, slices
-from spanloom.session import stored
+from spanloom.llm._words import Words, buffers, distinct, slices
+from spanloom.session import discard, stored
 
 CAPACITY, CLOSING = 4096, 1
-CACHE = 900_000
+#: Words, and parts of words, whose ids a worker remembers, and bytes of text encoded at a time.
+CACHE, SLICE = 400_000, 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long"
 _tokenizers: dict = {}
 
 
+def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[at[i]:at[i + 1]] for i in which, one after another, and where each ends."""
+    n = at[which + 1] - at[which]
+    ends = np.cumsum(n)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)], ends
+
+
+class Runs:
+    """Numbered runs of ids by name, in one growing array."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def add(self, names: list, ids: np.ndarray, n: np.ndarray) -> None:
+        have = len(self.number)
+        begin = int(self.at[have])
+        while begin + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while have + len(names) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[begin : begin + len(ids)] = ids
+        self.at[have + 1 : have + 1 + len(names)] = begin + np.cumsum(n)
+        self.number.update(zip(names, range(have, have + len(names)), strict=True))
+
+
 class WordEncoder:
     """Token ids of texts, word by word: the vocabulary drops white space and never merges across
-    it. Ids of words are remembered, up to a bound."""
+    it. Only the distinct words of many texts are looked at one by one; a word of plain letters,
+    maybe with signs after them, is encoded as those two parts, the letters in lower case. Ids of
+    words and parts are remembered, up to a bound."""
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    MARK, GROUP = "\x01", 200
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.mark = self._each([self.MARK])[0]
+        samples = ("Ab.", "ÉÀ)", "x<|", "It...", "Zz\\", "a,")
+        self.parted = all(sum(self._each([m[1].lower(), m[2]]), []) == self._each([w])[0] for w in samples if (m := self.PLAIN.fullmatch(w)))
+        self.words, self.parts = Runs(), Runs()
 
-    def learn(self, texts: bytes) -> None:
-        """Encodes the words of many texts that are not known yet, in one call."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(texts.split()).difference(self.known))
+    def _each(self, parts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(parts, add_special_tokens=False)]
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts and how many each has; many parts go to the tokenizer as one text, with
+        a mark between them that no other text has the id of."""
+        if len(self.mark) == 1 and not any(self.MARK in p for p in parts):
+            texts = [f" {self.MARK} ".join(parts[i : i + self.GROUP]) + f" {self.MARK}" for i in range(0, len(parts), self.GROUP)]
+            ids = np.array([i for e in self._each(texts) for i in e], np.uint32)
+            mark = ids == self.mark[0]
+            if mark.sum() == len(parts):
+                return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+        each = self._each(parts)
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.parts.number) > CACHE:
+            self.parts = Runs()
+        split = []
+        for raw in words:
+            word = raw.decode()
+            m = self.PLAIN.fullmatch(word) if self.parted else None
+            split += (m[1].lower(), m[2]) if m else (word, "")
+        number = self.parts.number
+        new = list(dict.fromkeys(p for p in split if p not in number))
         for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """32-bit ids of a text whose words have been learned."""
-        return b"".join(map(self.known.__getitem__, text.split()))
+            self.parts.add(new[i : i + 50_000], *self._encoded(new[i : i + 50_000]))
+        flat, ends = _gather(self.parts.flat, self.parts.at, np.array([number[p] for p in split], np.int64))
+        self.words.add(words, flat, np.diff(ends[1::2], prepend=0))
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the closing id, and where each text's ids begin."""
+        if len(self.words.number) > CACHE:
+            self.words = Runs()
+        w = Words(data, bounds)
+        _, first, which = distinct(w.hashes())
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        number = self.words.number
+        if new := [x for x in words if x not in number]:
+            self._learn(new)
+        flat, ends = _gather(self.words.flat, self.words.at, np.array([number[x] for x in words], np.int64))
+        at = np.concatenate([[0], ends, ends[-1:] + 1 if len(ends) else [1]])
+        flat = np.append(flat, np.uint32(closing))
+        units = np.full(len(which) + len(bounds) - 1, len(words), np.int64)
+        last = np.cumsum(w.count + 1) - 1
+        inner = np.ones(len(units), bool)
+        inner[last] = False
+        units[inner] = which
+        out, ends = _gather(flat, at, units)
+        return out, np.concatenate([[0], ends[last]])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -68,28 +141,33 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
     """One row per piece. part, rank: its number among the pieces of its length in its task."""
-    end = np.array([closing], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, words = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
+        part, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer)
         for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            rows = []
-            for lo, hi, data, bounds in slices(*buffers(batch.column(1))):
-                raw, at = data.tobytes(), bounds.tolist()
-                words.learn(b" ".join(raw[a:b] for a, b in zip(at, at[1:], strict=False)))
-                for doc, a, b in zip(ids_of[lo:hi], at, at[1:], strict=False):
-                    ids = words.ids(raw[a:b]) + end
-                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[i : i + 4 * capacity]
-                        n = len(cut) // 4
-                        rows.append((doc, k, i // 4, n, zlib.crc32(cut), cut if with_ids else None, part, seen[n]))
-                        seen[n] += 1
-            if rows:
-                d, k, s, n, c, t, p, r = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.binary()), pa.array(p, pa.int32()), pa.array(r, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "rank"])
+            for lo, _, data, bounds in slices(*buffers(batch.column(1)), SLICE):
+                ids, at = words.ids(data, bounds, closing)
+                n = np.diff(at)
+                count = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(n[doc] - start, capacity)
+                begin = at[doc] + start
+                order = np.argsort(length, kind="stable")
+                sizes, first, many = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - np.repeat(first - seen[sizes], many)
+                seen[sizes] += many
+                raw = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
+                cuts = [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0).take(pa.array(lo + doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
+                    "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()), "ids": pa.array([bytes(c) for c in cuts] if with_ids else [None] * len(cuts), pa.binary()),
+                    "part": pa.array(np.full(len(doc), part, np.int32)), "rank": pa.array(rank),
+                })
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -187,12 +187,41 @@ def test_language(spark, docs):
 
 def test_decontamination(spark, docs):
     item = " ".join("t%d" % i for i in range(30))
-    items = spark.createDataFrame([(1, item), (2, None), (3, "short one")], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, "short one"), (4, "a question of six tokens only"), (5, "five t1 tokens t2 here"), (5, "five t1 tokens t2 here")], "item_id long, text string")
     changed = item.replace("t14", "other").replace("t22", "other")
-    some = spark.createDataFrame([(1, "before " + item.upper() + " after"), (2, changed), (3, "nothing of that kind"), (4, None), (5, "t1 t2 t3 t4")], "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in spaced_seeds.overlaps(some, items).collect()} == {(1, 1), (2, 1)}
-    assert {r["doc_id"] for r in spaced_seeds.keep_clean(some, items).collect()} == {3, 4, 5}
+    texts = ["before " + item.upper() + " after", changed, "nothing of that kind", None, "t1 t2 t3 t4", "This is: a question, of six tokens only!", "a question of six tokens", "five t1 tokens t2 here five t1 tokens t2 here", "short one"]
+    some = spark.createDataFrame([(i + 1, t, 1, 2) for i, t in enumerate(texts)] + [(None, item, 1, 2)], "doc_id long, text string, _bad int, seed int")
+    got = {(r["doc_id"], r["item_id"]): r["n_hits"] for r in spaced_seeds.overlaps(some, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (6, 4), (8, 5), (None, 1)} and got[8, 5] == 4
+    left = spaced_seeds.keep_clean(some, items)
+    assert {r["doc_id"] for r in left.collect()} == {3, 4, 5, 7, 9} and left.columns == some.columns
     assert spaced_seeds.overlaps(docs, items.limit(0)).count() == 0
+    assert spaced_seeds.overlaps(docs.limit(0), items).count() == 0
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(i, " ".join("b%d" % rng.randrange(500) for _ in range(rng.randint(3, 40)))) for i in range(40)]
+    texts = [" ".join([*("b%d" % rng.randrange(500) for _ in range(20)), rng.choice(items)[1], "end"]) for _ in range(60)]
+    d, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: {tuple(r) for r in spaced_seeds.overlaps(d, b).collect()}
+    whole = rows()
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", 100)
+    assert len(whole) > 40 and rows() == whole
+
+
+def test_substituted_passages_are_found(spark):
+    """Recall on passages with a share of their tokens replaced, away from any tuning rows."""
+    rng = random.Random(77)
+    items = [(i, " ".join("q%d" % rng.randrange(3000) for _ in range(30))) for i in range(100)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        for k in rng.sample(range(30), 3):
+            w[k] = "z"
+        texts.append((i, "intro words " + " ".join(w) + " closing words"))
+    found = spaced_seeds.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in found) and len(found) >= 95
 
 
 def test_warc_round_trip(spark):
