@@ -11,13 +11,15 @@ filters hold at most 1 / floor n-grams a language, at any corpus size, and the t
 fixed, may be broadcast. Counts cover every training document.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0, as does
-everything if nothing can be learned; ties go to the first language by name; repeated rows each
-count; an empty table gives no rows; more than 64 languages raise ValueError.
+everything if nothing can be learned; ties go to the first language by name, and so do texts
+without an n-gram, which have one letter; repeated rows each count; an empty table gives no rows.
+Every 64 languages take another table of masks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from spanloom.llm._words import mix, per_doc, remainder, texts_of
 
 GRAM, FLOOR, RELATIVE = 4, 1e-6, 0.15
 SLOT_BITS, HASHES = 22, 2
-SLICE_BITS = 16
+SLICE_BITS, WORD = 16, 64
 HELD_OUT = (4, 2)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _fold: list = []
@@ -48,8 +50,10 @@ def _folding() -> np.ndarray:
 
 
 def grams(data: np.ndarray, bounds: np.ndarray, width: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of n-grams of folded letters, a gap between words being one blank; the first n-gram
-    of each text, and the end; the letters in each text."""
+    """Hashes of n-grams of folded letters, a gap between words being one blank, as are a text's two
+    ends; the first n-gram of each text, and the end; the letters in each text."""
+    data = np.insert(data, np.sort(np.concatenate([bounds[:-1], bounds[1:]])), 32)
+    bounds = bounds + 2 * np.arange(len(bounds))
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=starts[1:])
@@ -119,10 +123,8 @@ def fit(docs: DataFrame, held_out=HELD_OUT, floor: float = FLOOR, relative: floa
     found = stored(counts(docs, held_out), "language-grams")
     totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; the masks hold 64")
     kind = np.uint8 if len(langs) <= 8 else np.uint64
-    table = np.zeros(1 << SLOT_BITS, kind)
+    table = np.zeros((max(1, -(-len(langs) // WORD)), 1 << SLOT_BITS), kind)
     if langs:
         total = F.create_map(*(F.lit(x) for pair in totals.items() for x in pair))
         bit = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)))
@@ -132,20 +134,22 @@ def fit(docs: DataFrame, held_out=HELD_OUT, floor: float = FLOOR, relative: floa
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                masks = np.array([sum(1 << b for b in bits) for bits in batch.column(1).to_pylist()], dtype=np.uint64)
-                for s in slots(h):
-                    yield pa.RecordBatch.from_pydict({"slot": pa.array(s.astype(np.int64)), "mask": pa.array(masks.view(np.int64))})
+                all_bits = batch.column(1).to_pylist()
+                for word in range(len(table)):
+                    masks = np.array([sum(1 << b % WORD for b in bits if b // WORD == word) for bits in all_bits], dtype=np.uint64)
+                    for s in slots(h[masks > 0]):
+                        yield pa.RecordBatch.from_pydict({"word": pa.array(np.full(len(s), word, np.int32)), "slot": pa.array(s.astype(np.int64)), "mask": pa.array(masks[masks > 0].view(np.int64))})
 
         def piece(t: pa.Table) -> pa.Table:
             s = t["slot"].to_numpy()
             out = np.zeros(1 << SLICE_BITS, np.uint64)
             np.bitwise_or.at(out, s & ((1 << SLICE_BITS) - 1), t["mask"].to_numpy().view(np.uint64))
-            return pa.table({"piece": pa.array([int(s[0]) >> SLICE_BITS], pa.int64()), "body": pa.array([out.astype(kind).tobytes()], pa.binary())})
+            return pa.table({"word": t["word"].slice(0, 1), "piece": pa.array([int(s[0]) >> SLICE_BITS], pa.int64()), "body": pa.array([out.astype(kind).tobytes()], pa.binary())})
 
-        # one piece of the table a row: its size is that of the table, fixed, whatever the corpus
-        pieces = members.mapInArrow(part, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).groupBy(F.shiftright("slot", SLICE_BITS).alias("piece")).applyInArrow(piece, "piece long, body binary")
+        # one piece of a table a row: its size is that of the table, fixed, whatever the corpus
+        pieces = members.mapInArrow(part, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).groupBy("word", F.shiftright("slot", SLICE_BITS).alias("piece")).applyInArrow(piece, "word int, piece long, body binary")
         for r in pieces.collect():
-            table[r["piece"] << SLICE_BITS : (r["piece"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["body"]), kind)
+            table[r["word"], r["piece"] << SLICE_BITS : (r["piece"] + 1) << SLICE_BITS] = np.frombuffer(bytes(r["body"]), kind)
     discard(found)
     return langs, table
 
@@ -153,7 +157,8 @@ def fit(docs: DataFrame, held_out=HELD_OUT, floor: float = FLOOR, relative: floa
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, held_out=HELD_OUT) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    false = [float((table >> table.dtype.type(i) & table.dtype.type(1)).mean()) ** HASHES for i in range(len(langs))]
+    bit = lambda x, i: x >> x.dtype.type(i % WORD) & x.dtype.type(1)
+    false = [float(bit(table[i // WORD], i).mean()) ** HASHES for i in range(len(langs))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_masks = shared.value
@@ -161,13 +166,12 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, held_out=HELD_
             out = remainder(batch.column(0).to_pylist(), held_out[0]) == held_out[1]
             for lo, hi, data, bounds in texts_of(batch):
                 h, first, letters = grams(data, bounds)
-                mask = None
-                for s in slots(h):
-                    mask = slot_masks[s] if mask is None else mask & slot_masks[s]
+                places = slots(h)
+                masks = [reduce(np.bitwise_and, (words[s] for s in places)) for words in slot_masks]
                 n = np.diff(first)
                 votes = np.zeros((hi - lo, max(len(langs), 1)))
                 for i, f in enumerate(false):
-                    hits = per_doc((mask >> mask.dtype.type(i) & mask.dtype.type(1)).astype(np.int64), first)
+                    hits = per_doc(bit(masks[i // WORD], i).astype(np.int64), first)
                     votes[:, i] = np.maximum(hits - n * f, 0) / (1 - f if f < 1 else 1)
                 total = votes.sum(1)
                 best = votes.argmax(1)

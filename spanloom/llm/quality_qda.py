@@ -13,6 +13,7 @@ are ignored by :func:`score` and kept by :func:`keep`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,5 +129,6 @@ def score(docs: DataFrame, labels: DataFrame, held_out=HELD_OUT, threshold: floa
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are predicted good, all columns; repeated doc_ids are kept only if every
     such row is predicted good."""
-    bad = score(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("_bad").eqNullSafe(docs["doc_id"]), "left_anti")
+    name = f"bad_{uuid.uuid4().hex}"
+    bad = score(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(name).eqNullSafe(docs["doc_id"]), "left_anti")

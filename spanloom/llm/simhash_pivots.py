@@ -18,6 +18,7 @@ doc_ids get a row each; null doc_ids have no component unless their group has an
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,5 +191,6 @@ def hex_digits(fp):
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Of each group, the document with the smallest doc_id, all columns; rows without a doc_id stay."""
-    gone = near_duplicates(docs, radius, shingle, seed).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("_gone") == docs["doc_id"], "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = near_duplicates(docs, radius, shingle, seed).filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(name) == docs["doc_id"], "left_anti")

@@ -5,9 +5,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import zstandard
 
-from spanloom.llm import line_neighbourhood, relative_lz, suffix_tree_lm
+from spanloom.llm import _words, bin_packing, compression_bands, line_neighbourhood, near_copies, quality_qda, relative_lz, suffix_tree_lm
+from tests.llm.test_near_copies import components, family
 
 SCHEMA = "doc_id long, text string, n_lines string, _null string, chunk string"
 
@@ -155,3 +158,111 @@ def test_words_of_a_line_decide():
     for _ in range(500):
         x, y = ([rng.choice((b"a", b"b")) for _ in range(rng.randint(0, 5))] for _ in range(2))
         assert line_neighbourhood.within_one(x, y) == within_one(x, y)
+
+
+def test_quadratic_discriminant_by_numpy(spark):
+    """Scores from the same statistics by textbook formulas, and the statistics by plain Python."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["one", "two", "Three", "4", "five,", "six!", "#7"], k=rng.randint(1, 90))) + rng.choice(("", "\nsame\nsame")) for _ in range(150)] + [None, "", "é"]
+    labels = {i: int(i % 3 > 0) for i in range(120)}
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in quality_qda.score(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    data, bounds = _words.buffers(__import__("pyarrow").array(texts))
+    x = quality_qda.transformed(_words.Words(data, bounds))
+    for i, t in enumerate(texts):
+        w = words(t)
+        assert abs(x[i][0] - math.log1p(len(w))) < 1e-9
+        chars = max(1, sum(len(a.decode()) for a in w))
+        assert abs(x[i][5] - math.sqrt(sum(a.isupper() and a.isascii() for a in t or "") / chars)) < 1e-9
+        assert abs(x[i][9] - math.log((len(set(w)) + 1) / (max(1, len(w)) + 1)) / math.log(max(1, len(w)) + 2)) < 1e-9
+    train = [i for i in labels if in_training(i, 5, 0)]
+    y = np.array([labels[i] for i in train])
+    part = [x[train][y == k] for k in (0, 1)]
+    pooled = sum(len(p) * np.cov(p.T, bias=True) for p in part) / len(train)
+    density = []
+    for p in part:
+        cov = (1 - quality_qda.SHRINKAGE) * np.cov(p.T, bias=True) + quality_qda.SHRINKAGE * pooled + quality_qda.RIDGE * np.eye(x.shape[1])
+        d = x - p.mean(0)
+        density.append(math.log(len(p) / len(train)) - 0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    score = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+    for i in range(len(texts)):
+        assert abs(got[i]["score"] - score[i]) < 1e-5 and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] != in_training(i, 5, 0)
+
+
+def test_bands_by_hand(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 9)))
+    lines = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    a, b = "", ""
+    for bit in range(11):  # sequences of two letters whose polynomial hashes agree
+        a, b = (a + b, b + a) if bit else ("a", "b")
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(0, 400))) for _ in range(60)] + ["# $ % x#y\n\n x", a + "\n" + b, a + "\n" + a, None, "", "w " * 40, "abc def ghi " * 3000]
+    got = {r["doc_id"]: r for r in compression_bands.judge(frame(spark, texts)).collect()}
+    z = zstandard.ZstdCompressor(level=3)
+    for i, t in enumerate(texts):
+        t, w, raw = t or "", words(t), (t or "").encode()
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if line.split():
+                dup += line in seen
+                seen.add(line)
+        windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        hit = {j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+        g = got[i]
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"], g["base_failed"]) == (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), dup, len(hit), failed), i
+        fine = False
+        if raw:
+            low, high = next((lo, hi) for top, lo, hi in compression_bands.BANDS if len(raw) <= top)
+            parts = [len(z.compress(raw[k : k + 4096])) / 4096 for k in range(0, len(raw) - 4095, 4096)]
+            fine = low <= len(z.compress(raw)) / len(raw) <= high and all(compression_bands.CHUNK_BAND[0] <= p <= compression_bands.CHUNK_BAND[1] for p in parts)
+        assert g["kept"] == (not failed and fine)
+
+
+def test_packing_by_hand(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdéÀ'.,<|x1²\x01 ", k=rng.randint(1, 8)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 300))) for _ in range(80)] + [None, "", "it's don't <|endoftext|> x<|startoftext|>y", "A" * 3000, "İ ΣΣ ǅ ñ́"]
+    packed = bin_packing.pack(frame(spark, texts), path, 128, with_ids=True).collect()
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        cut = [b"".join(x.to_bytes(4, "little") for x in ids[k : k + 128]) for k in range(0, len(ids), 128)]
+        mine = sorted((p["piece"], p["start"], p["length"], bytes(p["ids"]), p["ids_crc32"]) for p in packed if p["doc_id"] == i)
+        assert mine == [(k, 128 * k, len(c) // 4, c, zlib.crc32(c)) for k, c in enumerate(cut)], i
+    total = sum(p["length"] for p in packed)
+    assert len({p["sequence_id"] for p in packed}) == -(-total // 128)
+    whole = {r["sequence_id"]: bytes(r["ids"]) for r in bin_packing.sequences(bin_packing.pack(frame(spark, texts), path, 128, with_ids=True)).collect()}
+    assert sum(len(x) for x in whole.values()) == 4 * total and max(len(x) for x in whole.values()) <= 4 * 128
+
+
+@pytest.mark.parametrize(("low", "high", "group"), [(1, 9, near_copies.GROUP), (1, 9, 40), (4, 8, 10)])
+def test_near_copies_of_a_large_family(spark, low, high, group):
+    data = family(400, low, high)
+    docs = spark.createDataFrame([(r[0], r[1], 1, 2) for r in data], "doc_id long, text string, _gone int, _holder int").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, group=group).collect()}
+    assert got == components(data)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """A text of over 2 MB beside small ones, in every operator that cuts texts into slices."""
+    rng = random.Random(2)
+    vocabulary = ["u%d" % i for i in range(3000)]
+    long = "\n".join(" ".join(rng.choices(vocabulary, k=12)) for _ in range(36_000))
+    assert len(long) > 2 << 20
+    texts = ["short one here", long, long[: 1 << 20], None]
+    docs = frame(spark, texts, 2)
+    lz = {r["doc_id"]: r for r in relative_lz.remove_repeats(docs).collect()}
+    n = len(words(texts[2]))
+    assert lz[2]["n_words"] == n and len(lz[2]["kept_text"].split()) <= 1 and sum(s["end"] - s["start"] for s in lz[1]["spans"]) >= n - 1
+    lines = {r["doc_id"]: r for r in line_neighbourhood.drop_near_lines(docs).collect()}
+    assert lines[2]["text"].count("\n") <= 1 and lines[1]["n_lines"] == 36_000
+    lm = {r["doc_id"]: r for r in suffix_tree_lm.score_corpus(docs).collect()}
+    assert lm[1]["n_tokens"] == len(words(long)) + 1
+    bands = {r["doc_id"]: r for r in compression_bands.judge(docs).collect()}
+    assert bands[1]["n_words"] == len(words(long))

@@ -185,6 +185,47 @@ def test_language(spark, docs):
     assert language_bitmask.identify(train.limit(0)).count() == 0
 
 
+def test_short_texts_and_many_languages(spark):
+    """Texts of one short word, and more languages than a mask word has bits."""
+    words = {f"l{k:02d}": ["".join(random.Random(f"{k}-{i}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(8)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(random.Random(i).choices(ws, k=30)), lang) for k, (lang, ws) in enumerate(words.items()) for i in range(6)]
+    short = [(9000 + k, ws[0], None) for k, ws in enumerate(words.values())] + [(9900, "ab", None), (9901, "x", None), (9902, "  ", None)]
+    got = {r["doc_id"]: r for r in language_bitmask.identify(spark.createDataFrame(rows + short, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+    assert all(got[9000 + k]["lang_pred"] == lang for k, lang in enumerate(words))
+    assert got[9901]["lang_pred"] == "l00" and got[9902]["lang_pred"] == "und"
+
+
+def votes_by_hand(rows, held_out=(4, 2)):
+    """The same model with plain sets of n-grams in place of Bloom filters."""
+    grams = lambda t: [g for g in [(" " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t or "").split()) + " ")] for g in (g[i : i + 4] for i in range(len(g) - 3))]
+    counts = {}
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % held_out[0] != held_out[1]:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = Counter()
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    member = {x: {g for g, y in c.items() if y >= language_bitmask.FLOOR and y >= language_bitmask.RELATIVE * most[g]} for x, c in share.items()}
+    return {i: {x: sum(g in m for g in grams(t)) for x, m in sorted(member.items())} for i, t, _ in rows}
+
+
+def test_language_votes_by_plain_sets(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "aeioumn"}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randint(1, 7))) for _ in range(rng.randint(1, 60))), lang) for i, lang in enumerate(rng.choices(list(letters), k=300))]
+    got = {r["doc_id"]: r for r in language_bitmask.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    differ = 0
+    for i, votes in votes_by_hand(rows).items():
+        best = max(votes.values())
+        if best and sum(v == best for v in votes.values()) == 1:
+            differ += votes[got[i]["lang_pred"]] != best
+            assert abs(got[i]["score"] - best / sum(votes.values())) < 0.05
+    assert differ <= 2  # the filters' false positives are corrected on average only
+
+
 def test_decontamination(spark, docs):
     item = " ".join("t%d" % i for i in range(30))
     items = spark.createDataFrame([(1, item), (2, None), (3, "short one"), (4, "a question of six tokens only"), (5, "five t1 tokens t2 here"), (5, "five t1 tokens t2 here")], "item_id long, text string")
