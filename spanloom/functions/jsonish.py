@@ -65,6 +65,121 @@ def bracketed(x: Column) -> Column:
     return F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("s", "l", "d"), strict=True))), lambda a: F.struct(F.trim(a["s"]).alias("span"), F.trim(a["l"]).alias("label"), F.lower(F.trim(a["d"])).alias("decision")))
 
 
+def flattened(x: Column) -> Column:
+    """Key and text value of a JSON object's members."""
+    return F.coalesce(F.from_json(unfenced(x), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+
+
+def _distinct_filled(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(x, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""))
+
+
+def csv_rows(x: Column) -> Column:
+    """The cells of each line of comma-separated text; quoted cells may hold commas, not line ends."""
+    lines = F.filter(F.split(unfenced(x), r"\r?\n"), lambda l: F.trim(l) != "")  # noqa: E741
+    cell = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+    bare = lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.transform(lines, lambda l: F.transform(F.regexp_extract_all(l, F.lit(cell), F.lit(1)), bare))  # noqa: E741
+
+
+def csv_annotations(x: Column, source: Column) -> Column:
+    """span, label, decision of each line of comma-separated text: the span is the longest cell that the
+    source has and that is not nearly all of it, the decision the last cell if it is one, the label
+    the cell before it or the last."""
+    decided = lambda r: F.lower(F.element_at(r, -1)).isin("permit", "deny", "permission", "prohibition")
+    inside = lambda r: F.filter(r, lambda c: (F.length(c) > 2) & F.contains(F.lower(source), F.lower(c)) & (F.length(c) < 0.85 * F.length(source)))
+    longest = lambda r: F.array_max(F.transform(inside(r), lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]
+    rows = F.filter(csv_rows(x), lambda r: F.size(r) >= 2)
+    read = F.transform(rows, lambda r: F.struct(longest(r).alias("span"), F.when(decided(r), F.element_at(r, -2)).otherwise(F.element_at(r, -1)).alias("label"), F.when(decided(r), F.lower(F.element_at(r, -1))).otherwise("").alias("decision")))
+    return F.filter(read, lambda a: a["span"].isNotNull() & (a["label"] != "") & (a["label"] != a["span"]))
+
+
+_HEADER = ("annotation", "duo_label", "ico_label", "odrl_label", "fhir_label")
+
+
+def forward_counts(raw: Column, roles: list[str]) -> Column:
+    """n, n_labels, parse_ok of an answer: its annotations, else the filled roles of its provisions, else
+    the lines of its comma-separated text."""
+    v = parse(raw)
+    anns = F.coalesce(F.try_variant_get(v, "$.annotations", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    names = _distinct_filled(F.transform(anns, lambda a: text_at(a, "$.field_name", "$.field_id", "$.cluster_id", "$.union_element_id", "$.label", "$.element_id", "$.id")))
+    provs = items(v, "$.provisions")
+
+    def of(p, role):
+        one = F.try_variant_get(p, f"$.{role}", "variant")
+        if role == "decision":
+            return F.when(text_at(one, "$.value", "$.evidence_span_text") != "", 1).otherwise(0)
+        many = F.try_variant_get(p, f"$.{role}", "array<string>")
+        return F.when(many.isNotNull(), F.size(F.filter(many, lambda x: F.trim(x) != ""))).otherwise(F.when(F.trim(F.coalesce(F.try_variant_get(p, f"$.{role}", "string"), F.lit(""))) != "", 1).otherwise(0))
+
+    filled = lambda role: lambda p: of(p, role)
+    per = {r: F.aggregate(F.transform(provs, filled(r)), F.lit(0), lambda s, x: s + x) for r in roles}
+    n_roles, kinds = sum(per.values(), F.lit(0)), sum((F.when(c > 0, 1).otherwise(0) for c in per.values()), F.lit(0))
+    rows = csv_rows(raw)
+    head = F.exists(F.element_at(rows, 1), lambda c: F.lower(c).isin(*_HEADER))
+    body = F.when(F.size(rows) == 0, rows).when(head, F.slice(rows, 2, F.greatest(F.lit(1), F.size(rows)))).otherwise(rows)
+    last = lambda r: F.when(F.lower(F.element_at(r, -1)).isin("permit", "deny", "permission", "prohibition"), F.element_at(r, -2)).otherwise(F.element_at(r, -1))
+    labels = _distinct_filled(F.transform(F.filter(body, lambda r: F.size(r) >= 3), last))
+    out = lambda n, k, ok: F.struct(n.alias("n"), k.alias("n_labels"), F.lit(ok).alias("parse_ok"))
+    return F.when(F.size(anns) > 0, out(F.size(anns), F.size(names), True)).when(n_roles > 0, out(n_roles, kinds, True)).when(unfenced(raw) == "", out(F.lit(0), F.lit(0), False)).otherwise(out(F.size(body), F.size(labels), False))
+
+
+def provisions(raw: Column) -> Column:
+    """role, span and provision_id of every item of an answer's provisions; lists give an item each."""
+    provs = items(parse(raw), "$.provisions")
+    span = lambda x: text_at(x, "$.evidence_span_text", "$.span_text", "$.text", "$.value")
+    as_text = lambda x: F.coalesce(F.nullif(span(x), F.lit("")), F.when(F.schema_of_variant(x) == "STRING", F.trim(F.try_variant_get(x, "$", "string"))), F.lit(""))
+
+    def of(p):
+        members = F.map_entries(F.coalesce(F.try_variant_get(p, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
+        used = F.filter(members, lambda m: ~m["key"].isin("provision_id", "provenance"))
+        # a decision comes first, then the roles by name
+        ordered = F.array_sort(used, lambda a, b: F.when((a["key"] == "decision") & (b["key"] != "decision"), -1).when((b["key"] == "decision") & (a["key"] != "decision"), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        each = lambda m: F.transform(F.coalesce(F.try_variant_get(m["value"], "$", "array<variant>"), F.array(m["value"])), lambda x: F.struct(m["key"].alias("role"), as_text(x).alias("span"), text_at(p, "$.provision_id").alias("provision_id")))
+        return F.flatten(F.transform(ordered, each))
+
+    return F.filter(F.flatten(F.transform(provs, of)), lambda x: x["span"] != "")
+
+
+@F.pandas_udf(T.StructType().add("available", T.BooleanType()).add("found", T.ArrayType(T.StringType())))
+def _under_keys(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+    """Texts at any depth under any of the keys: no expression walks JSON of unknown shape."""
+    import re
+
+    def snake(k):
+        return re.sub(r"[^a-z0-9]+", "_", str(k).lower()).strip("_")
+
+    def strings(x):
+        if isinstance(x, dict):
+            return [s for v in x.values() for s in strings(v)]
+        if isinstance(x, list):
+            return [s for v in x for s in strings(v)]
+        s = "" if x is None else " ".join(str(x).split())
+        return [s] if s else []
+
+    def search(raw, wanted):
+        found, seen, waiting = [], False, [json.loads(raw)] if raw else []
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    if snake(k) in wanted:
+                        seen = True
+                        found += strings(v)
+                waiting += list(x.values())[::-1]
+            elif isinstance(x, list):
+                waiting += x[::-1]
+        return seen, list(dict.fromkeys(found))
+
+    rows = [search(t, set(k)) for t, k in zip(texts, keys, strict=True)]
+    return pd.DataFrame({"available": [a for a, _ in rows], "found": [f for _, f in rows]})
+
+
+def unmatched_language(raw: Column, keys) -> Column:
+    """available, found: whether an answer has one of the keys, and the distinct texts under them."""
+    return _under_keys(F.to_json(parse(raw)), F.array(*map(F.lit, keys)))
+
+
 def listed(x: Column) -> Column:
     """A JSON list, or parts split at ; | and comma."""
     parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[;|,]"), lambda p: F.trim(p)), lambda p: p != "")

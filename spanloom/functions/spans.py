@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+#: A word, maybe of several parts.
+TOKEN = r"(?U)\b\w+(?:[-']\w+)*\b"
 
 
 def located(text: Column, span: Column) -> Column:
@@ -25,13 +26,14 @@ def nth_start(text: Column, span: Column, n: Column) -> Column:
     return F.when((F.size(pieces) < 2) | (F.coalesce(span, F.lit("")) == ""), -1).otherwise(before + k * F.length(span))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
-def token_offsets(texts: pd.Series) -> pd.Series:
-    """Places of word tokens; the built-in expressions give matches but not their offsets."""
-    import re
-
-    find = re.compile(r"\b\w+(?:[-']\w+)*\b").finditer
-    return texts.map(lambda t: [{"start": m.start(), "end": m.end()} for m in find(t or "")])
+def token_offsets(text: Column, pattern: str = TOKEN) -> Column:
+    """Places of word tokens: each match's length, and those of the pieces between the matches."""
+    text = F.coalesce(text, F.lit(""))
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, t: F.struct(F.length(b).alias("skip"), F.length(t).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    add = lambda s, x: F.struct((s["at"] + x["skip"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + x["n"]).alias("end")))).alias("out"))
+    return F.aggregate(steps, start, add, lambda s: s["out"])
 
 
 def token_span(offsets: Column, start: Column, end: Column) -> Column:
@@ -40,8 +42,32 @@ def token_span(offsets: Column, start: Column, end: Column) -> Column:
     return F.struct(F.coalesce(F.array_min(at), F.lit(-1)).alias("first"), F.coalesce(F.array_max(at), F.lit(-1)).alias("last"))
 
 
+def left(text: Column, start: Column, width: int = 100) -> Column:
+    """Up to width characters before start; empty for a span that was not found."""
+    return F.when(start < 0, "").otherwise(F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width))))
+
+
+def right(text: Column, end: Column, width: int = 100) -> Column:
+    return F.when(end < 0, "").otherwise(F.substring(text, end + 1, F.lit(width)))
+
+
 def context(text: Column, start: Column, end: Column, width: int = 100) -> Column:
-    return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, end - start + 2 * width)
+    """What stands around a span."""
+    return F.concat_ws(" || ", left(text, start, width), right(text, end, width))
+
+
+def coverage(spans: Column, n_tokens: Column) -> Column:
+    """Of token spans (first, last): tokens covered, and those counted again for each span."""
+    each = F.flatten(F.transform(F.filter(spans, lambda s: s["first"] >= 0), lambda s: F.sequence(s["first"], s["last"])))
+    return F.struct(F.size(F.array_distinct(each)).alias("covered"), F.size(each).alias("counted"), (F.size(F.array_distinct(each)) / F.greatest(F.lit(1), n_tokens)).alias("share"))
+
+
+def for_reconstruction(items: Column) -> Column:
+    """Items by start (those without one last), longer first, then annotation id."""
+    start = lambda x: F.when(x["start"] < 0, 10**9).otherwise(x["start"])
+    size = lambda x: F.when(x["start"] < 0, 0).otherwise(x["end"] - x["start"])
+    by_id = lambda x, y: F.when(x["annotation_id"] < y["annotation_id"], -1).when(x["annotation_id"] > y["annotation_id"], 1).otherwise(0)
+    return F.array_sort(items, lambda x, y: F.when(start(x) != start(y), start(x) - start(y)).when(size(x) != size(y), size(y) - size(x)).otherwise(by_id(x, y)))
 
 
 def same(a0, a1, b0, b1) -> Column:

@@ -13,6 +13,45 @@ STOP = (
 CONDITIONAL_TERMS = ["if", "unless", "when", "provided", "upon", "only if"]
 NEGATION_TERMS = ["no", "not", "never", "without", "cannot", "can't", "won't", "will not", "may not"]
 UNCERTAINTY_TERMS = ["may", "might", "could", "possibly", "uncertain"]
+MENTION_STOP = (
+    "the a an and or of to in for with without by from on at as is are be been this that it its your you we our may can will shall my i they their them us all about into if then than"
+).split()
+DECISION_ARTIFACTS = (
+    "permit permits permitted permitting deny denies denied denying permission permissions prohibition prohibitions prohibit prohibited obligation obligations "
+    "required requirement requirements unclear mixed"
+).split()
+DECISIONS = {
+    "permit": ["permit", "permission", "permitted", "allow", "allowed", "yes", "consent", "authorized", "authorization"],
+    "deny": ["deny", "denial", "prohibition", "prohibit", "prohibited", "forbid", "forbidden", "no", "refuse", "refusal"],
+    "obligation": ["duty", "obligation", "obligated", "mandatory", "required", "must"],
+    "mixed": ["mixed", "both"],
+    "unclear": ["unclear", "unknown", "not clear", "ambiguous"],
+}
+RELATIONSHIPS = {
+    "same_span_multiple_label": "same_span_multiple_labels", "same_span_multiple_labels": "same_span_multiple_labels", "same_span_multiple_fields": "same_span_multiple_fields",
+    "nested_broad_narrow": "nested_broad_narrow", "nested_broader_narrower": "nested_broad_narrow", "broad_narrow": "nested_broad_narrow",
+    "complementary_role": "complementary_roles", "complementary_roles": "complementary_roles", "complementary_fields": "complementary_fields", "single": "single",
+    "conflicting_or_uncertain": "conflicting_or_uncertain", "conflicting": "conflicting_or_uncertain", "uncertain": "conflicting_or_uncertain", "unknown": "unknown",
+}
+ID_FAMILIES = (
+    r"(?i)\b(ICO[:_][A-Za-z0-9_\-.]+)\b", r"(?i)\b(DUO[:_][A-Za-z0-9_\-.]+)\b", r"(?i)\b(ODRL[:_.][A-Za-z0-9_\-.]+)\b", r"(?i)\b(FHIR(?:\.Consent)?[A-Za-z0-9_.:-]*)\b",
+    r"(?i)\b(Consent\.[A-Za-z0-9_.:-]+)\b",
+)
+ROLES = {
+    "participant_or_subject": ["i", "me", "my", "you", "your", "participant", "subject", "patient"],
+    "researcher_or_authorized_actor": ["researcher", "researchers", "investigator", "investigators", "team", "staff", "scientist"],
+    "institution_or_custodian": ["institution", "organization", "hospital", "university", "clinic", "sponsor", "custodian"],
+    "repository_or_registry": ["database", "databases", "biobank", "repository", "registry", "archive"],
+    "resource_or_specimen": ["data", "information", "record", "records", "sample", "samples", "specimen", "biospecimen", "blood", "dna", "urine", "saliva"],
+    "action": ["collect", "store", "stored", "use", "used", "share", "shared", "disclose", "withdraw", "stop", "destroy", "retrieve", "sell", "sold", "contact"],
+    "purpose_or_use_context": ["research", "study", "studies", "purpose", "topic", "care", "treatment", "commercial"],
+    "temporal_scope": ["time", "future", "before", "after", "during", "date", "years", "expiration", "beginning"],
+    "privacy_or_identifiability": ["identifiable", "deidentified", "de-identified", "anonymous", "anonymized", "confidential", "privacy"],
+    "condition_or_restriction": ["if", "unless", "only", "except", "restriction", "limitation", "required", "approved"],
+    "choice_or_right": ["agree", "consent", "choose", "choice", "yes", "no", "withdraw", "decline", "refuse", "permission"],
+    "consequence_or_protection": ["penalty", "care", "benefit", "risk", "affect", "protection", "compensation"],
+}
+MENTION_NA = ["", "na", "n/a", "none", "null", "unknown", "not applicable", "no annotation"]
 NA_VALUES = ["", "na", "n/a", "none", "null", "nan"]
 
 
@@ -38,9 +77,10 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(blank(x)), F.lit("[a-zA-Z0-9']+"), F.lit(0))
 
 
-def term_tokens(x: Column, stop=STOP) -> Column:
+def term_tokens(x: Column, stop=(*MENTION_STOP, *DECISION_ARTIFACTS)) -> Column:
+    """Word tokens of mentions; without stop words and decision words, unless stop is empty."""
     found = F.regexp_extract_all(F.lower(blank(x)), F.lit("[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(list(stop)))
+    return F.filter(found, lambda t: ~t.isin(list(stop))) if stop else found
 
 
 def content(words: Column, stop=STOP) -> Column:
@@ -74,9 +114,11 @@ def shortened(x: Column, n: int) -> Column:
 
 
 def form_key(x: Column) -> Column:
-    for pattern in (r"(?i)\.[a-z0-9]{1,5}$", r"(?i)_annotated$", r"(?i)_output$", r"(?i) copy( \d+)?$"):
+    """A form's name without extension, workflow suffix and copy number."""
+    x = collapsed(x)
+    for pattern in (r"(?i)\.(txt|csv|xlsx?)$", r"(?i)(_annotated|_output)$", r"(?i)\s+(annotated|output)$", r"(?i)(?:_copy|\s+copy)(?:[_\s-]*\d+)?$"):
         x = F.regexp_replace(x, pattern, "")
-    return F.trim(x)
+    return F.regexp_replace(x, r"^[ _-]+|[ _-]+$", "")
 
 
 def loose_key(x: Column) -> Column:
@@ -115,11 +157,16 @@ def last_part(x: Column) -> Column:
 
 def decision(x: Column) -> Column:
     """Controlled values; over 40 characters or 4 words is none."""
-    v = F.lower(trimmed(x))
-    words = F.size(F.split(v, r"\s+"))
-    known = F.when(v.isin("permit", "permitted", "allow", "allowed", "permission"), "permit").when(v.isin("deny", "denied", "prohibit", "prohibited", "prohibition"), "deny")
-    known = known.when(v.isin("obligation", "obligated", "required", "require", "must"), "obligation").when(v.isin("mixed", "both"), "mixed").when(v.isin("unclear", "unknown", "ambiguous"), "unclear").otherwise("")
-    return F.when((F.length(v) > 40) | (words > 4), "").otherwise(known)
+    v = F.lower(collapsed(x))
+    known = F.lit("")
+    for name, values in DECISIONS.items():
+        known = F.when(v.isin(values), name).otherwise(known)
+    return F.when((F.length(v) > 40) | (F.size(F.split(v, " ")) > 4), "").otherwise(known)
+
+
+def relationship(x: Column) -> Column:
+    """The controlled name of a relationship, unknown if there is none."""
+    return aliased(F.replace(F.replace(collapsed(x), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_")), RELATIONSHIPS)
 
 
 def aliased(x: Column, aliases: dict[str, str], other: str = "unknown") -> Column:
@@ -154,9 +201,46 @@ def sentence_like(span: Column, sentence: Column, ratio: float = 0.85) -> Column
     return (flat(span) != "") & F.contains(flat(sentence), flat(span)) & (n(span) >= ratio * n(sentence))
 
 
-def is_na(x: Column) -> Column:
-    return F.lower(F.regexp_replace(blank(x), r"^[\[\](){} .;:,]+|[\[\](){} .;:,]+$", "")).isin(NA_VALUES)
+def is_na(x: Column, values=NA_VALUES) -> Column:
+    return F.lower(F.regexp_replace(collapsed(x), r"^[\[\](){} .;:,]+|[\[\](){} .;:,]+$", "")).isin(list(values))
+
+
+def na_only(x: Column) -> Column:
+    """An annotation text that says no more than that there is none: NA [NA] (permit) and the like, or
+    bracket labels that all are NA-like with nothing beside them."""
+    low = F.lower(collapsed(x))
+    whole = low.rlike(r"^(?:na|n/a|none|null|unknown)?\s*\[\s*(?:na|n/a|none|null|unknown)\s*\]\s*(?:\((?:permit|deny|mixed|unclear|permission|prohibition|yes|no)\))?$")
+    labels = F.regexp_extract_all(low, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    rest = F.regexp_replace(F.regexp_replace(low, r"\[[^\]]+\]", ""), r"\([^)]*\)", "")
+    rest = F.regexp_replace(rest, r"^[ .,:;\[\](){}-]+|[ .,:;\[\](){}-]+$", "")
+    return (low != "") & (whole | ((F.size(labels) > 0) & F.forall(labels, lambda y: is_na(y, MENTION_NA)) & rest.isin(MENTION_NA)))
 
 
 def truthy(x: Column) -> Column:
     return F.lower(trimmed(x.cast("string"))).isin("true", "1", "yes", "y")
+
+
+def sentence_scope(x: Column) -> Column:
+    return F.contains(F.lower(F.replace(blank(x), F.lit("-"), F.lit("_"))), F.lit("sentence"))
+
+
+def valid_evidence(counts: list[Column], items: Column, legacy: list[Column]) -> Column:
+    """Whether a row has annotation evidence: a positive count, else an item with a span and a real
+    label, else the first legacy text that is not empty, if it says more than NA."""
+    by_count = F.lit(False)
+    for c in counts:
+        by_count = by_count | (F.coalesce(c.cast("double"), F.lit(0.0)) > 0)
+    by_item = F.exists(items, lambda a: (collapsed(a["span"]) != "") & ~is_na(a["label"], MENTION_NA))
+    by_text = F.lit(False)
+    for x in reversed(legacy):
+        said = F.contains(collapsed(x), F.lit("[")) | F.try_parse_json(F.nullif(collapsed(x), F.lit(""))).isNotNull()
+        by_text = F.when(collapsed(x) == "", by_text).when(na_only(x), False).when(said, True).otherwise(by_text)
+    return by_count | F.coalesce(by_item, F.lit(False)) | by_text
+
+
+def exclusion(flagged: Column, why: Column, na_flag: Column, legacy: dict[str, Column], evidence: Column) -> Column:
+    """The first reason to leave a row out of schema induction, empty to keep it."""
+    case = F.when(truthy(flagged), F.coalesce(F.nullif(collapsed(why), F.lit("")), F.lit("preflagged_exclude_from_schema_induction"))).when(truthy(na_flag), "preflagged_na_only_annotation_row")
+    for name, x in legacy.items():
+        case = case.when(na_only(x), f"legacy_na_only_annotation:{name}")
+    return case.when(~evidence, "zero_valid_span_annotation_evidence").otherwise("")

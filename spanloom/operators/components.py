@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import discard, stored
+from spanloom.session import discard, parts_of, stored
 
-MAX_ROUNDS = 60
+#: Edges in a written part.
+PART = 500_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,10 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     x, y = F.col(a), F.col(b)
     now = stored(edges.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "components")
     seen = _totals(now)
-    for _ in range(MAX_ROUNDS):
-        if seen[0] == 0:
-            break
-        after = stored(_small_star(_large_star(now)), "components")
+    while seen[0]:  # every round lowers some label, or changes nothing
+        after = stored(_small_star(_large_star(now)), "components", parts_of(now.sparkSession, seen[0], PART))
         totals = _totals(after)
         discard(now)
         now = after

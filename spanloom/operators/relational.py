@@ -96,3 +96,71 @@ def audit(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 def most_common(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     return top_per_group(counts, by, [F.desc("n"), F.asc(value)], n)
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds number (from 0) in a global order: rows are sorted by a range exchange and written with
+    their place in their part, then each part's offset is added; no single task sees all rows."""
+    from spanloom.session import stored
+
+    part = F.spark_partition_id()
+    rows = stored(df.orderBy(*order).select("*", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("_at")), "numbered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # a row for each part
+    return rows.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def in_order(values: list, x: Column) -> Column:
+    """Sort key of a custom category order; what is not listed comes last."""
+    at = F.array_position(F.array(*map(F.lit, values)), x)
+    return F.when(at > 0, at).otherwise(len(values) + 1)
+
+
+def split_rows(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
+    """A row for each non-empty part of a joined column."""
+    parts = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), lambda p: F.trim(p)), lambda p: p != "")
+    return df.withColumn(column, F.explode(parts))
+
+
+def count_map(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and a map from value to its number of rows."""
+    n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "n")))).alias("counts"))
+
+
+def count_distribution(df: DataFrame, row: str, member: str) -> DataFrame:
+    """How many rows have how many distinct members."""
+    return df.groupBy(row).agg(F.countDistinct(member).alias("n_members")).groupBy("n_members").agg(F.count("*").alias("n_rows"))
+
+
+def grouped_or_all(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with those keys that it has; with none of them, one group of all rows."""
+    there = [k for k in keys if k in df.columns]
+    return (df, there) if there else (df.withColumn("__all__", F.lit("all")), ["__all__"])
+
+
+def mean_difference(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """feature, mean_1, mean_0 and their difference."""
+    rows = df.select(label, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))))
+    m = rows.groupBy("feature").agg(F.avg(F.when(F.col(label) == 1, F.col("x"))).alias("mean_1"), F.avg(F.when(F.col(label) == 0, F.col("x"))).alias("mean_0"))
+    return m.withColumn("difference", F.col("mean_1") - F.col("mean_0"))
+
+
+def paired(df: DataFrame, key: list[str], kind: str, one: str, other: Column, metrics: list[str]) -> DataFrame:
+    """Rows of one kind beside every row of another, on key; metrics become one_x and other_x."""
+    a = df.filter(F.col(kind) == one).select(*key, *(F.col(m).alias(f"one_{m}") for m in metrics))
+    b = df.filter(other).select(*key, F.col(kind).alias("other"), *(F.col(m).alias(f"other_{m}") for m in metrics))
+    return a.join(b, key)
+
+
+def win_rates(pairs: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """n, mean and median difference, and shares of wins, losses and ties by keys."""
+    d = F.col(f"one_{metric}") - F.col(f"other_{metric}")
+    share = lambda c: F.avg(c.cast("int"))
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), share(d > 0).alias("win_rate"), share(d < 0).alias("loss_rate"), share(d == 0).alias("tie_rate"))
+
+
+def best_other(df: DataFrame, key: list[str], other: Column, metric: str, tie: str) -> DataFrame:
+    """Of the other kinds' rows, the best of each key."""
+    return df.filter(other).groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(metric, tie)).alias("_b")).select("_b.*")

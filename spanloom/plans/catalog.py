@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text
-from spanloom.operators import evaluation, graph, relational, resolve, retrieval, schema, senses
+from spanloom.operators import evaluation, graph, relational, retrieval, schema, senses
 from spanloom.plans import fixtures as fx
 from spanloom.session import table
 
@@ -54,15 +54,6 @@ def b_exclusion_reason(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", reason.alias("reason"), text.truthy(F.col("quality")).alias("yes"))
 
 
-@query(f"""WITH {fx.INV} SELECT union_element_id, CASE WHEN source_order <= 2 THEN 'particle' WHEN source_element_label LIKE '%1%' THEN 'long' WHEN source_model = 'EN' THEN 'english' ELSE 'residual' END AS field FROM inv""")
-def b_rule_cascade(spark, sf_dir):
-    rules = [(F.col("source_order") <= 2, "particle"), (F.contains(F.col("source_element_label"), F.lit("1")), "long"), (F.col("source_model") == "EN", "english")]
-    field = F.lit("residual")
-    for condition, name in reversed(rules):
-        field = F.when(condition, name).otherwise(field)
-    return fx.inventory(spark, sf_dir).select("union_element_id", field.alias("field"))
-
-
 # C: text functions
 
 
@@ -148,14 +139,6 @@ def d_groups_in_text(spark, sf_dir):
     return fx.roundtrips(spark, sf_dir).select("doc_id", F.array_join(cues.groups_in(F.col("original_text"), fx.CUES), ";").alias("cue_groups"))
 
 
-@query(f"""WITH {fx.RT}, c AS (SELECT doc_id, score, {_cue_columns()} FROM rt), f AS (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN len(o_{g}) > 0 AND len(r_{g}) = 0 THEN 'lost_{g}' END" for g in cues.CRITICAL)}, CASE WHEN score >= 0.75 THEN 'high_score' END], lambda t: t IS NOT NULL) AS fl FROM c)
- SELECT doc_id, array_to_string(fl, '; ') AS error_flags, len(fl) AS n_flags FROM f""")
-def d_error_flags(spark, sf_dir):
-    lost = [(f"lost_{g}", (F.size(f"o_{g}") > 0) & (F.size(f"r_{g}") == 0)) for g in cues.CRITICAL]
-    df = _found(spark, sf_dir).select("doc_id", cues.flags([*lost, ("high_score", F.col("score") >= 0.75)]).alias("fl"))
-    return df.select("doc_id", F.array_join("fl", "; ").alias("error_flags"), F.size("fl").alias("n_flags"))
-
-
 # E: semi-structured
 
 
@@ -222,13 +205,13 @@ def f_entropy(spark, sf_dir):
     return c.join(total, "lang").groupBy("lang").agg(r6(-F.sum(p * F.log2(p))).alias("entropy"))
 
 
-@query("WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), s AS (SELECT vec_id, label, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS sim FROM e JOIN c USING (label, i) GROUP BY ALL) SELECT label, arg_max(vec_id, round(sim, 9) - vec_id * 1e-13) AS exemplar, round(max(sim), 6) AS similarity FROM s GROUP BY label")
+@query("WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), s AS (SELECT vec_id, label, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS sim FROM e JOIN c USING (label, i) GROUP BY ALL) SELECT label, arg_max(vec_id, {'s': round(sim, 9), 'v': -vec_id}) AS exemplar, round(max(sim), 6) AS similarity FROM s GROUP BY label")
 def f_centroid_exemplars(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     flat = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     centroid = flat.groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("centroid"))
     s = e.join(centroid, "label").select("label", "vec_id", sets.cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
-    return s.groupBy("label").agg(F.max_by("vec_id", F.round("sim", 9) - F.col("vec_id") * 1e-13).alias("exemplar"), r6(F.max("sim")).alias("similarity"))
+    return s.groupBy("label").agg(F.max_by("vec_id", F.struct(F.round("sim", 9), -F.col("vec_id"))).alias("exemplar"), r6(F.max("sim")).alias("similarity"))
 
 
 # G: spans
@@ -250,25 +233,9 @@ def g_interval_relations(spark, sf_dir):
     return a.join(b, "doc_id").filter("k_1 < k_2").select("doc_id", F.col("k_1").alias("k1"), F.col("k_2").alias("k2"), spans.same(*edges).alias("same"), spans.overlap(*edges).alias("overlap"), spans.nested(*edges).alias("nested"))
 
 
-@query()
-def g_token_spans(spark, sf_dir):
-    s = fx.spans(spark, sf_dir).withColumn("at", spans.located(F.col("original_text"), F.col("span"))).withColumn("tokens", spans.token_offsets("original_text"))
-    return s.select("doc_id", "ann_idx", "at", spans.token_span(F.col("tokens"), F.col("at"), F.col("at") + F.length("span")).alias("t"), spans.nth_start(F.col("original_text"), F.col("span"), F.lit(1)).alias("second"), spans.context(F.col("original_text"), F.col("at"), F.col("at") + F.length("span")).alias("context")).select("doc_id", "ann_idx", "at", "t.first", "t.last", "second", "context")
-
-
 # H: identifiers
 
 
-@query(f"""WITH {fx.RT}, {fx.ANN}, {fx.INV}, g AS (SELECT doc_id, (pos - 1) // 3 AS k, CASE doc_id % 3 WHEN 0 THEN label WHEN 1 THEN replace(label, '::', ':') ELSE lower(label) END AS given_id FROM spans)
-SELECT g.doc_id, k, given_id, i.union_element_id AS resolved_id, CASE WHEN i.union_element_id IS NULL THEN 'invalid' WHEN doc_id % 3 = 0 THEN 'valid' ELSE 'repaired' END AS status FROM g LEFT JOIN inv i ON lower(replace(i.union_element_id, '::', ':')) = lower(replace(given_id, '::', ':'))""")
-def h_resolve(spark, sf_dir):
-    s = fx.spans(spark, sf_dir)
-    label = F.col("label")
-    given = F.when(F.col("doc_id") % 3 == 0, label).when(F.col("doc_id") % 3 == 1, F.replace(label, F.lit("::"), F.lit(":"))).otherwise(F.lower(label))
-    rows = s.select("doc_id", F.col("ann_idx").alias("k"), given.alias("given_id"), F.lit("").alias("given_label"))
-    return resolve.resolve(rows, fx.inventory(spark, sf_dir)).select("doc_id", "k", "given_id", "resolved_id", "status")
-
-
 # I: joins
 
 
@@ -375,15 +342,6 @@ def n_components(spark, sf_dir):
     return graph.clusters(c.select(F.col("c_custkey").alias("node")), edges)
 
 
-@query("""WITH f AS (SELECT vec_id, label % 3 AS folds, vec_id % 100 AS support, label % 2 + 1 AS models, vec_id % 2 AS same, vec_id % 5 AS cooc, (vec_id % 100) / 100.0 AS emb, vec_id % 7 = 0 AS conflict FROM embeddings)
-SELECT vec_id, CASE WHEN conflict AND (same > 0 OR emb >= 0.68) THEN 'unsafe_to_merge' WHEN support >= 50 AND NOT conflict AND same >= 1 AND emb >= 0.72 THEN 'near_equivalent' WHEN cooc >= 1 AND conflict THEN 'complementary' ELSE 'related_context_only' END AS relationship, CASE WHEN folds + 1 >= 3 AND support >= 80 AND models >= 2 THEN 'core' WHEN folds + 1 >= 2 AND support >= 40 THEN 'extension' ELSE 'rare' END AS tier FROM f""")
-def n_relationship_types(spark, sf_dir):
-    v, n = F.col("vec_id"), F.lit(0)
-    conflict = v % 7 == 0
-    kind = graph.relationship(v % 2, n, n, v % 5, F.lit(1.0), (v % 100) / 100, F.lit(0.0), conflict, F.lit(0.0), v % 100 >= 50, F.lit(0.0), ~conflict)
-    return table(spark, sf_dir, "embeddings").select("vec_id", kind.alias("relationship"), graph.tier(F.col("label") % 3 + 1, v % 100, F.col("label") % 2 + 1).alias("tier"))
-
-
 @query("WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.2")
 def i_similar_sets(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only when the session names none, as in tests on one machine, a temporary folder is set.
+    Only a session that runs in this process alone gets a temporary folder if it names none; on a
+    cluster such a folder would be another one on each machine.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         chosen = context.getCheckpointDir()
         if not chosen:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
             chosen = context.getCheckpointDir()
         return str(chosen).rstrip("/")
@@ -26,16 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def parts_of(spark: SparkSession, amount: int, per: int) -> int:
+    """Into how many parts so many rows or bytes go, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, -(-amount // per))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends there,
-    and the rows outlive any executor."""
+    and the rows outlive any executor. With parts, at most so many files are written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._spanloom_path = path
     return again

@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.jsonish import parse
 
 
-def csv(spark: SparkSession, path, schema=None, blank_nulls: bool = False) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.schema(schema).csv(path) if schema else reader.csv(path)
+def csv(spark: SparkSession, path, schema=None, blank_nulls: bool = False, multi_line: bool = True) -> DataFrame:
+    """Rows of CSV files with a header; without a schema types are inferred. Files whose cells hold no
+    line ends are read in parallel if multi_line is off."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", not blank_nulls).csv(path)
     return df.na.fill("") if blank_nulls else df
 
 
-def jsonl(spark: SparkSession, path, mode: str = "tolerant") -> DataFrame:
+def tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV and JSON lines files as one table of texts: columns by name, _source_file of each row."""
+
+    def one(path):
+        if path.endswith((".json", ".jsonl")):
+            df = spark.read.option("primitivesAsString", True).json(path)
+        else:
+            df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return df.withColumn("_source_file", F.col("_metadata.file_path"))
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
+
+
+def jsonl(spark: SparkSession, path, mode: str = "tolerant", limit: int | None = None) -> DataFrame:
     """_source_file, _line_no, record (variant), _jsonl_parse_error. Modes: tolerant, skip, strict.
 
-    Line numbers are counted within each file."""
+    Line numbers are counted within each file: a block's lines are numbered where they are read, and
+    the lines of the blocks before it, one row a block, are added. limit keeps the first lines."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    numbered = lines.withColumn("_line_no", F.row_number().over(Window.partitionBy("_source_file").orderBy("_block", "_id"))).filter(F.trim("value") != "")
+    blocks = lines.groupBy("_source_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_source_file", "_block", "_first", before.alias("_before"))
+    numbered = lines.join(blocks, ["_source_file", "_block"]).withColumn("_line_no", F.col("_id") - F.col("_first") + F.col("_before") + 1).filter(F.trim("value") != "")
     rows = numbered.select("_source_file", "_line_no", "value", F.try_parse_json("value").alias("record"))
+    if limit is not None:
+        rows = rows.orderBy("_source_file", "_line_no").limit(limit)
     bad = F.col("record").isNull()
     if mode == "skip":
         return rows.filter(~bad).drop("value").withColumn("_jsonl_parse_error", F.lit(False))
@@ -55,3 +79,29 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def parsed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("parsed", parse(F.col(column))).withColumn("parse_ok", F.col("parsed").isNotNull())
+
+
+def write_audit(summary: DataFrame, path: str) -> None:
+    """A summary of a few rows as one JSON file."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def config(path: str, key: str) -> dict:
+    """The settings of a model: the file's defaults, overridden by those under its name. JSON, or YAML
+    where a reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            found = yaml.safe_load(f)
+        else:
+            found = json.load(f)
+    models = found.get("models") or {}
+    if key not in models:
+        raise ValueError(f"no model {key}; known: {sorted(models)}")
+    return {**(found.get("defaults") or {}), **models[key]}
+
+
+def write_folds(df: DataFrame, fold: str, path: str) -> None:
+    """A folder of rows for each fold."""
+    df.write.partitionBy(fold).mode("overwrite").parquet(path)

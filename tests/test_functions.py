@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import jsonish, sets, spans, text
-from spanloom.operators import components, graph, relational, resolve, roundtrip
+from spanloom.operators import components, crosswalk, evidence, graph, relational, resolve, roundtrip
 from spanloom.sources import files
 
 
@@ -64,11 +64,84 @@ def test_components_and_graph(spark):
     assert {tuple(r) for r in graph.clusters(nodes, edges).collect()} == {(1, 1), (9, 9)}
 
 
+INVENTORY = "union_element_id string, source_model string, source_element_id string, source_element_label string"
+
+
 def test_resolution(spark):
-    inventory = spark.createDataFrame([("A::E1", "A", "E1", "one"), ("B::E1", "B", "E1", "uno"), ("A::E02", "A", "E02", "two")], "union_element_id string, source_model string, source_element_id string, source_element_label string")
-    rows = spark.createDataFrame([("A::E1", ""), ("E1", ""), ("A:E02", ""), ("a-e02", ""), ("zzz", "Uno"), ("unmatched_language", ""), ("", ""), ("zzz", "")], "given_id string, given_label string")
-    got = [(r["resolved_id"], r["status"]) for r in resolve.resolve(rows, inventory).orderBy("given_id", "given_label").collect()]
-    assert sorted(got, key=repr) == sorted([("A::E1", "valid"), (None, "ambiguous"), ("A::E02", "repaired"), ("A::E02", "repaired"), ("B::E1", "repaired"), (None, "routed"), (None, "invalid"), (None, "invalid")], key=repr)
+    """The cascade as its rules say: labels count, spelling alone repairs nothing."""
+    inventory = spark.createDataFrame([("A::E1", "A", "E1", "one"), ("B::E1", "B", "E1", "uno"), ("A::E02", "A", "E02", "two"), ("FHIR_Consent::C.x", "FHIR_Consent", "C.x", "cx"), ("O::O:7", "O", "O:7", "seven")], INVENTORY)
+    cases = [
+        ("A::E1", "", "A::E1", "valid", "exact_union_id_no_label_returned"), ("A::E1", "One", "A::E1", "valid", "exact_union_id_label_match"), ("A::E1", "uno", "A::E1", "invalid", "label_mismatch_for_exact_union_id"),
+        ("E1", "", "E1", "invalid", "ambiguous_normalized_id_match"), ("E02", "", "A::E02", "repaired", "exact_source_element_id_no_label_returned"), ("E02", "zwei", "E02", "invalid", "no_inventory_match"),
+        ("A:E02", "two", "A::E02", "repaired", "source_model_pair_label_match"), ("FHIR:C.x", "", "FHIR_Consent::C.x", "repaired", "source_model_pair_no_label_returned"), ("O:7", "", "O::O:7", "repaired", "exact_source_element_id_no_label_returned"),
+        ("a-e02", "", "a-e02", "invalid", "normalized_id_match_requires_label"), ("a-e2", "two", "A::E02", "repaired", "normalized_id_and_label_match"), ("zzz", "Uno", "B::E1", "repaired", "unique_source_element_label_match"),
+        ("unmatched_language", "", "unmatched_language", "routed_to_unmatched", "reserved_non_label_id"), ("", "", "", "invalid", "empty"), (None, "one", None, "invalid", "not_string"), ("zzz", "", "zzz", "invalid", "no_inventory_match"),
+    ]
+    rows = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "k int, given_id string, given_label string")
+    got = {r["k"]: (r["resolved_id"], r["status"], r["reason"]) for r in resolve.resolve(rows, inventory).collect()}
+    assert got == {i: c[2:] for i, c in enumerate(cases)}
+    assert resolve.resolve(rows.limit(0), inventory).count() == 0
+    assert {r["status"] for r in resolve.resolve(rows.filter("given_id = 'A::E1'"), inventory.limit(0)).collect()} == {"invalid"}
+
+
+def test_validation_and_folds(spark):
+    inventory = spark.createDataFrame([("A::E1", "A", "E1", "one")], INVENTORY)
+    rows = spark.createDataFrame([(1, 0, "x", "A::E1", ""), (1, 1, "Y", "none", ""), (1, 2, "y", "none", ""), (1, 3, "z", "bad", ""), (2, 0, "", "none", "")], "doc int, ann_idx int, span string, given_id string, given_label string")
+    got = {r["doc"]: r for r in resolve.validated(rows, inventory, ["doc"]).collect()}
+    assert (got[1]["n_valid"], got[1]["n_invalid"], got[1]["n_routed"]) == (1, 1, 2)
+    assert got[1]["unmatched_language"] == ["Y"] and got[2]["unmatched_language"] == []
+    folds = spark.createDataFrame([("Form A", "fold_00"), ("b-1", "fold_01"), ("B 1", "fold_01")], "form_key string, fold_id string")
+    forms = spark.createDataFrame([("Form A",), ("form_a",), ("b1",), ("B.1",)], "form string")
+    assert {r["form"]: (r["fold_id"], r["match_type"]) for r in resolve.fold_matches(forms, folds).collect()} == {"Form A": ("fold_00", "exact"), "form_a": ("fold_00", "unique_loose"), "b1": (None, "unmatched"), "B.1": (None, "ambiguous_loose")}
+    assert resolve.fold_aliases(forms, folds).count() == 4
+
+
+def test_contexts_at_the_edges_of_a_text(spark):
+    t = "x" * 10 + "SPANSPAN!!" + "y" * 480
+    at = lambda s, e: one(spark, spans.context(F.col("t"), F.lit(s), F.lit(e)), t=t)
+    assert at(10, 20) == "x" * 10 + " || " + "y" * 100 and at(-1, -1) == " || "
+    assert at(490, 500) == "y" * 100 + " || " and at(0, 10) == " || " + t[10:110]
+    offsets = one(spark, spans.token_offsets(F.col("t")), t="Well-known, it's é1 fine")
+    assert [tuple(o) for o in offsets] == [(0, 10), (12, 16), (17, 19), (20, 24)]
+    assert one(spark, spans.token_offsets(F.col("t")), t="") == []
+
+
+def test_json_walks(spark):
+    t = F.col("t")
+    units = one(spark, evidence.json_units(t), t="{'id': 'n1', 'parts': [{'Label': 'two', 'span': 'three'}, 4]}")
+    assert [(u["source_element_id"], u["label"], u["span"], u["path"]) for u in units] == [("n1", "n1", "n1", ""), ("", "two", "three", "parts[0]")]
+    assert one(spark, evidence.json_units(t), t="[1, ") == [] and one(spark, evidence.json_units(t), t="(") == []
+    deep = "[" * 5000 + "]" * 5000
+    assert one(spark, evidence.json_units(t), t=deep) == []
+    rows = one(spark, jsonish.csv_rows(t), t='a,"b, c",d\n\n"x ""y""",z')
+    assert rows == [["a", "b, c", "d"], ['x "y"', "z"]]
+    got = one(spark, jsonish.csv_annotations(F.col("t"), F.col("s")), t="a1,share the data,L1,permit\na2,share,L2", s="We share the data with them")
+    assert [tuple(a) for a in got] == [("share the data", "L1", "permit"), ("share", "L2", "")]
+
+
+def test_schema_report_and_crosswalk(spark):
+    schema = "field_id string, field_name string, definition string, include string, exclude string, assigned_evidence_cards array<string>, source_support string"
+    good = [("f1", "one_field", "d", "i", "e", ["SC1"], "s"), ("f2", "two", "d", "i", "e", ["SC2"], "s")]
+    cards = spark.createDataFrame([("SC1",), ("SC2",), ("SC3",)], "seed_cluster_id string")
+    allowed = F.array(*map(F.lit, ("unclear", "permit", "deny", "mixed")))
+    r = crosswalk.schema_report(spark.createDataFrame(good, schema), cards, allowed).first()
+    assert r["passes"] and r["n_covered"] == 2 and r["n_cards"] == 3
+    bad = [*good, ("f1", "Not Snake", "", "i", "e", [], None)]
+    r = crosswalk.schema_report(spark.createDataFrame(bad, schema), cards, allowed).first()
+    assert not r["passes"] and r["duplicate_ids"] == ["f1"] and r["n_bad_names"] == 1 and r["n_missing"] == 3
+    elements = [("ODRL::Asset", "ODRL", "Asset", "", "", "governed_resource"), ("FHIR_Consent::Consent.period", "FHIR_Consent", "Consent.period", "", "", "temporal_scope"), ("DUO::GRU", "DUO", "GRU", "", "", "purpose_or_use_context"), ("ICO::ICO:1", "ICO", "ICO:1", "withdrawal", "", "choice_or_withdrawal_right"), ("X::y", "X", "y", "sample", "", "governed_resource"), ("X::z", "X", "z", "", "", "residual_important_content"), ("DUO::DUO.decision", "DUO", "DUO.decision", "", "", "sentence_decision")]
+    inventory = spark.createDataFrame([e[:5] for e in elements], INVENTORY + ", source_element_definition string")
+    built = {r["union_element_id"]: r for r in crosswalk.build(inventory).collect()}
+    assert {k: r["v1_field"] for k, r in built.items()} == {e[0]: e[5] for e in elements}
+    assert built["X::y"]["requires_context_review"] and built["X::y"]["secondary_fields"] == ["privacy_or_identifiability"]
+    assert crosswalk.edges(crosswalk.build(inventory)).count() == 7
+
+
+def test_numbered_rows(spark):
+    df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v"), F.lit("a").alias("number"))
+    got = relational.numbered(df.drop("number").repartition(7), [F.desc("v")]).collect()
+    assert {(r["v"], r["number"]) for r in got} == {(499 - i, i) for i in range(500)}
+    assert relational.numbered(df.drop("number").limit(0), [F.asc("v")]).count() == 0
 
 
 def test_sources(spark, tmp_path):

@@ -1,6 +1,6 @@
 import pytest
 
-from spanloom.plans import catalog
+from spanloom.plans import catalog, diagnose, mining, models  # noqa: F401
 from tests.parity import compare, connection
 
 SF = "/root/testdata/sf0.001"
