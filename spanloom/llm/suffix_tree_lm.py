@@ -35,7 +35,7 @@ from spanloom.llm._exchange import Corpus, answered, ask, kinds, pack, unpack
 from spanloom.llm._words import Words, distinct, mix, remainder, texts_of
 
 DEPTH, MIN_COUNT, PENALTY = 3, 2, 1.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 HELD_OUT = (5, 1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
 
