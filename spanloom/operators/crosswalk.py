@@ -145,3 +145,20 @@ def schema_report(rows: DataFrame, cards: DataFrame, decisions: Column, allowed=
     out = one.crossJoin(again(ids).withColumnRenamed("x", "duplicate_ids")).crossJoin(again(names).withColumnRenamed("x", "duplicate_names")).crossJoin(covered).crossJoin(total)  # of one row each
     fine = F.array_sort(F.array_distinct(decisions)) == F.array(*map(F.lit, sorted(allowed)))
     return out.withColumn("decisions_valid", fine).withColumn("passes", (F.size("duplicate_ids") == 0) & (F.size("duplicate_names") == 0) & (F.col("n_bad_names") == 0) & (F.col("n_missing") == 0) & (F.col("n_fields") > 0) & fine)
+
+
+def source_elements(cards: DataFrame, card: str, body: str) -> DataFrame:
+    """card, source_model, source_element_id, source_element_label of the elements that a card's JSON
+    lists, under the first of its known keys that holds any."""
+    from spanloom.functions import jsonish
+
+    v = jsonish.parse(F.col(body))
+    lists = [jsonish.items(v, f"$.{k}") for k in ("nodes", "source_elements", "members", "sense_nodes")]
+    found = lists[-1]
+    for x in reversed(lists[:-1]):
+        found = F.when(F.size(x) > 0, x).otherwise(found)
+    pick = lambda a, *names: jsonish.text_at(a, *(f"$.{n}" for n in names))
+    each = F.transform(found, lambda a: F.struct(
+        pick(a, "source_model", "information_model").alias("source_model"), pick(a, "source_element_id", "union_element_id", "element_id", "id").alias("source_element_id"),
+        pick(a, "source_element_label", "label", "name").alias("source_element_label")))
+    return cards.select(card, F.inline(each)).distinct()

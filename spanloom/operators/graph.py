@@ -26,19 +26,6 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFram
     return nodes.select(F.col(node).alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
-def relationship(same: Column, over: Column, nest: Column, cooc: Column, prox: Column, emb: Column, span: Column, conflict: Column, entropy: Column, recurrent: Column, negative: Column, compatible: Column, t: dict | None = None) -> Column:
-    """The type of a pair, by a cascade of thresholds; the first that holds wins."""
-    # Default thresholds.
-    t = {"unsafe": 0.68, "entropy": 1.25, "equal_emb": 0.72, "equal_span": 0.70, "negative": 0.50, "same": 1, "overlap": 1, "nested": 1, "complementary": 1, "proximity": 0.2} | (t or {})
-    fine = recurrent & (negative <= t["negative"]) & compatible
-    unsafe = (conflict & ((same > 0) | (over > 0) | (emb >= t["unsafe"]))) | ((entropy >= t["entropy"]) & (emb >= t["unsafe"]) & ~compatible)
-    equal = fine & (((same >= t["same"]) & (emb >= t["equal_emb"])) | ((over >= t["overlap"]) & (span >= t["equal_span"])))
-    return (
-        F.when(unsafe, "unsafe_to_merge").when(equal, "near_equivalent").when((nest >= t["nested"]) & recurrent, "broader_narrower")
-        .when((cooc >= t["complementary"]) & (prox >= t["proximity"]) & (over == 0) & conflict, "complementary").otherwise("related_context_only")
-    )
-
-
 def tier(folds: Column, support: Column, models: Column) -> Column:
     return F.when((folds >= 3) & (support >= 80) & (models >= 2), "core").when((folds >= 2) & (support >= 40), "extension").otherwise("rare")
 

@@ -164,3 +164,8 @@ def win_rates(pairs: DataFrame, keys: list[str], metric: str) -> DataFrame:
 def best_other(df: DataFrame, key: list[str], other: Column, metric: str, tie: str) -> DataFrame:
     """Of the other kinds' rows, the best of each key."""
     return df.filter(other).groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(metric, tie)).alias("_b")).select("_b.*")
+
+
+def by_status(df: DataFrame, column: str, values: list) -> dict:
+    """A table's rows by the value of a column, one frame for each value, from one scan each."""
+    return {v: df.filter(F.col(column) == v) for v in values}

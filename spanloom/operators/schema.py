@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.relational import most_common
+
 # Words that name models and decisions rather than content.
 ARTIFACTS = "permit deny permission prohibition obligation mixed unclear ico fhir duo odrl provision provisions directive role actor action data consent rule".split()
 # Forms of evidence ids in running text, and the source models.
@@ -33,11 +35,11 @@ def modifier_allowed(allowed: Column, modifier: Column) -> Column:
 
 
 def term_profile(df: DataFrame, by: str, suggested: str, tokens: str, k: int) -> DataFrame:
-    """by, terms: the first k suggested terms, or the k most frequent of tokens where none is
+    """by, terms: the first k suggested terms (of several lists the least), or the k most frequent of tokens where none is
     suggested (ties by name), without artifacts; sorted."""
-    counted = df.select(by, F.explode(tokens).alias("t")).groupBy(by, "t").agg(F.count("*").alias("n"))
-    ordered = counted.groupBy(by).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "t"))), 1, k)["t"].alias("often"))
-    given = df.groupBy(by).agg(F.first(suggested, ignorenulls=True).alias("given"))
+    often = most_common(df.select(by, F.explode(tokens).alias("t")), [by], "t", k)
+    ordered = often.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "t")))["t"].alias("often"))
+    given = df.groupBy(by).agg(F.min(suggested).alias("given"))
     chosen = F.when(F.size(F.coalesce("given", F.array().cast("array<string>"))) > 0, F.slice("given", 1, k)).otherwise(F.col("often"))
     keep = F.filter(chosen, lambda t: (t != "") & ~t.isin(ARTIFACTS))
     return given.join(ordered, by, "left").select(by, F.array_sort(F.array_distinct(F.coalesce(keep, F.array().cast("array<string>")))).alias("terms"))

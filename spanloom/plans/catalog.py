@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.session import table
+from spanloom.session import spread, table
 
 #: Terms that occur in the tables' invented prose; production dictionaries are read from files.
 CUES = {
@@ -15,7 +15,7 @@ CUES = {
 
 
 def roundtrips(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     d = d.withColumn("tk", text.tokens(F.col("text"))).withColumn("rk", F.filter("tk", lambda x, i: i % 5 != F.col("doc_id") % 5))
     return d.select(
         "doc_id", F.concat(F.lit("rt"), F.col("doc_id")).alias("roundtrip_id"), F.array_join("tk", " ").alias("original_text"), F.array_join("rk", " ").alias("reconstructed_text"), "tk", "rk",

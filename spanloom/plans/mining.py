@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import sets, spans, text
-from spanloom.operators import evidence, graph, mentions, packets, pairs, relational, resolve
-from spanloom.operators.evaluation import stable_id
+from spanloom.functions import spans, text
+from spanloom.operators import evidence, mentions, packets, pairs, relational, resolve
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import query, r6
 from spanloom.session import table

@@ -174,3 +174,11 @@ def b_exclusion_cascade(spark, sf_dir):
     evidence = text.valid_evidence([F.col("n_valid")], F.array().cast("array<struct<span:string,label:string>>"), [F.col("serialized")])
     return rows.select("doc_id", text.exclusion(F.col("excluded"), F.col("why"), F.col("na"), {"serialized": F.col("serialized")}, evidence).alias("reason"))
 
+
+
+@query("SELECT doc_id, upper(lang) AS source_model, 'E' || doc_id % 3 AS source_element_id, 'label ' || doc_id % 3 AS source_element_label FROM documents")
+def e_card_elements(spark, sf_dir):
+    d = F.col("doc_id") % 3
+    one = F.concat(F.lit('{"source_model": "'), F.upper("lang"), F.lit('", "element_id": "E'), d, F.lit('", "name": "label '), d, F.lit('"}'))
+    body = F.when(d == 0, F.concat(F.lit('{"nodes": ['), one, F.lit(", "), one, F.lit("]}"))).otherwise(F.concat(F.lit('{"nodes": [], "members": ['), one, F.lit("]}")))
+    return crosswalk.source_elements(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")

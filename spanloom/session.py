@@ -38,11 +38,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for :func:`sweep`."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes what :func:`stored` has written since a mark, but for keep: the caller knows that no other
+    frame of that time is read any more."""
+    left = getattr(keep, "_spanloom_path", None)
+    for path in _made[since:]:
+        if path != left:
+            remove(spark, path)
+    _made[since:] = [left] if left in _made[since:] else []
+
+
 def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends there,
     and the rows outlive any executor. With parts, at most so many files are written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _made.append(path)
     (df.coalesce(parts) if parts else df).write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._spanloom_path = path
@@ -63,5 +82,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores where a scan gives fewer parts than there are cores, so that costly
+    expressions above it do not run in a few tasks; a table of many parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
