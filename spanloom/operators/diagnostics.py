@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import cues, sets, spans, text
+from spanloom.functions import cues, jsonish, sets, spans, text
 from spanloom.operators import relational
 
 # Word list and cue groups of the diagnostics.
@@ -208,3 +208,15 @@ def granularity(rows: DataFrame, source: str, spans_: str, labels: str) -> DataF
 def granularity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     some = lambda c: F.avg((F.col(c) > 0).cast("int"))
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *(f(F.col(m).cast("double")).alias(f"{name}_{m}") for m in metrics for name, f in (("mean", F.avg), ("median", F.median))), some("n_long_spans").alias("pct_rows_with_long_span"), some("n_full_sentence_spans").alias("pct_rows_with_full_sentence_span"))
+
+
+def annotation_items(raw: Column) -> Column:
+    """spans and labels (aligned) of an answer in any of three layouts: annotations under an object, a bare
+    list of them, or provisions with roles."""
+    v = jsonish.parse(raw)
+    anns = F.coalesce(F.try_variant_get(v, "$.annotations", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    pick = lambda a, *names: text.collapsed(jsonish.text_at(a, *(f"$.{n}" for n in names)))
+    listed = F.transform(anns, lambda a: F.struct(pick(a, "span_text", "evidence_span_text", "span", "text").alias("span"), pick(a, "union_element_id", "source_element_label", "field_name", "label", "element_id", "field_id").alias("label")))
+    roles = F.transform(jsonish.provisions(raw), lambda p: F.struct(p["span"].alias("span"), p["role"].alias("label")))
+    every = F.when(F.size(listed) > 0, listed).otherwise(roles)
+    return F.struct(F.transform(every, lambda x: x["span"]).alias("spans"), F.transform(every, lambda x: x["label"]).alias("labels"))

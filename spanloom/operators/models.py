@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.operators import evaluation, relational, retrieval
 
@@ -135,3 +138,23 @@ def top_terms(df: DataFrame, key: str, cluster: str, text: str, stop: list[str],
 def both_ways(forward: Column, backward: Column) -> dict[str, Column]:
     """Columns from two directions of an entailment score."""
     return {"nli_min": F.least(forward, backward), "nli_max": F.greatest(forward, backward), "nli_gap": F.abs(forward - backward)}
+
+
+def embedded(df: DataFrame, text: str, encoder: Callable[[list[str]], list[list[float]]], vector: str = "embedding") -> DataFrame:
+    """df with vectors from an injected encoder of batches of texts, called on executors."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(encoder(texts.fillna("").tolist())))
+
+    return df.withColumn(vector, encode(F.col(text)))
+
+
+def entailment(df: DataFrame, one: str, other: str, scorer: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
+    """df with the score of each direction between two texts, from an injected scorer of batches of
+    pairs, and what follows from both."""
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(scorer(list(zip(a.fillna(""), b.fillna(""), strict=True))), dtype=float)
+
+    scored = df.withColumns({"nli_forward": score(F.col(one), F.col(other)), "nli_backward": score(F.col(other), F.col(one))})
+    return scored.withColumns(both_ways(F.col("nli_forward"), F.col("nli_backward")))

@@ -326,3 +326,12 @@ def e_provisions(spark, sf_dir):
     d = F.col("doc_id")
     raw = F.concat(F.lit('{"provisions": [{"provision_id": "p'), d % 5, F.lit('", "decision": {"evidence_span_text": "permit"}, "actor": [{"evidence_span_text": "one '), d % 3, F.lit('"}, "two"], "provenance": "none"}]}'))
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(jsonish.provisions(raw)))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'permit;x y' ELSE 'one;two three' END AS spans, CASE doc_id % 3 WHEN 2 THEN 'decision;actor' ELSE 'A;B' END AS labels FROM documents""")
+def r_annotation_items(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    listed = '[{"span_text": "one", "label": "A"}, {"span": " two  three ", "field_name": "B"}]'
+    raw = F.when(k == 0, '{"annotations": ' + listed + "}").when(k == 1, "```json\n" + listed + "\n```").otherwise('{"provisions": [{"decision": {"value": "permit"}, "actor": ["x y"]}]}')
+    i = diagnostics.annotation_items(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(i["spans"], ";").alias("spans"), F.array_join(i["labels"], ";").alias("labels"))

@@ -105,3 +105,73 @@ def config(path: str, key: str) -> dict:
 def write_folds(df: DataFrame, fold: str, path: str) -> None:
     """A folder of rows for each fold."""
     df.write.partitionBy(fold).mode("overwrite").parquet(path)
+
+
+_SHEETS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _cells(book: bytes, skip: str):
+    """(sheet, row number, cells) of a workbook's sheets whose name does not match skip."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        read = lambda name: ElementTree.fromstring(z.read(name))
+        names = set(z.namelist())
+        text = lambda node: "".join(t.text or "" for t in node.iter(f"{_SHEETS}t"))
+        shared = [text(x) for x in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
+        for sheet in read("xl/workbook.xml").iter(f"{_SHEETS}sheet"):
+            if skip and re.search(skip, sheet.get("name"), re.IGNORECASE):
+                continue
+            target = targets[sheet.get(f"{_LINKS}id")].lstrip("/")
+            for row in read(target if target.startswith("xl/") else f"xl/{target}").iter(f"{_SHEETS}row"):
+                cells: list[str] = []
+                for c in row.iter(f"{_SHEETS}c"):
+                    letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                    at = len(cells)
+                    if letters:
+                        at = 0
+                        for x in letters:
+                            at = at * 26 + ord(x) - 64
+                        at -= 1
+                    value, kind = c.find(f"{_SHEETS}v"), c.get("t")
+                    said = text(c) if kind == "inlineStr" else "" if value is None else shared[int(value.text)] if kind == "s" else value.text
+                    cells += [""] * (at - len(cells)) + [said or ""]
+                yield sheet.get("name"), int(row.get("r", 0)), cells
+
+
+def workbooks(spark: SparkSession, path, skip_sheets: str = "") -> DataFrame:
+    """file, sheet, row, cells of Excel workbooks; a file is read in one piece, as zip archives are."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                rows = [(name, *r) for r in _cells(content, skip_sheets)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "sheet", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, row int, cells array<string>")
+
+
+def with_headers(rows: DataFrame, known: list[str], least: int = 2) -> DataFrame:
+    """Rows of workbooks below each sheet's header, as a map from header to cell. The header is the first
+    row with at least so many known names."""
+    named = F.size(F.array_intersect(F.transform("cells", lambda c: F.lower(F.trim(c))), F.array(*(F.lit(k.lower()) for k in known)))) >= least
+    heads = rows.filter(named).groupBy("file", "sheet").agg(F.min("row").alias("_at"), F.min_by("cells", "row").alias("_head"))
+    below = rows.join(heads, ["file", "sheet"]).filter(F.col("row") > F.col("_at"))
+    pairs = F.filter(F.arrays_zip(F.col("_head").alias("k"), F.col("cells").alias("v")), lambda x: F.coalesce(F.trim(x["k"]), F.lit("")) != "")
+    once = F.map_from_entries(F.filter(F.transform(pairs, lambda x: F.struct(F.trim(x["k"]).alias("k"), F.coalesce(x["v"], F.lit("")).alias("v"))), lambda x, i: F.array_position(F.transform(pairs, lambda y: F.trim(y["k"])), x["k"]) == i + 1))
+    return below.select("file", "sheet", "row", once.alias("record"))
+
+
+def write_markdown(summary: DataFrame, path: str, title: str) -> None:
+    """A summary of a few rows as one Markdown file."""
+    cells = F.concat_ws(" | ", *(F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("/")), F.lit("")) for c in summary.columns))
+    head = summary.sparkSession.createDataFrame([(0, f"# {title}\n\n| " + " | ".join(summary.columns) + " |\n|" + "-|" * len(summary.columns))], "o int, line string")
+    body = summary.select(F.lit(1).alias("o"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    head.unionByName(body).orderBy("o", "line").coalesce(1).select("line").write.mode("overwrite").text(path)

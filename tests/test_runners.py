@@ -156,3 +156,29 @@ def test_review_helpers(spark):
     assert one(review.compact(F.col("t"), 8), t=" a  b c d e f ") == "a b c..."
     assert review.path_list("a.csv, b.csv\na.csv\n c.csv") == ["a.csv", "b.csv", "c.csv"]
     assert review.artifact(spark.range(1), "metrics").columns == ["id", "artifact"]
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda rows: f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" r:id="r1"/><sheet name="Notes" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Sentence</t></si><si><r><t>La</t></r><r><t>bel</t></r></si></sst>")
+        z.writestr("xl/worksheets/s1.xml", sheet('<row r="1"><c r="A1" t="inlineStr"><is><t>a title</t></is></c></row><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row r="3"><c r="A3" t="inlineStr"><is><t>hello</t></is></c><c r="C3"><v>4</v></c></row>'))
+        z.writestr("xl/worksheets/s2.xml", sheet('<row r="1"><c r="A1"><v>1</v></c></row>'))
+    rows = files.workbooks(spark, str(tmp_path / "b.xlsx"), "^notes$")
+    assert [(r["sheet"], r["row"], r["cells"]) for r in rows.orderBy("row").collect()] == [("Data", 1, ["a title"]), ("Data", 2, ["Sentence", "", "Label"]), ("Data", 3, ["hello", "", "4"])]
+    assert files.with_headers(rows, ["sentence", "label"]).first()["record"] == {"Sentence": "hello", "Label": "4"}
+    files.write_markdown(spark.createDataFrame([("x|y", 1), (None, 2)], "a string, b int"), str(tmp_path / "report"), "Summary")
+    assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()) == "# Summary\n\n| a | b |\n|-|-|\n|  | 2 |\n| x/y | 1 |"
+
+
+def test_injected_models(spark):
+    df = spark.createDataFrame([(1, "abc", "ab"), (2, None, "x")], "k int, a string, b string")
+    got = {r["k"]: r["embedding"] for r in models.embedded(df, "a", lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0]}
+    scored = models.entailment(df, "a", "b", lambda pairs: [float(len(p) > len(q)) for p, q in pairs]).orderBy("k").collect()
+    assert [(r["nli_min"], r["nli_max"], r["nli_gap"]) for r in scored] == [(0.0, 1.0, 1.0), (0.0, 1.0, 1.0)]
