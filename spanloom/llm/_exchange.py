@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import distinct
+from spanloom.llm._words import distinct, trim, trimmed
 from spanloom.session import fresh_path, remove, stored
 
 BUCKET_BYTES, TASK_BYTES, MOST_TASKS = 16 << 20, 24 << 20, 50_000
@@ -148,6 +148,8 @@ def merge(asked: DataFrame, reply: Callable, buckets: int) -> DataFrame:
         out = rows_table(rows)
         for name, value in zip(("s0", "s1"), stats, strict=True):
             out = out.append_column(name, pa.array([float(value)] + [0.0] * (len(rows) - 1), pa.float64()))
+        del back, sent, group, rows
+        trim()
         return out
 
     return asked.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(bucket, ASK + ", s0 double, s1 double")
@@ -172,7 +174,7 @@ class Corpus:
         mark = uuid.uuid4().hex
         self.tables = [f"spanloom_{mark}_{x}" for x in ("chunks", "answers")]
         self.paths = [fresh_path(spark, f"{name}-{x}") for x in ("chunks", "answers")]
-        self._guarded(lambda: self._write(docs.coalesce(readers).mapInArrow(packer, PACKED), 0))
+        self._guarded(lambda: self._write(docs.coalesce(readers).mapInArrow(trimmed(packer), PACKED), 0))
 
     def _guarded(self, step: Callable):
         try:
@@ -197,10 +199,12 @@ class Corpus:
                     for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
                         yield from make(chunk, payload.as_py(), None).to_batches()
 
-            return chunks.mapInArrow(alone, schema)
+            return chunks.mapInArrow(trimmed(alone), schema)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            return make(left["chunk"][0].as_py(), left["payload"][0].as_py(), right)
+            out = make(left["chunk"][0].as_py(), left["payload"][0].as_py(), right)
+            trim()
+            return out
 
         # a chunk without a key has no answer, and no answer is without its chunk
         answers = self.spark.table(self.tables[1]).select("chunk", "kind", "bucket", "body")

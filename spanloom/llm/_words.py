@@ -8,8 +8,9 @@ of n different words or windows meet with probability about n**2 / 2**65, repeti
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,24 @@ def remainder(ids: list, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % modulus for x in ids], dtype=np.int64)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values over each text's words."""
     total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import Words, buffers, distinct, slices
+from spanloom.llm._words import Words, buffers, distinct, slices, trimmed
 from spanloom.session import stored
 
 CAPACITY, CLOSING = 4096, 1
@@ -169,7 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
                     "part": pa.array(np.full(len(doc), part, np.int32)), "rank": pa.array(rank),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), PIECES)
 
 
 def fullest(target: int, stock: list[tuple[int, int]]) -> Counter:

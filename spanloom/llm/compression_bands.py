@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from spanloom.llm._stats import base_statistics
-from spanloom.llm._words import Words, texts_of
+from spanloom.llm._words import Words, texts_of, trimmed
 
 #: Up to so many bytes: least and greatest ratio of the whole text. The greatest stand a little
 #: above what texts of sf0.1 reach (0.86 up to 400 bytes, 0.54 up to 3200, 0.44 up to 25600).
@@ -67,4 +67,4 @@ def judge(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAN
                 number = lambda i, r=r, empty=empty: pa.array(r[:, i], mask=empty)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: pa.array(v) for k, v in stats.items()}, "base_failed": pa.array(failed), "ratio": number(0), "chunk_low": number(1), "chunk_high": number(2), "kept": pa.array(~failed & fine)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import mix, per_doc, remainder, texts_of
+from spanloom.llm._words import mix, per_doc, remainder, texts_of, trimmed
 
 GRAM, FLOOR, RELATIVE = 4, 1e-6, 0.15
 SLOT_BITS, HASHES = 22, 2
@@ -113,7 +113,7 @@ def counts(docs: DataFrame, held_out=HELD_OUT) -> DataFrame:
                 part = k[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "gram": pa.array(part.view(np.int64)), "n": pa.array(n[i : i + 50_000])})
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, held_out=HELD_OUT, floor: float = FLOOR, relative: float = RELATIVE) -> tuple[list[str], np.ndarray]:
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, held_out=HELD_
                     "lang_pred": pa.array([langs[b] if ok else "und" for b, ok in zip(best, some, strict=True)], pa.string()), "score": pa.array(np.where(some, share, 0.0)),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out=HELD_OUT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm._stats import base_statistics, lines_of
-from spanloom.llm._words import Words, mix, per_doc, texts_of
+from spanloom.llm._words import Words, mix, per_doc, texts_of, trimmed
 from spanloom.session import stored
 
 SHRINKAGE, RIDGE, THRESHOLD = 0.1, 1e-3, 0.3
@@ -69,7 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
                 x = transformed(Words(data, bounds))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, x array<double>")
 
 
 def held_out_column(modulus: int, left_out: int):

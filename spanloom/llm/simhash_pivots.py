@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import buffers, mix
+from spanloom.llm._words import buffers, mix, trimmed
 from spanloom.operators.components import connected_components
 from spanloom.session import discard, stored
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = [fingerprint(bytes(raw[a:b]), shingle, seed) for a, b in itertools.pairwise(at)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -149,7 +149,7 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
             moved = np.flatnonzero(rep != rep[to])
             yield pa.RecordBatch.from_pydict({"a": pa.array(rep[moved]), "b": pa.array(rep[to][moved])})
 
-    return rows.select("fp", "rep", "key").mapInArrow(run, "a long, b long")
+    return rows.select("fp", "rep", "key").mapInArrow(trimmed(run), "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:

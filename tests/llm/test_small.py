@@ -198,7 +198,10 @@ def test_short_texts_and_many_languages(spark):
 
 def votes_by_hand(rows, held_out=(4, 2)):
     """The same model with plain sets of n-grams in place of Bloom filters."""
-    grams = lambda t: [g for g in [(" " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t or "").split()) + " ")] for g in (g[i : i + 4] for i in range(len(g) - 3))]
+    def grams(t):
+        padded = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t or "").split()) + " "
+        return [padded[i : i + 4] for i in range(len(padded) - 3)]
+
     counts = {}
     for i, t, lang in rows:
         if lang is not None and zlib.crc32(str(i).encode()) % held_out[0] != held_out[1]:
