@@ -74,7 +74,7 @@ def test_resolution(spark):
         ("A::E1", "", "A::E1", "valid", "exact_union_id_no_label_returned"), ("A::E1", "One", "A::E1", "valid", "exact_union_id_label_match"), ("A::E1", "uno", "A::E1", "invalid", "label_mismatch_for_exact_union_id"),
         ("E1", "", "E1", "invalid", "ambiguous_normalized_id_match"), ("E02", "", "A::E02", "repaired", "exact_source_element_id_no_label_returned"), ("E02", "zwei", "E02", "invalid", "no_inventory_match"),
         ("A:E02", "two", "A::E02", "repaired", "source_model_pair_label_match"), ("FHIR:C.x", "", "FHIR_Consent::C.x", "repaired", "source_model_pair_no_label_returned"), ("O:7", "", "O::O:7", "repaired", "exact_source_element_id_no_label_returned"),
-        ("a-e02", "", "a-e02", "invalid", "normalized_id_match_requires_label"), ("a-e2", "two", "A::E02", "repaired", "normalized_id_and_label_match"), ("zzz", "Uno", "B::E1", "repaired", "unique_source_element_label_match"),
+        ("a-e02", "", "a-e02", "invalid", "normalized_id_match_requires_label"), ("a-e02", "two", "A::E02", "repaired", "normalized_id_and_label_match"), ("zzz", "Uno", "B::E1", "repaired", "unique_source_element_label_match"),
         ("unmatched_language", "", "unmatched_language", "routed_to_unmatched", "reserved_non_label_id"), ("", "", "", "invalid", "empty"), (None, "one", None, "invalid", "not_string"), ("zzz", "", "zzz", "invalid", "no_inventory_match"),
     ]
     rows = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "k int, given_id string, given_label string")
