@@ -72,5 +72,13 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc)}
+def op11_block_lanczos(spark, sf_dir):
+    """deviation is null where it does not fit a long (some three million rows of unit vectors); deviation_exact has it."""
+    from spanloom.llm.whitening import whiten
+
+    exact = F.col("deviation")
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation_exact", exact).withColumn("deviation", exact.try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc, op11_block_lanczos)}
 ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle()}
