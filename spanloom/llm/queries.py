@@ -80,5 +80,11 @@ def op11_block_lanczos(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation_exact", exact).withColumn("deviation", exact.try_cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc, op11_block_lanczos)}
+def op12_additive_quantisation(spark, sf_dir):
+    from spanloom.llm.additive_quantisation import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc, op11_block_lanczos, op12_additive_quantisation)}
 ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle()}

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm import whitening
+from spanloom.llm import additive_quantisation, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n long, score double, key string, x string, uid string, part string"
 REST = (1, 7, 0.5, "k", "x", "u", "p")
@@ -101,3 +101,90 @@ def test_whitening_query_on_given_table(spark):
     t = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
     x = np.array(t["embedding"].to_pylist(), np.float32)
     check_whitening(QUERIES["op11_block_lanczos"](spark, "/root/testdata/sf0.001"), t["vec_id"].to_pylist(), x)
+
+
+def expected_neighbours(rows, k=20, every=20, inner=True):
+    """Each query row's neighbours, by all pairs."""
+    ids = [i for i, _ in rows]
+    v = np.array([x for _, x in rows], np.float64)
+    out = []
+    for a, i in enumerate(ids):
+        if i is not None and i % every == 0:
+            score = (v * v[a]).sum(1) if inner else -((v - v[a]) ** 2).sum(1)
+            best = sorted((-s, math.inf if j is None else j) for b, (s, j) in enumerate(zip(score, ids, strict=True)) if b != a)[:k]
+            out.append((i, [(j, -s) for s, j in best]))
+    return out
+
+
+def lists(df):
+    got = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["rank"], math.inf if r["vec_id"] is None else r["vec_id"], r["score"]))
+    return got
+
+
+def recall(got, wanted, k=20):
+    hits = total = 0
+    for i, best in wanted:
+        assert [r for r, _, _ in got[i]] == list(range(1, len(best) + 1))
+        exact = dict(best)
+        for _, j, s in got[i]:
+            assert j not in exact or abs(exact[j] - s) < 1e-12
+            hits += s >= best[-1][1] - 1e-12
+        total += len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize("measure", ["inner", "euclidean"])
+def test_neighbours_reach_recall(spark, measure):
+    x = vectors(3000, 32, 4) * (1 if measure == "inner" else 3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = additive_quantisation.neighbours(frame(spark, rows), measure=measure, words=64, sample=1500, part_bytes=200_000)
+    found = recall(lists(got), expected_neighbours(rows, inner=measure == "inner"))
+    assert found > 0.95, found
+
+
+def test_neighbours_of_odd_rows(spark):
+    x = vectors(60, 24)
+    rows = [r for r in odd_rows(x) if r[0] != 3] + [(2000, [0.0] * 24), (-20, x[7].tolist()), (41, x[40].tolist()), (42, x[40].tolist())]
+    live = [r for r in rows if r[1] and len(r[1]) == 24 and all(c is not None and math.isfinite(c) for c in r[1]) and any(r[1])]
+    got = lists(additive_quantisation.neighbours(frame(spark, rows).repartition(3)))
+    wanted = expected_neighbours(live)
+    assert sorted(got) == sorted(i for i, _ in wanted) == [-20, 0, 20, 40]
+    for i, best in wanted:
+        assert [j for _, j, _ in got[i]] == [j for j, _ in best]  # few rows: all within the margin
+        assert np.allclose([s for _, _, s in got[i]], [s for _, s in best], atol=1e-12)
+    few = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (5, [0.5, 0.5])]
+    rows = additive_quantisation.neighbours(frame(spark, few)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows) == [(20, 1, 20, 1.0), (20, 1, 20, 1.0), (20, 2, 5, 0.5), (20, 2, 5, 0.5)]
+    for none in ([], [(20, None)], [(20, [0.0, 0.0])], [(20, [1.0, 2.0])]):
+        assert additive_quantisation.neighbours(frame(spark, none)).count() == 0
+
+
+def test_many_equal_vectors_tie_by_id(spark):
+    x = vectors(200, 16)
+    rows = [(i, (x[0] if i % 3 == 0 else x[i]).tolist()) for i in range(200)]
+    got = lists(additive_quantisation.neighbours(frame(spark, rows), part_bytes=2000))
+    for i, best in expected_neighbours(rows):
+        if i % 3 == 0:
+            assert [j for _, j, _ in got[i]] == [j for j, _ in best]
+
+
+def test_encoding_leaves_what_it_says():
+    x = vectors(500, 24)
+    books = additive_quantisation.fit(x, 6, 32)
+    codes, left = additive_quantisation.encode(books, x, 4)
+    assert np.allclose(sum(books[m][codes[:, m]] for m in range(6)) + left, x, atol=1e-5)
+    greedy = additive_quantisation.encode(books, x, 1)[1]
+    assert (left**2).sum() < (greedy**2).sum()
+
+
+def test_neighbour_query_on_given_table(spark):
+    import pyarrow.parquet as pq
+
+    from spanloom.llm.queries import QUERIES
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    rows = list(zip(t["vec_id"].to_pylist(), t["embedding"].to_pylist(), strict=True))
+    found = recall(lists(QUERIES["op12_additive_quantisation"](spark, "/root/testdata/sf0.01")), expected_neighbours(rows))
+    assert found >= 0.97, found
