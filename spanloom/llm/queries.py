@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import spaced_seeds
+from spanloom.llm import filter_audit, spaced_seeds
 from spanloom.session import table
 
 
@@ -86,5 +86,11 @@ def op12_additive_quantisation(spark, sf_dir):
     return neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc, op11_block_lanczos, op12_additive_quantisation)}
-ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle()}
+def op13_bitmap_audit(spark, sf_dir):
+    from spanloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_min_bin_slack, op3_compression_bands, op4_relative_lz, op5_line_neighbourhood, op6_spaced_seeds, op7_simhash_pivots, op8_quality_qda, op9_language_bitmask, op10_warc, op11_block_lanczos, op12_additive_quantisation, op13_bitmap_audit)}
+ORACLE_SQL: dict[str, str] = {"op6_spaced_seeds": spaced_seeds.oracle(), "op13_bitmap_audit": filter_audit.ORACLE}
