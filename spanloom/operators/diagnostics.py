@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text
-from spanloom.operators import relational
+from spanloom.operators import order, relational
 
 # Word list and cue groups of the diagnostics.
 STOP = (
@@ -108,7 +108,8 @@ def condition_summary(df: DataFrame, keys: list[str], means: list[str], medians:
     df, keys = relational.grouped_or_all(df, keys)
     there = lambda names: [c for c in names if c in df.columns]
     number = lambda c: F.col(c).cast("double")
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(number(c)).alias(f"mean_{c}") for c in there(means)), *(F.median(number(c)).alias(f"median_{c}") for c in there(medians)), *(F.avg(F.col(c).cast("int")).alias(f"pct_{c}") for c in there(rates)))
+    s = df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(number(c)).alias(f"mean_{c}") for c in there(means)), *(F.avg(F.col(c).cast("int")).alias(f"pct_{c}") for c in there(rates)))
+    return order.with_medians(s, df, keys, there(medians))
 
 
 def cue_summary(metrics: DataFrame, groups: list[str], keys: list[str]) -> DataFrame:
@@ -207,7 +208,8 @@ def granularity(rows: DataFrame, source: str, spans_: str, labels: str) -> DataF
 
 def granularity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     some = lambda c: F.avg((F.col(c) > 0).cast("int"))
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *(f(F.col(m).cast("double")).alias(f"{name}_{m}") for m in metrics for name, f in (("mean", F.avg), ("median", F.median))), some("n_long_spans").alias("pct_rows_with_long_span"), some("n_full_sentence_spans").alias("pct_rows_with_full_sentence_span"))
+    s = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *(F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in metrics), some("n_long_spans").alias("pct_rows_with_long_span"), some("n_full_sentence_spans").alias("pct_rows_with_full_sentence_span"))
+    return order.with_medians(s, df, keys, metrics)
 
 
 def annotation_items(raw: Column) -> Column:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.order import running
+from spanloom.operators.relational import numbered
+from spanloom.session import stored
+
 
 def stable_id(*parts: Column, n: int = 12) -> Column:
     return F.substring(F.sha1(F.concat_ws("||", *parts).cast("binary")), 1, n)
@@ -19,21 +25,20 @@ def hash_fold(key: Column, n: int) -> Column:
 
 
 def round_robin_folds(forms: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Forms in order of a seeded hash, dealt in turn. The forms are a small dimension (one row a form)."""
+    """Forms in order of a seeded hash, dealt in turn; the order is global, no task sees all forms."""
     order = F.substring(F.sha1(F.concat_ws("|", F.col(key), F.lit(str(seed))).cast("binary")), 1, 12)
-    place = F.row_number().over(Window.orderBy(order, key)) - 1
-    return forms.select(key).distinct().select(key, F.format_string("fold_%02d", (place % n).cast("int")).alias("fold_id"))
+    placed = numbered(forms.select(key).distinct(), [order, F.col(key)])
+    return placed.select(key, F.format_string("fold_%02d", (F.col("number") % n).cast("int")).alias("fold_id"))
 
 
 def metrics(scored: DataFrame, by: list[str], label: str = "y", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1, AUROC (rank sum, ties averaged) and average precision.
 
-    Rows of a group with equal scores are aggregated first, so windows run over distinct scores."""
-    y, s = F.col(label), F.col(score)
+    Rows of a group with equal scores are aggregated first; sums run over ranges of the distinct scores, so no task sees
+    all of a group. Without by, all rows are one group."""
+    y, s = F.col(label), F.col(score).cast("double")
     per = scored.filter(y.isNotNull() & s.isNotNull()).groupBy(*by, s.alias("s")).agg(F.sum(y.cast("long")).alias("p"), F.sum((1 - y).cast("long")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc("s"))
-    up = down.rowsBetween(Window.unboundedPreceding, 0)
-    t = per.withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("q").over(up))
+    t = running(per, by, "s", {"tp": "p", "fp": "q"}, descending=True)
     hit = F.col("s") >= threshold
     sums = t.groupBy(*by).agg(
         F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("fp"),
@@ -49,21 +54,120 @@ def retention(scored: DataFrame, by: list[str], score: str = "score", thresholds
     return rows.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.avg((F.col(score) >= F.col("threshold")).cast("int")).alias("retained"))
 
 
-def splits(df: DataFrame, label: str, fold: Column, groups: list[str]) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """name -> (train, test): by fold, and leaving out each value of the grouping columns; splits
-    whose train or test has one class only are skipped. Grouping columns are small dimensions."""
-    marked = df.withColumn("_fold", fold.cast("string"))
+#: Most splits that models are trained on, and classes that a split is stratified by.
+MOST_SPLITS, MOST_CLASSES = 200, 1000
+
+
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a small frame; more than most are an error, found without collecting them."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
+def stratified(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """key, label, test: exactly ceil(share * n) rows are test rows, each class as near to its share as whole
+    rows allow (largest remainder, then the larger class, then the lesser label). Rows of a class are taken in order of a seeded hash of the
+    key; rows without a label are left out."""
+    rows = df.select(key, label).filter(F.col(label).isNotNull())
+    counts = [(r[label], r["n"]) for r in bounded(rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(label), MOST_CLASSES, "classes")]
+    n = sum(c for _, c in counts)
+    wanted = -(-round(share * 1_000_000) * n // 1_000_000)
+    quota = {y: wanted * c // n for y, c in counts}
+    for y, _ in sorted(counts, key=lambda r: (-(wanted * r[1] % n), -r[1], r[0]))[: wanted - sum(quota.values())]:
+        quota[y] += 1
+    ends, start = [], 0
+    for y, c in counts:
+        ends.append((y, start + quota[y]))
+        start += c
+    order = F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    placed = numbered(rows, [F.col(label), order, F.col(key)])
+    test = F.col("number") < F.lit(0)
+    for y, end in reversed(ends):
+        test = F.when(F.col(label) == y, F.col("number") < end).otherwise(test)
+    return placed.select(key, label, test.alias("test"))
+
+
+def fill_order(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first rank, end rank, folds in turn): which fold the groups of a size go to, by their rank in it, if
+    groups are dealt from the largest size down, each to the fold with the fewest rows (then the lowest number).
+
+    sizes: (size, number of groups), falling. Within a size s a fold with load q * s + r takes its turn on level q and
+    all later ones, in order of r: so folds come in cycles, and a cycle grows only where a level is some fold's first."""
+    load, out = [0] * k, []
+    for size, n in sizes:
+        first = {f: divmod(load[f], size) for f in range(k)}
+        levels, rank = sorted({q for q, _ in first.values()}), 0
+        for i, level in enumerate(levels):
+            active = sorted((f for f in range(k) if first[f][0] <= level), key=lambda f: (first[f][1], f))
+            end = n if i + 1 == len(levels) else min(n, rank + (levels[i + 1] - level) * len(active))
+            if end > rank:
+                out.append((size, rank, end, active))
+                for j, f in enumerate(active):
+                    load[f] += size * ((end - rank - j + len(active) - 1) // len(active))
+            rank = end
+    return out
+
+
+def balanced_folds(df: DataFrame, group: str, n_folds: int) -> DataFrame:
+    """group, n_rows, fold (from 1): groups from the largest to the smallest, by value within a size, each to
+    the fold with the fewest rows so far. Only the histogram of sizes is on the driver (at most about the root of
+    twice the rows); groups never are."""
+    sized = stored(df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_rows")), "group-sizes")
+    histogram = [(r["n_rows"], r["n"]) for r in sized.groupBy("n_rows").agg(F.count("*").alias("n")).orderBy(F.desc("n_rows")).collect()]
+    begin, at = {}, 0
+    for size, n in histogram:
+        begin[size], at = at, at + n
+    k = min(n_folds, at)
+    plan = [(size, begin[size] + a, begin[size] + b, folds) for size, a, b, folds in fill_order(histogram, k)]
+    cycles = df.sparkSession.createDataFrame(plan, "size long, first long, end long, folds array<int>")
+    placed = numbered(sized, [F.desc("n_rows"), F.asc(group)])
+    inside = (F.col("n_rows") == F.col("size")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("end"))
+    turn = ((F.col("number") - F.col("first")) % F.size("folds")).cast("int")
+    return placed.join(cycles, inside).select(group, "n_rows", (F.get("folds", turn) + 1).alias("fold"))
+
+
+def split_table(df: DataFrame, label: str, schemes: dict[str, Column]) -> DataFrame:
+    """scheme, value, n_train, n_test, trainable: each value of each scheme's column is the test part of one split (a
+    null is in none), all other rows its train part; trainable if both parts have both classes."""
+    each = F.inline(F.array(*(F.struct(F.lit(s).alias("scheme"), c.cast("string").alias("value")) for s, c in schemes.items())))
+    y = F.col(label).cast("long")
+    parts = df.filter(F.col(label).isNotNull()).select(y.alias("y"), each).groupBy("scheme", "value").agg(F.count("*").alias("n_test"), F.sum("y").alias("p"))
+    whole = parts.groupBy("scheme").agg(F.sum("n_test").alias("n"), F.sum("p").alias("all_p"))
+    n_train, p_train = F.col("n") - F.col("n_test"), F.col("all_p") - F.col("p")
+    both = lambda p, n: (p > 0) & (p < n)
+    return parts.filter("value IS NOT NULL").join(F.broadcast(whole), "scheme").select("scheme", "value", n_train.alias("n_train"), "n_test", (both(F.col("p"), F.col("n_test")) & both(p_train, n_train)).alias("trainable"))  # a row a scheme
+
+
+def split_frames(df: DataFrame, label: str, schemes: dict[str, Column]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """scheme_value -> (train, test) of every trainable split, in order; a row whose value is null only trains.
+    Models are trained on each, so more than MOST_SPLITS are an error."""
+    table = split_table(df, label, schemes).filter("trainable").orderBy("scheme", "value")
+    rows = df.filter(F.col(label).isNotNull())
     out = {}
-    for column in ["_fold", *groups]:
-        counts = marked.groupBy(column).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")).collect()
-        p, n = sum(r["p"] or 0 for r in counts), sum(r["n"] for r in counts)
-        for r in sorted((r for r in counts if r[column] is not None), key=lambda r: r[column]):
-            inside, outside = (r["p"], r["n"] - r["p"]), (p - r["p"], n - r["n"] - p + r["p"])
-            if min(*inside, *outside) > 0:
-                out[f"{column.strip('_')}={r[column]}"] = (marked.filter(F.col(column) != r[column]).drop("_fold"), marked.filter(F.col(column) == r[column]).drop("_fold"))
+    for r in bounded(table, MOST_SPLITS, "splits"):
+        inside = F.coalesce(schemes[r["scheme"]].cast("string") == r["value"], F.lit(False))
+        out[f"{r['scheme']}_{re.sub(r'[^A-Za-z0-9_.-]+', '_', r['value'])[:60]}"] = (rows.filter(~inside), rows.filter(inside))
     return out
 
 
+def experiment_splits(df: DataFrame, key: str, label: str, group: str, leave: dict[str, str], n_folds: int = 5, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, dict[str, Column]]:
+    """df with its split columns, and the schemes over them: one stratified random split, balanced folds of groups, and one
+    split for each value of the columns that are left out in turn (scheme name: column)."""
+    random = stratified(df, key, label, share, seed).select(F.col(key).alias("_key"), F.when(F.col("test"), "1").alias("random_split"))
+    folds = balanced_folds(df, group, n_folds).select(F.col(group).alias("_group"), F.col("fold").alias("group_fold"))
+    out = df.filter(F.col(label).isNotNull())
+    out = out.join(random, out[key] == F.col("_key")).drop("_key").join(folds, out[group] == F.col("_group"), "left").drop("_group")
+    return out, {"random": F.col("random_split"), "leave_group_fold": F.col("group_fold"), **{name: F.col(c) for name, c in leave.items()}}
+
+
+def splits(df: DataFrame, label: str, fold: Column, groups: list[str]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """name -> (train, test): by fold, and leaving out each value of the grouping columns; splits
+    whose train or test has one class only are skipped."""
+    return split_frames(df, label, {"fold": fold, **{g: F.col(g) for g in groups}})
+
+
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     """Adds weight: classes count alike."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))

@@ -26,20 +26,30 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFram
     return nodes.select(F.col(node).alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
-def tier(folds: Column, support: Column, models: Column) -> Column:
-    return F.when((folds >= 3) & (support >= 80) & (models >= 2), "core").when((folds >= 2) & (support >= 40), "extension").otherwise("rare")
+def tier(folds: Column, support: Column, models: Column, core=(3, 80), extension=(2, 40), least_models: int = 2) -> Column:
+    """core and extension: least folds and least support of each."""
+    reaches = lambda least: (folds >= least[0]) & (support >= least[1]) & (models >= least_models)
+    return F.when(reaches(core), "core_candidate").when(reaches(extension), "extension_candidate").otherwise("audit_only")
 
 
-def similar_sets(df: DataFrame, key: str, terms: str, threshold: float) -> DataFrame:
-    """Pairs of keys whose term sets have a Jaccard similarity of at least threshold: an inverted
-    index on the prefix of each set in order of rarity meets every such pair, then it is verified."""
-    sets = df.select(key, F.array_distinct(terms).alias("t")).filter(F.size("t") > 0)
-    words = sets.select(key, F.size("t").alias("n"), F.explode("t").alias("w"))
+def similar_sets(df: DataFrame, key: str, terms: str, threshold: float, carry: list[str] = (), meets: Column | None = None) -> DataFrame:
+    """a, b, jaccard: pairs of keys a < b whose term sets have a Jaccard similarity of at least threshold.
+
+    An index on the first terms of each set in order of rarity meets every such pair. What cannot be
+    similar is left out within the index join: by the sets' sizes, by how many terms are left from the common one on, and by
+    meets, a condition on the columns carry of both sides (as {name}_a and {name}_b). The rest is verified."""
+    sets = df.select(key, *carry, F.array_distinct(terms).alias("t")).filter(F.size("t") > 0)
+    words = sets.select(key, F.explode("t").alias("w"))
     rarity = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(rarity, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), F.first("n").alias("n"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    index = ordered.select(key, F.explode(F.slice("o", 1, keep.cast("int"))["w"]).alias("w"))
-    met = index.withColumnRenamed(key, "a").join(index.withColumnRenamed(key, "b"), "w").filter("a < b").select("a", "b").distinct()
-    j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+    ordered = words.join(rarity, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    size = F.size("o")
+    first = F.slice("o", F.lit(1), (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int"))["w"]
+    index = ordered.join(sets.select(key, *carry), key).select(key, *carry, size.alias("n"), F.posexplode(first).alias("at", "w"))
+    side = lambda s: index.select("w", F.col(key).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "at", *carry)))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    possible = F.least(n_a - F.col("at_a"), n_b - F.col("at_b")) >= threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+    near = (F.col("a") < F.col("b")) & (F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b) - 1e-9) & possible
+    met = side("a").join(side("b"), "w").filter(near if meets is None else near & meets).select("a", "b").distinct()
+    common = F.size(F.array_intersect("ta", "tb"))
     both = met.join(sets.select(F.col(key).alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col(key).alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)

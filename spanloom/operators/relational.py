@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.order import with_medians
+
 
 def ranked(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -158,7 +160,8 @@ def win_rates(pairs: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """n, mean and median difference, and shares of wins, losses and ties by keys."""
     d = F.col(f"one_{metric}") - F.col(f"other_{metric}")
     share = lambda c: F.avg(c.cast("int"))
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), share(d > 0).alias("win_rate"), share(d < 0).alias("loss_rate"), share(d == 0).alias("tie_rate"))
+    s = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_delta"), share(d > 0).alias("win_rate"), share(d < 0).alias("loss_rate"), share(d == 0).alias("tie_rate"))
+    return with_medians(s, pairs.select(*keys, d.alias("delta")), keys, ["delta"])
 
 
 def best_other(df: DataFrame, key: list[str], other: Column, metric: str, tie: str) -> DataFrame:
