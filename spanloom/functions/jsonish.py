@@ -14,6 +14,14 @@ def unfenced(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"(?s)^```[a-zA-Z]*\s*|\s*```$", ""))
 
 
+def json_text(x: Column) -> Column:
+    """The text without its fence if it is JSON, else its outermost braces, else brackets, else null."""
+    s = unfenced(x)
+    part = lambda p: F.nullif(F.regexp_extract(s, p, 0), F.lit(""))
+    good = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
+    return F.coalesce(good(F.nullif(s, F.lit(""))), good(part(r"(?s)\{.*\}")), good(part(r"(?s)\[.*\]")))
+
+
 def parse(x: Column) -> Column:
     """Variant of the text without its fence, else of its outermost braces, else brackets, else null."""
     s = unfenced(x)
@@ -141,45 +149,6 @@ def provisions(raw: Column) -> Column:
     return F.filter(F.flatten(F.transform(provs, of)), lambda x: x["span"] != "")
 
 
-@F.pandas_udf(T.StructType().add("available", T.BooleanType()).add("found", T.ArrayType(T.StringType())))
-def _under_keys(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    """Texts at any depth under any of the keys: no expression walks JSON of unknown shape."""
-    import re
-
-    def snake(k):
-        return re.sub(r"[^a-z0-9]+", "_", str(k).lower()).strip("_")
-
-    def strings(x):
-        if isinstance(x, dict):
-            return [s for v in x.values() for s in strings(v)]
-        if isinstance(x, list):
-            return [s for v in x for s in strings(v)]
-        s = "" if x is None else " ".join(str(x).split())
-        return [s] if s else []
-
-    def search(raw, wanted):
-        found, seen, waiting = [], False, [json.loads(raw)] if raw else []
-        while waiting:
-            x = waiting.pop()
-            if isinstance(x, dict):
-                for k, v in x.items():
-                    if snake(k) in wanted:
-                        seen = True
-                        found += strings(v)
-                waiting += list(x.values())[::-1]
-            elif isinstance(x, list):
-                waiting += x[::-1]
-        return seen, list(dict.fromkeys(found))
-
-    rows = [search(t, set(k)) for t, k in zip(texts, keys, strict=True)]
-    return pd.DataFrame({"available": [a for a, _ in rows], "found": [f for _, f in rows]})
-
-
-def unmatched_language(raw: Column, keys) -> Column:
-    """available, found: whether an answer has one of the keys, and the distinct texts under them."""
-    return _under_keys(F.to_json(parse(raw)), F.array(*map(F.lit, keys)))
-
-
 def listed(x: Column) -> Column:
     """A JSON list, or parts split at ; | and comma."""
     parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[;|,]"), lambda p: F.trim(p)), lambda p: p != "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text
-from spanloom.operators import order, relational
+from spanloom.operators import order, relational, walks
 
 # Word list and cue groups of the diagnostics.
 STOP = (
@@ -151,6 +151,16 @@ def element_records(records: DataFrame, inventory: DataFrame, uid: str = "union_
     return records.join(whole, F.trim(uid) == F.col("_s"), "left").withColumn("element_kind", kind).drop("_s")
 
 
+def mapping_records(rows: DataFrame, mapping: str, inventory: DataFrame, uid: str = "union_element_id") -> DataFrame:
+    """rows with every element that their mapping names, at any depth, and its element_kind."""
+    return element_records(walks.element_mentions(rows, F.coalesce(jsonish.json_text(F.col(mapping)), F.col(mapping)), uid), inventory, uid)
+
+
+def unmatched_language(rows: DataFrame, answer: str) -> DataFrame:
+    """rows with unmatched_available and unmatched_language: the texts under keys for what was not annotated."""
+    return walks.under_keys(rows, jsonish.json_text(F.col(answer)), UNMATCHED_KEYS, "unmatched_available", "unmatched_language")
+
+
 def element_summary(records: DataFrame, uid: str, sentence: str, means: list[str], n: int = 8) -> DataFrame:
     """One row per element: mentions, sentences, llms, conditions, means, its most frequent spans."""
     top = relational.most_common(records.filter("span <> ''"), [uid], "span", n)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanloom.functions import cues, text
+from spanloom.operators import walks
 from spanloom.operators.evaluation import stable_id
 
 # Keys under which mappings keep identifiers, labels and texts.
@@ -19,43 +15,15 @@ LABEL_KEYS = ("label", "name", "term", "title", "class", "predicate", "property"
 TEXT_KEYS = ("text", "phrase", "span", "value", "content", "verbatim", "sentence", "description")
 LONGEST, SHORTEST, LINES = 240, 4, 50
 
-_UNIT = T.StructType([T.StructField(n, T.StringType()) for n in ("source_element_id", "label", "span", "method", "path")])
-
-
-def _first(node: dict, keys: tuple) -> str:
-    return next((str(v).strip() for k, v in node.items() if k.lower() in keys and v is not None and str(v).strip()), "")
-
-
-def _literal(raw: str):
-    for read in (json.loads, ast.literal_eval):
-        try:
-            return read(raw)
-        except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-            continue
-    return None
-
-
-def _nodes(value):
-    """Objects with an id, label or text, outermost first, with their paths; without recursion."""
-    waiting, out = [(value, "")], []
-    while waiting:
-        node, path = waiting.pop()
-        if isinstance(node, dict):
-            found = [_first(node, keys) for keys in (ID_KEYS, LABEL_KEYS, TEXT_KEYS)]
-            if any(found):
-                i, label, span = found
-                out.append({"source_element_id": i, "label": label or span or i, "span": span or label or i, "method": "json_object", "path": path})
-            waiting += [(v, f"{path}.{k}" if path else str(k)) for k, v in reversed(node.items())]
-        elif isinstance(node, list):
-            waiting += [(v, f"{path}[{i}]") for i, v in reversed(list(enumerate(node)))]
-    return out
-
 
-@F.pandas_udf(T.ArrayType(_UNIT))
-def json_units(raw: pd.Series) -> pd.Series:
-    """Node-like objects of JSON or of a Python literal, at any depth: no expression walks a
-    document of unknown shape. Texts that start with no bracket hold none."""
-    return raw.map(lambda s: _nodes(_literal(s)) if s and s[0] in "[{(" else [])
+def json_units(df: DataFrame, raw: Column) -> DataFrame:
+    """id (of the text), units: node-like objects of JSON or of a Python literal at any depth, in document order."""
+    objects = walks.containers(walks.texts_of(df, raw)).filter("kind = 'OBJECT'")
+    read = objects.select("id", "place", "path", *(walks.first_of(F.col("members"), keys).alias(n) for n, keys in (("i", ID_KEYS), ("l", LABEL_KEYS), ("s", TEXT_KEYS))))
+    i, label, span = F.col("i"), F.col("l"), F.col("s")
+    either = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
+    unit = F.struct(i.alias("source_element_id"), either(label, span, i).alias("label"), either(span, label, i).alias("span"), F.lit("json_object").alias("method"), F.col("path").alias("path"))
+    return walks.per_text(read.filter((i != "") | (label != "") | (span != "")), units=unit)
 
 
 def _unit(i, label, span, method) -> Column:
@@ -71,7 +39,9 @@ def with_units(rows: DataFrame, mapping: str, model: str, original: str) -> Data
     ids = F.transform(text.id_families(s, text.ID_FAMILIES), lambda x: _unit(x, x, x, "regex_id"))
     bare = F.transform(F.split(s, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"^[\s\-*•\d.)]+", "")))
     lines = F.slice(F.filter(bare, lambda x: (F.length(x) >= SHORTEST) & (F.length(x) <= LONGEST)), 1, LINES)
-    df = df.withColumns({"_j": json_units(s), "_x": F.concat(ids, F.transform(lines, lambda x: _unit(F.lit(""), x, x, "mapping_line")))})
+    walked = json_units(rows, F.coalesce(mapping, F.lit(""))).select(F.col("id").alias("_id"), F.col("units").alias("_u"))
+    df = df.join(walked, walks.text_id(s) == F.col("_id"), "left")
+    df = df.withColumns({"_j": F.coalesce("_u", F.array().cast(walked.schema["_u"].dataType)), "_x": F.concat(ids, F.transform(lines, lambda x: _unit(F.lit(""), x, x, "mapping_line")))})
     named = F.coalesce(F.nullif(F.col(model), F.lit("")), F.lit("mapping_text"))
     rest = F.when((F.size("_x") == 0) & (s != ""), F.array(_unit(F.lit(""), named, F.substring(s, 1, LONGEST), "mapping_text_fallback"))).otherwise(F.col("_x"))
     df = df.withColumn("_every", F.filter(F.concat("_j", rest), lambda u: (u["source_element_id"] != "") | (u["label"] != "") | (u["span"] != "")))

@@ -317,8 +317,8 @@ def e_forward_counts(spark, sf_dir):
 def e_unmatched_language(spark, sf_dir):
     k = F.col("doc_id") % 3
     raw = F.when(k == 0, '{"x": [{"unmatched_language": ["a b", {"why": "c"}, "a b"]}]}').when(k == 1, '{"Not Covered": "d", "other": "z"}').otherwise('{"other": ["z"]}')
-    u = jsonish.unmatched_language(raw, diagnostics.UNMATCHED_KEYS)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(u["found"], ";").alias("found"), u["available"].alias("available"))
+    u = diagnostics.unmatched_language(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw")
+    return u.select("doc_id", F.array_join("unmatched_language", ";").alias("found"), F.col("unmatched_available").alias("available"))
 
 
 @query("""SELECT doc_id, unnest(['decision', 'actor', 'actor']) AS role, unnest(['permit', 'one ' || doc_id % 3, 'two']) AS span, 'p' || doc_id % 5 AS provision_id FROM documents""")

@@ -108,11 +108,9 @@ def test_contexts_at_the_edges_of_a_text(spark):
 
 def test_json_walks(spark):
     t = F.col("t")
-    units = one(spark, evidence.json_units(t), t="{'id': 'n1', 'parts': [{'Label': 'two', 'span': 'three'}, 4]}")
-    assert [(u["source_element_id"], u["label"], u["span"], u["path"]) for u in units] == [("n1", "n1", "n1", ""), ("", "two", "three", "parts[0]")]
-    assert one(spark, evidence.json_units(t), t="[1, ") == [] and one(spark, evidence.json_units(t), t="(") == []
-    deep = "[" * 5000 + "]" * 5000
-    assert one(spark, evidence.json_units(t), t=deep) == []
+    texts = ["{'id': 'n1', 'parts': [{'Label': 'two', 'span': 'three'}, 4]}", "[1, ", "(", "[" * 5000 + "]" * 5000]
+    units = evidence.json_units(spark.createDataFrame([(x,) for x in texts], "t string"), t).collect()
+    assert [[(u["source_element_id"], u["label"], u["span"], u["path"]) for u in r["units"]] for r in units] == [[("n1", "n1", "n1", ""), ("", "two", "three", "parts[0]")]]
     rows = one(spark, jsonish.csv_rows(t), t='a,"b, c",d\n\n"x ""y""",z')
     assert rows == [["a", "b, c", "d"], ['x "y"', "z"]]
     got = one(spark, jsonish.csv_annotations(F.col("t"), F.col("s")), t="a1,share the data,L1,permit\na2,share,L2", s="We share the data with them")
