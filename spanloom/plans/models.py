@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import sets, text
-from spanloom.operators import crosswalk, evaluation, inventory, models, retrieval, review
+from spanloom.operators import crosswalk, evaluation, inventory, models, retrieval, review, sparse_svd
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import _TFIDF, query, r6
 from spanloom.session import table
@@ -92,6 +92,11 @@ def o_reduced_vectors(spark, sf_dir):
     return models.reduced(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 4)
 
 
+@query()
+def o_sparse_svd(spark, sf_dir):
+    return sparse_svd.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", 16)[0]
+
+
 # Reviews
 
 _SAMPLE = "s AS (SELECT form_id FROM (SELECT form_id, count(DISTINCT condition) AS c, count(DISTINCT llm) AS l FROM rt GROUP BY form_id) WHERE c >= 2 AND l >= 2 ORDER BY sha1(form_id || '|17'), form_id LIMIT 5)"

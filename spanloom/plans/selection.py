@@ -14,7 +14,7 @@ from spanloom.session import stored, table
 _LEAST, _CORE, _EXTENSION, _JACCARD = 2, (3, 24), (2, 8), 0.6
 _ARTIFACTS = "(" + ", ".join(f"'{w}'" for w in schema.ARTIFACTS) + ")"
 _STABLE = f"""WITH RECURSIVE {fx.RT}, r0 AS (SELECT *, 'fold_0' || (doc_id // 20 % 4) AS fold, coalesce(information_model, 'none') || '_' || form_id AS field FROM rt),
-c AS (SELECT fold, field, count(*) AS n_mentions, count(*) FILTER (meaning_preserved IS DISTINCT FROM 0) AS n_positive, count(DISTINCT llm) AS n_models FROM r0 GROUP BY ALL),
+c AS (SELECT fold, field, count(*) AS n_mentions, count(*) FILTER (meaning_preserved IS DISTINCT FROM 0) AS n_positive, count(DISTINCT condition) AS n_models FROM r0 GROUP BY ALL),
 w AS (SELECT fold, field, t, count(*) AS n FROM (SELECT fold, field, unnest(tk) AS t FROM r0) GROUP BY ALL),
 k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY fold, field ORDER BY n DESC, t) <= 10),
 tt AS (SELECT fold, field, list(t ORDER BY t) AS terms FROM k WHERE t NOT IN {_ARTIFACTS} GROUP BY ALL),
@@ -34,8 +34,8 @@ def _fields(spark, sf_dir):
     rt = fx.roundtrips(spark, sf_dir).withColumns({
         "fold": F.concat(F.lit("fold_0"), F.floor(F.col("doc_id") / 20) % 4), "candidate_field_id": F.concat(F.coalesce("information_model", F.lit("none")), F.lit("_"), "form_id"),
     })
-    rows = rt.select(node.alias("node"), "fold", "candidate_field_id", "llm", "meaning_preserved", F.lit(None).cast("array<string>").alias("suggested"), "tk")
-    counts = rows.groupBy("fold", "candidate_field_id").agg(F.count("*").alias("n_mentions"), F.count_if(~F.col("meaning_preserved").eqNullSafe(0)).alias("n_positive_mentions"), F.countDistinct("llm").alias("n_source_models"))
+    rows = rt.select(node.alias("node"), "fold", "candidate_field_id", "condition", "meaning_preserved", F.lit(None).cast("array<string>").alias("suggested"), "tk")
+    counts = rows.groupBy("fold", "candidate_field_id").agg(F.count("*").alias("n_mentions"), F.count_if(~F.col("meaning_preserved").eqNullSafe(0)).alias("n_positive_mentions"), F.countDistinct("condition").alias("n_source_models"))
     return counts.withColumn("node", node).join(schema.term_profile(rows, "node", "suggested", "tk", 10), "node").drop("node")
 
 
