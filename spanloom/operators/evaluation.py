@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,16 @@ def metrics(scored: DataFrame, by: list[str], label: str = "y", score: str = "sc
     return sums.select(*by, (pos + neg).alias("n"), zero(tp + neg - fp, pos + neg).alias("accuracy"), zero(tp, tp + fp).alias("precision"), zero(tp, pos).alias("recall"), zero(2 * tp, tp + fp + pos).alias("f1"), F.try_divide(F.col("area"), pos * neg).alias("auroc"), F.try_divide(F.col("ap"), pos).alias("average_precision"))
 
 
-def retention(scored: DataFrame, by: list[str], score: str = "score", thresholds=(0.5, 0.7, 0.8, 0.9)) -> DataFrame:
-    rows = scored.select(*by, score, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    return rows.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.avg((F.col(score) >= F.col("threshold")).cast("int")).alias("retained"))
+def retention(scored: DataFrame, by: list[str], score: str = "score", thresholds=(0.5, 0.7, 0.8, 0.9), label: str | None = None) -> DataFrame:
+    """n and the retained share at each threshold; with a label also n_retained, precision and recall of what is retained."""
+    rows = scored.select(*by, score, *([label] if label else []), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    hit = F.col(score) >= F.col("threshold")
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    more = []
+    if label:
+        good, found = F.col(label) == 1, F.count_if(hit & (F.col(label) == 1))
+        more = [F.count_if(hit).alias("n_retained"), zero(found, F.count_if(hit)).alias("precision"), zero(found, F.count_if(good)).alias("recall")]
+    return rows.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("retained"), *more)
 
 
 #: Most splits that models are trained on, and classes that a split is stratified by.
@@ -175,22 +183,70 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(total)), label).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")  # a row a class
 
 
-def pipeline(kind: str, numeric: list[str], categorical: list[str], label: str = "y") -> Pipeline:
-    """Median imputation, scaling, one-hot encoding and a classifier: lr, rf or gbt."""
-    filled, scaled = [f"{c}_filled" for c in numeric], "numeric_scaled"
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="numeric_raw"), StandardScaler(withMean=True, inputCol="numeric_raw", outputCol=scaled)]
+#: Trees of a forest and rounds of boosting; studies that compare with forests of 500 trees and 300 rounds pass trees and rounds.
+TREES, ROUNDS = 100, 50
+# Fixed value: terms of a text's vocabulary.
+TEXT_FEATURES = 5000
+
+
+def text_stages(text: str, output: str, features: int = TEXT_FEATURES) -> list:
+    """TF-IDF of the most frequent words and bigrams, of unit length, as a sparse vector."""
+    words, pairs, terms = (f"{text}_{x}" for x in ("words", "pairs", "terms"))
+    return [
+        SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce(`{text}`, '')), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0) AS `{words}` FROM __THIS__"),
+        NGram(n=2, inputCol=words, outputCol=pairs), SQLTransformer(statement=f"SELECT *, concat(`{words}`, `{pairs}`) AS `{terms}` FROM __THIS__"),
+        CountVectorizer(vocabSize=features, inputCol=terms, outputCol=f"{text}_counts"), IDF(inputCol=f"{text}_counts", outputCol=f"{text}_idf"), Normalizer(inputCol=f"{text}_idf", outputCol=output),
+    ]
+
+
+def classifier(kind: str, label: str = "y", rows: int = 100, trees: int = TREES, rounds: int = ROUNDS):
+    """lr (penalty 1 / rows, as with C = 1), rf, gbt, svc (margins, no probabilities) or linear (predictions only)."""
+    common = {"featuresCol": "features", "labelCol": label, "weightCol": "weight"}
+    made = {
+        "lr": lambda: LogisticRegression(maxIter=100, regParam=1 / max(rows, 1), standardization=False, **common),
+        "rf": lambda: RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, seed=42, **common),
+        "gbt": lambda: GBTClassifier(maxDepth=3, maxIter=rounds, stepSize=0.05, subsamplingRate=0.9, seed=42, **common),
+        "svc": lambda: LinearSVC(maxIter=50, regParam=1 / max(rows, 1), standardization=False, **common),
+        "linear": lambda: LinearRegression(regParam=1 / max(rows, 1), **common),
+    }
+    return made[kind]()
+
+
+def pipeline(kind: str, numeric: list[str], categorical: list[str], label: str = "y", text: str | None = None, rows: int = 100, **options) -> Pipeline:
+    """Median imputation, scaling, one-hot encoding, sparse TF-IDF of a text column beside them, and a classifier."""
+    parts, stages = [], []
+    if numeric:
+        filled = [f"{c}_filled" for c in numeric]
+        stages += [Imputer(strategy="median", inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="numeric_raw"), StandardScaler(withMean=True, inputCol="numeric_raw", outputCol="numeric_scaled")]
+        parts.append("numeric_scaled")
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_hot", handleInvalid="keep")]
-    stages.append(VectorAssembler(inputCols=[scaled, *(f"{c}_hot" for c in categorical)], outputCol="features"))
-    common = {"featuresCol": "features", "labelCol": label, "weightCol": "weight"}
-    model = {"lr": lambda: LogisticRegression(maxIter=100, regParam=0.01, **common), "rf": lambda: RandomForestClassifier(numTrees=100, minInstancesPerNode=2, seed=42, **common), "gbt": lambda: GBTClassifier(maxDepth=3, maxIter=50, stepSize=0.05, subsamplingRate=0.9, seed=42, **common)}[kind]()
-    return Pipeline(stages=[*stages, model])
+        parts.append(f"{c}_hot")
+    if text:
+        stages += text_stages(text, f"{text}_vector")
+        parts.append(f"{text}_vector")
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features"), classifier(kind, label, rows, **options)])
+
+
+def with_score(scored: DataFrame) -> DataFrame:
+    """Adds score: the probability of class 1, else the logistic of the margin, else the prediction."""
+    if "probability" in scored.columns:
+        return scored.withColumn("score", vector_to_array("probability")[1])
+    if "rawPrediction" in scored.columns:
+        return scored.withColumn("score", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
+    return scored.withColumn("score", F.col("prediction").cast("double"))
+
+
+def fit_model(train: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str = "y", text: str | None = None, **options):
+    """The fitted pipeline; numeric columns of other types than double are cast, classes weigh alike."""
+    ready = balanced(train.withColumns({c: F.col(c).cast("double") for c in numeric}), label)
+    return pipeline(kind, numeric, categorical, label, text, train.count(), **options).fit(ready)
 
 
-def fit_score(train: DataFrame, test: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str = "y") -> DataFrame:
+def fit_score(train: DataFrame, test: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str = "y", text: str | None = None, **options) -> DataFrame:
     """test with a score column; the columns that the model needs are checked first."""
-    absent = [c for c in [*numeric, *categorical] if c not in test.columns]
+    absent = [c for c in [*numeric, *categorical, *([text] if text else [])] if c not in test.columns]
     if absent:
         raise ValueError(f"columns {absent} are missing")
-    model = pipeline(kind, numeric, categorical, label).fit(balanced(train, label))
-    return model.transform(test).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")
+    model = fit_model(train, kind, numeric, categorical, label, text, **options)
+    return with_score(model.transform(test.withColumns({c: F.col(c).cast("double") for c in numeric}))).select(*test.columns, "score")

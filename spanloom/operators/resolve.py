@@ -146,7 +146,8 @@ def by_alias(rows: DataFrame, inventory: DataFrame, model: str, label: str) -> D
 
 def validated(annotations: DataFrame, inventory: DataFrame, keys: list[str], given: str = "given_id", label: str = "given_label", span: str = "span", order: str = "union_element_id") -> DataFrame:
     """One row per keys: counts by status, the valid (or repaired) annotations, those that are
-    invalid, and unmatched language: spans of routed annotations, each once with its reason."""
+    invalid, and unmatched language: unmatched_language has the spans of routed annotations, each once,
+    unmatched_items each span and reason once (case aside), in order."""
     r = resolve(annotations, inventory, given, label, order)
     good, status = F.col("status").isin("valid", "repaired"), F.col("status")
     item = F.struct("ann_idx", F.col(span).alias("span"), F.col("resolved_id").alias("id"), "status", "reason")
@@ -155,10 +156,12 @@ def validated(annotations: DataFrame, inventory: DataFrame, keys: list[str], giv
     out = r.groupBy(*keys).agg(
         F.count("*").alias("n_annotations_raw"), F.count_if(status == "valid").alias("n_valid"), F.count_if(status == "repaired").alias("n_repaired"), F.count_if(status == "invalid").alias("n_invalid"),
         F.count_if(status == "routed_to_unmatched").alias("n_routed"), kept(good).alias("annotations"), kept(status == "invalid").alias("invalid_annotations"),
-        F.array_sort(F.collect_list(F.when(routed, F.struct("ann_idx", text.collapsed(F.col(span)).alias("span"))))).alias("_spans"),
+        F.array_sort(F.collect_list(F.when(routed, F.struct("ann_idx", text.collapsed(F.col(span)).alias("span"), "reason")))).alias("_spans"),
     )
-    once = F.filter("_spans", lambda s, i: F.array_position(F.transform("_spans", lambda x: F.lower(x["span"])), F.lower(s["span"])) == i + 1)
-    return out.withColumn("unmatched_language", F.transform(once, lambda s: s["span"])).drop("_spans")
+    once = lambda key: F.filter("_spans", lambda s, i: F.array_position(F.transform("_spans", key), key(s)) == i + 1)
+    spans = F.transform(once(lambda s: F.lower(s["span"])), lambda s: s["span"])
+    items = F.transform(once(lambda s: F.concat_ws("\x01", F.lower(s["span"]), s["reason"])), lambda s: F.struct(s["span"].alias("span"), s["reason"].alias("reason")))
+    return out.withColumns({"unmatched_language": spans, "unmatched_items": items}).drop("_spans")
 
 
 def invalid_audit(annotations: DataFrame, inventory: DataFrame, given: str = "given_id", label: str = "given_label", order: str = "union_element_id") -> DataFrame:

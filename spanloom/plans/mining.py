@@ -79,6 +79,12 @@ def h_validated(spark, sf_dir):
     return v.select("doc_id", "n_annotations_raw", "n_valid", "n_repaired", "n_invalid", "n_routed", F.array_join("annotations.id", ";").alias("ids"), F.size("unmatched_language").cast("long").alias("n_unmatched"))
 
 
+@query(_R + "SELECT DISTINCT doc_id, lower(span) AS span, reason FROM resolved WHERE status = 'routed_to_unmatched' AND span <> ''")
+def u_unmatched_items(spark, sf_dir):
+    v = resolve.validated(_given(spark, sf_dir), fx.inventory(spark, sf_dir), ["doc_id"])
+    return v.select("doc_id", F.explode("unmatched_items").alias("i")).select("doc_id", F.lower("i.span").alias("span"), "i.reason")
+
+
 @query(_R + "SELECT doc_id, ann_idx, span, status, reason, CASE WHEN status = 'repaired' THEN resolved_id ELSE '' END AS resolved_id FROM resolved WHERE status <> 'valid'")
 def h_invalid_audit(spark, sf_dir):
     return resolve.invalid_audit(_given(spark, sf_dir), fx.inventory(spark, sf_dir)).select("doc_id", "ann_idx", "span", "status", "reason", "resolved_id")

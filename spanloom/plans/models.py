@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import sets, text
-from spanloom.operators import crosswalk, evaluation, inventory, models, retrieval, review, sparse_svd
+from spanloom.operators import crosswalk, evaluation, inventory, models, retrieval, review, sparse_svd, stages
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import _TFIDF, query, r6
-from spanloom.session import table
+from spanloom.session import fresh_path, stored, table
 
 
 @query("""WITH n AS (SELECT DISTINCT doc_id % 40 AS n FROM documents)
@@ -68,18 +68,46 @@ def o_both_ways(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *(r6(c).alias(n) for n, c in models.both_ways(f, b).items()))
 
 
-@query("SELECT 'f' || k AS feature_set, 'm' AS model, 3 AS n_splits, round(avg((s * 10 + k) / 100), 6) AS mean_f1 FROM (SELECT unnest([0, 1]) AS k), (SELECT unnest([1, 2, 3]) AS s) GROUP BY k")
+@query(f"""WITH {fx.RT}, r AS (SELECT llm, information_model AS feature_set, condition AS model, avg(((score >= 0.5)::INT = meaning_preserved)::INT) AS accuracy FROM rt WHERE meaning_preserved IS NOT NULL GROUP BY ALL)
+SELECT feature_set, model, count(*) AS n_splits, round(avg(accuracy), 6) AS mean_accuracy FROM r GROUP BY ALL""")
 def j_mean_over_splits(spark, sf_dir):
-    r = spark.range(2).select(F.concat(F.lit("f"), "id").alias("feature_set"), F.lit("m").alias("model"), F.explode(F.array(*((F.lit(10 * s) + F.col("id")) / 100 for s in (1, 2, 3)))).alias("f1"))
-    return models.mean_over_splits(r, ["f1"]).select("feature_set", "model", F.col("n_splits").cast("int").alias("n_splits"), r6("mean_f1").alias("mean_f1"))
+    rt = fx.roundtrips(spark, sf_dir).filter("meaning_preserved IS NOT NULL")
+    right = ((F.col("score") >= 0.5).cast("int") == F.col("meaning_preserved")).cast("int")
+    r = rt.groupBy("llm", F.col("information_model").alias("feature_set"), F.col("condition").alias("model")).agg(F.avg(right).alias("accuracy"))
+    return models.mean_over_splits(r, ["accuracy"]).withColumn("mean_accuracy", r6("mean_accuracy"))
 
 
 @query()
 def o_experiments(spark, sf_dir):
     rt = fx.roundtrips(spark, sf_dir).filter("meaning_preserved is not null")
-    f = rt.select("doc_id", "form_id", F.col("meaning_preserved").alias("y"), F.size("tk").cast("double").alias("length_ratio"), sets.jaccard(F.col("tk"), F.col("rk")).alias("token_jaccard"))
-    splits = evaluation.splits(f, "y", evaluation.hash_fold(F.col("form_id"), 2), [])
-    return models.experiments(splits, models.feature_sets(f, []), ["lr"])
+    f = rt.select("doc_id", "form_id", "llm", F.col("meaning_preserved").alias("y"), F.size("tk").cast("double").alias("length_ratio"), sets.jaccard(F.col("tk"), F.col("rk")).alias("token_jaccard"), F.col("original_text").alias("pair_text"))
+    members, schemes = evaluation.experiment_splits(f, "doc_id", "y", "form_id", {}, n_folds=2)
+    ready = stored(members, "members")
+    splits = evaluation.split_frames(ready, "y", schemes)
+    return models.experiments(splits, {"hybrid": models.feature_sets(f, [], text="pair_text")["hybrid"]}, ["lr"])
+
+
+@query(f"WITH {fx.RT}, t AS (SELECT *, (score >= threshold) AS hit FROM rt, (SELECT unnest([0.5, 0.7, 0.8, 0.9])::DOUBLE AS threshold) WHERE meaning_preserved IS NOT NULL) SELECT llm, threshold, count(*) AS n, round(avg(hit::INT), 6) AS retained, count(*) FILTER (hit) AS n_retained, round(coalesce(count(*) FILTER (hit AND meaning_preserved = 1) / nullif(count(*) FILTER (hit), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (hit AND meaning_preserved = 1) / nullif(count(*) FILTER (meaning_preserved = 1), 0), 0), 6) AS recall FROM t GROUP BY ALL")
+def o_threshold_table(spark, sf_dir):
+    rt = fx.roundtrips(spark, sf_dir).filter("meaning_preserved IS NOT NULL").withColumn("y", F.col("meaning_preserved"))
+    r = evaluation.retention(rt, ["llm"], label="y")
+    return r.withColumns({c: r6(c) for c in ("retained", "precision", "recall")})
+
+
+_STAGED = "SELECT condition, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens, round(avg(share), 6) AS mean_share FROM (SELECT condition, len(tk) AS n_tokens, len(rk) / greatest(1, len(tk)) AS share FROM rt) GROUP BY condition"
+
+
+@query(f"WITH {fx.RT} {_STAGED}")
+def r_staged_summary(spark, sf_dir):
+    def measured(_, given):
+        return given["pairs"].select("condition", F.size("tk").alias("n_tokens"), (F.size("rk") / F.greatest(F.lit(1), F.size("tk"))).alias("share"))
+
+    def summary(_, given, digits):
+        return given["measured"].groupBy("condition").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"), F.round(F.avg("share"), digits).alias("mean_share"))
+
+    tables = {t: f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")}
+    study = [stages.Stage("pairs", lambda s, given: fx.roundtrips(s, sf_dir), paths=tables), stages.Stage("measured", measured, ("pairs",)), stages.Stage("summary", summary, ("measured",), options={"digits": 6})]
+    return stages.run(spark, study, fresh_path(spark, "study"))[0]["summary"]
 
 
 @query()

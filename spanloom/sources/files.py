@@ -175,3 +175,74 @@ def write_markdown(summary: DataFrame, path: str, title: str) -> None:
     head = summary.sparkSession.createDataFrame([(0, f"# {title}\n\n| " + " | ".join(summary.columns) + " |\n|" + "-|" * len(summary.columns))], "o int, line string")
     body = summary.select(F.lit(1).alias("o"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
     head.unionByName(body).orderBy("o", "line").coalesce(1).select("line").write.mode("overwrite").text(path)
+
+
+#: Files that one look-up may give.
+MOST_FILES = 10_000
+
+
+def resolve_paths(spark: SparkSession, given: str) -> list[str]:
+    """Paths and patterns of a list split at commas and line ends, in order, each path once: a pattern (* ? [] {})
+    becomes the files that match it, by name, in whatever store it is; what matches nothing stays as it is."""
+    import re
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for item in (p.strip() for p in re.split(r",(?![^{]*\})|[\r\n]+", given)):
+        if item:
+            at = jvm.org.apache.hadoop.fs.Path(item)
+            found = at.getFileSystem(conf).globStatus(at) if re.search(r"[*?\[{]", item) else None
+            out += sorted(f.getPath().toString() for f in found) if found else [item]
+    return list(dict.fromkeys(out))
+
+
+def found_below(spark: SparkSession, roots: list[str], pattern: str) -> list[str]:
+    """Files at any depth below the roots whose name fits the pattern (* and ?), in order of roots, then path; roots
+    that are not there are passed by."""
+    import fnmatch
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for root in roots:
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        store, mine = at.getFileSystem(conf), []
+        each = store.listFiles(at, True) if store.exists(at) else None
+        while each is not None and each.hasNext():
+            path = each.next().getPath()
+            if fnmatch.fnmatchcase(path.getName(), pattern):
+                mine.append(path.toString())
+                if len(out) + len(mine) > MOST_FILES:
+                    raise ValueError(f"more than {MOST_FILES} files fit {pattern}")
+        out += sorted(mine)
+    return list(dict.fromkeys(out))
+
+
+def collected(spark: SparkSession, roots: list[str], patterns: dict[str, str]) -> dict[str, DataFrame]:
+    """name -> all result tables below the roots whose file name fits its pattern, as one table: columns by name,
+    texts, null where a file lacks one, artifact first (the file's path). Names without a file are left out.
+
+    Files with the same header are one scan, so the plan grows with the kinds of tables, not with their number."""
+    out = {}
+    for name, pattern in patterns.items():
+        paths = found_below(spark, roots, pattern)
+        if paths:
+            heads = spark.read.text(paths).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value", F.monotonically_increasing_id().alias("i"))
+            first = heads.filter("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("head"))
+            alike: dict[str, list[str]] = {}
+            for r in sorted(first.collect(), key=lambda r: r["f"]):  # a row a file, bounded above
+                alike.setdefault(r["head"], []).append(r["f"])
+            frames = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(same) for same in alike.values()]
+            named = [df.select(F.col("_metadata.file_path").alias("artifact"), *df.columns) for df in frames]
+            out[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return out
+
+
+def write_html(cards: DataFrame, html: str, order: list, path: str, title: str, style: str = "") -> None:
+    """A report's cards, one element of HTML each, as one HTML document in order. A report is read by people: it is one file."""
+    from spanloom.operators.relational import numbered
+
+    spark = cards.sparkSession
+    name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    rows = numbered(cards, order).select(F.col("number").alias("o"), F.col(html).alias("line"))
+    head = spark.createDataFrame([(-1, f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{name}</title><style>{style}</style></head><body>\n<h1>{name}</h1>'), (1 << 62, "</body></html>")], "o long, line string")
+    head.unionByName(rows).orderBy("o").coalesce(1).select("line").write.mode("overwrite").text(path)
