@@ -21,6 +21,7 @@ equal or share a variant are compared by 64-bit hashes; of equal lines the hash
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -314,7 +315,7 @@ def _ask_words(payload, table, chunk, buckets, min_words):
     return ask(chunk, 4, keys, [words], buckets)
 
 
-def _finish(payload, table, min_words, schema):
+def _finish(payload, table, min_words, schema, counted: str, removed_as: str):
     x = Lines(payload, min_words)
     rows = np.arange(len(x.worded))
     gone = np.ones(len(rows), bool)
@@ -348,15 +349,16 @@ def _finish(payload, table, min_words, schema):
             report.append([])
     rest = pa.ipc.open_stream(x.rest).read_all()
     null = x.null.tolist()
-    made = {"text": pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string()), "n_lines": pa.array(np.diff(first).astype(np.int64)), "removed_lines": pa.array(report, pa.list_(pa.int64()))}
+    made = {"text": pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string()), counted: pa.array(np.diff(first).astype(np.int64)), removed_as: pa.array(report, pa.list_(pa.int64()))}
     return pa.table({name: made[name] if name in made else rest[name] for name in schema})
 
 
-def drop_near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with each later near-equal line taken out of its text; n_lines (before) and
-    removed_lines (their numbers, from 0) are added."""
-    docs = docs.drop("n_lines", "removed_lines")
-    schema = StructType(list(docs.schema.fields)).add("n_lines", LongType()).add("removed_lines", ArrayType(LongType()))
+def drop_near_lines(docs: DataFrame, min_words: int = MIN_WORDS, counted: str = "n_lines", removed: str = "removed_lines") -> DataFrame:
+    """docs with each later near-equal line taken out of its text; the number of lines before and the
+    numbers of those taken out (from 0) are added under the names counted and removed, in place of
+    columns of docs that have these names."""
+    docs = docs.drop(counted, removed)
+    schema = StructType(list(docs.schema.fields)).add(counted, LongType()).add(removed, ArrayType(LongType()))
     names = schema.names
     corpus = Corpus(docs, packer(docs.columns.index("text"), docs.columns.index("doc_id")), "lines", CHUNK_BYTES)
     buckets = corpus.buckets
@@ -364,8 +366,14 @@ def drop_near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     corpus.round(lambda c, p, t: _ask_halves(p, t, c, buckets, min_words), _reply)
     corpus.round(lambda c, p, t: _ask_variants(p, t, c, buckets, min_words), _reply)
     corpus.round(lambda c, p, t: _ask_words(p, t, c, buckets, min_words), _reply)
-    return corpus.finish(lambda c, p, t: _finish(p, t, min_words, names), schema)
+    return corpus.finish(lambda c, p, t: _finish(p, t, min_words, names, counted, removed), schema)
 
 
 def digest(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def without_near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with each later near-equal line taken out of its text; all other columns as they are."""
+    counted, removed = (f"{name}_{uuid.uuid4().hex}" for name in ("lines", "removed"))
+    return drop_near_lines(docs, min_words, counted, removed).drop(counted, removed)

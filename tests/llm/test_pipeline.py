@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import pytest
+
 import corpus_pipeline
 from spanloom.llm import quality_qda
 from tests.llm.test_brute import within_one
@@ -97,3 +99,19 @@ def test_stages_by_hand(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, sf)
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole.collect()} == {(p["doc_id"], p["piece"], p["ids_crc32"]) for p in packed}
+
+
+def test_line_stage_keeps_columns_of_any_name(spark):
+    line = "the same line of seven words here\n"
+    docs = spark.createDataFrame([(1, line + "first", "en", "s", 1, "kept", ["a"]), (2, line + "second", "en", "s", 1, None, None)], "doc_id long, text string, lang string, source string, n_chars long, n_lines string, removed_lines array<string>")
+    got = sorted(corpus_pipeline.lines(spark, docs, "").collect())
+    assert corpus_pipeline.lines(spark, docs, "").schema == docs.schema
+    assert [(r["doc_id"], r["text"], r["n_chars"], r["n_lines"], r["removed_lines"]) for r in got] == [(1, line + "first", len(line) + 5, "kept", ["a"]), (2, "second", 6, None, None)]
+
+
+@pytest.mark.parametrize("empty", [("documents",), ("labels", "benchmark"), ("documents", "labels", "benchmark")])
+def test_pipeline_on_empty_tables(spark, tmp_path, empty):
+    for name, schema, row in (("documents", "doc_id long, text string, lang string, source string, n_chars long", (1, "one text of it", "en", "s", 14)), ("labels", "doc_id long, quality int, toxic int", (1, 1, 0)), ("benchmark", "item_id long, text string", (1, "another text"))):
+        spark.createDataFrame([] if name in empty else [row], schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [r["doc_id"] for r in got] == ([] if "documents" in empty else [1])
