@@ -2,103 +2,177 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
+from spanloom.operators.mentions import first_filled
 
-# Which words of an element's names point to which field, in order, and what else it may be.
-KEYWORDS = (
-    ("participant_or_subject", ("participant", "subject", "child", "patient", "consenter", "grantor"), ("authorized_actor",)),
-    ("authorized_actor", ("researcher", "investigator", "doctor", "physician", "staff", "team", "grantee"), ("institution_or_custodian",)),
-    ("institution_or_custodian", ("institution", "clinic", "hospital", "university", "custodian", "controller", "manager"), ("repository_or_registry",)),
-    ("repository_or_registry", ("database", "registry", "repository", "biobank", "bank"), ("institution_or_custodian",)),
-    ("governed_resource", ("data", "sample", "specimen", "dna", "blood", "urine", "saliva", "record", "information", "result"), ("privacy_or_identifiability",)),
-    ("governed_action", ("use", "collect", "store", "share", "disclose", "access", "destroy", "return", "donate", "contact"), ()),
-    ("purpose_or_use_context", ("purpose", "research", "clinical", "public health"), ("research_domain_or_study_topic",)),
-    ("temporal_scope", ("period", "duration", "expire", "expiration", "until", "time", "future", "indefinite"), ("temporal_target",)),
-    ("condition_or_exception", ("condition", "exception", "unless", "except", "only if"), ("restriction_or_prohibition",)),
-    ("restriction_or_prohibition", ("prohibit", "restriction", "deny", "not", "cannot"), ("condition_or_exception",)),
-    ("privacy_or_identifiability", ("privacy", "confidential", "identifiable", "de-identified", "anonymous", "security"), ()),
-    ("consequence_or_protection", ("care", "penalty", "benefit", "affect", "protection"), ()),
-)
+# Fixed value: what the texts of an element say if it holds a decision on a whole sentence.
 DECISION = r"(provision\.type|consent\.decision|rule_testsentence|duo\.decision|ico\.decision|decision$)"
-# Per model: fields by a word in the element's own name, by its exact name, or by a word in any of its texts.
-BY_NAME = {
-    "odrl": (
-        (("party",), "participant_or_subject", "context_dependent_split"), (("asset",), "governed_resource", "near_equivalent"), (("action",), "governed_action", "near_equivalent_or_action_subtype"),
-        (("constraint",), "condition_or_exception", "context_dependent_split"), (("permission",), "sentence_decision", "exact_decision_plus_cue"),
-        (("prohibition",), "sentence_decision", "exact_decision_plus_restriction"), (("duty", "obligation"), "sentence_decision", "exact_obligation_plus_action"),
-    ),
-}
-CONSENT = {
-    "consent.subject": ("participant_or_subject", "near_equivalent"), "consent.grantor": ("participant_or_subject", "near_equivalent_or_consent_actor"), "consent.grantee": ("authorized_actor", "context_dependent_split"),
-    "consent.controller": ("institution_or_custodian", "context_dependent_split"), "consent.manager": ("institution_or_custodian", "context_dependent_split"), "consent.provision.actor": ("authorized_actor", "context_dependent_split"),
-    "consent.provision.actor.role": ("authorized_actor", "context_dependent_split"), "consent.provision.data": ("governed_resource", "near_equivalent"), "consent.provision.action": ("governed_action", "near_equivalent_or_action_subtype"),
-    "consent.action": ("governed_action", "near_equivalent_or_action_subtype"), "consent.provision.purpose": ("purpose_or_use_context", "near_equivalent"), "consent.provision.period": ("temporal_scope", "near_equivalent"),
-    "consent.period": ("temporal_scope", "near_equivalent"), "consent.provision.dataperiod": ("temporal_scope", "near_equivalent"), "consent.provision.securitylabel": ("privacy_or_identifiability", "near_equivalent"),
-    "consent.category": ("purpose_or_use_context", "partial"), "consent.provision": ("residual_important_content", "container_no_direct_mapping"), "consent": ("residual_important_content", "container_no_direct_mapping"),
-}
-DUO = (
-    (("gru", "hmb", "ps"), ("general research", "health"), "purpose_or_use_context", "near_equivalent_or_partial"), (("ds", "gso", "rs", "gs", "nres"), ("disease", "population"), "research_domain_or_study_topic", "partial"),
-    (("ts", "rtn"), ("time", "retention"), "temporal_scope", "partial"), (("col", "nmds", "pub", "irb"), ("restriction",), "restriction_or_prohibition", "partial"),
-)
-ICO = (
-    (("withdraw", "refus", "declin", "choice", "voluntar"), "choice_or_withdrawal_right", "near_equivalent"), (("consent", "permission", "authorize", "agree", "informed consenting"), "decision_cue_or_consent_act", "near_equivalent"),
-    (("participant", "patient", "subject", "consenter"), "participant_or_subject", "near_equivalent"), (("researcher", "investigator", "doctor", "physician"), "authorized_actor", "near_equivalent"),
-    (("specimen", "sample", "biospecimen", "data", "information", "record"), "governed_resource", "near_equivalent"), (("use", "collect", "share", "disclos", "access", "return", "destroy", "store"), "governed_action", "near_equivalent_or_action_subtype"),
+
+
+class Rule(NamedTuple):
+    """An element of this model (any, if empty) that has one of these names, or one of these words in its
+    name or in all that is said of it, maps to a field, with a mapping type, a note and further fields."""
+
+    model: str
+    field: str
+    kind: str
+    note: str
+    also: tuple[str, ...] = ()
+    names: tuple[str, ...] = ()
+    in_name: tuple[str, ...] = ()
+    in_text: tuple[str, ...] = ()
+
+
+_ACT = "near_equivalent_or_action_subtype"
+_FHIR = "FHIR {} maps to the corresponding functional V1 role"
+_ODRL_PARTY = "ODRL Party may denote participant, actor, institution, or repository depending on span"
+_ODRL_CONSTRAINT = "ODRL Constraint may denote temporal, purpose, privacy, exception, or restriction scope"
+_WORDS = "keyword fallback based on source label/definition; review required"
+# Words and names of elements, and the fields, mapping types, notes and further fields that they
+# stand for, in the order in which they count.
+RULES = (
+    Rule("odrl", "participant_or_subject", "context_dependent_split", _ODRL_PARTY, ("authorized_actor", "institution_or_custodian", "repository_or_registry"), in_name=("party",)),
+    Rule("odrl", "governed_resource", "near_equivalent", "ODRL Asset denotes the governed data/specimen/object", in_name=("asset",)),
+    Rule("odrl", "governed_action", _ACT, "ODRL Action denotes the governed act", ("choice_or_withdrawal_right", "contact_or_request"), in_name=("action",)),
+    Rule("odrl", "condition_or_exception", "context_dependent_split", _ODRL_CONSTRAINT, ("temporal_scope", "purpose_or_use_context", "restriction_or_prohibition", "privacy_or_identifiability"), in_name=("constraint",)),
+    Rule("odrl", "sentence_decision", "exact_decision_plus_cue", "ODRL Permission encodes permit polarity; textual cues map separately", ("decision_cue_or_consent_act",), in_name=("permission",)),
+    Rule("odrl", "sentence_decision", "exact_decision_plus_restriction", "ODRL Prohibition encodes deny polarity and often supports restrictions", ("restriction_or_prohibition",), in_name=("prohibition",)),
+    Rule("odrl", "sentence_decision", "exact_obligation_plus_action", "ODRL Duty encodes obligation-like provision polarity", ("governed_action", "consequence_or_protection"), in_name=("duty", "obligation")),
+    Rule("fhir", "participant_or_subject", "near_equivalent", _FHIR, names=("consent.subject",)),
+    Rule("fhir", "participant_or_subject", "near_equivalent_or_consent_actor", _FHIR, ("decision_cue_or_consent_act",), names=("consent.grantor",)),
+    Rule("fhir", "authorized_actor", "context_dependent_split", _FHIR, ("institution_or_custodian",), names=("consent.grantee",)),
+    Rule("fhir", "institution_or_custodian", "context_dependent_split", _FHIR, ("authorized_actor", "repository_or_registry"), names=("consent.controller",)),
+    Rule("fhir", "institution_or_custodian", "context_dependent_split", _FHIR, ("authorized_actor",), names=("consent.manager",)),
+    Rule("fhir", "authorized_actor", "context_dependent_split", _FHIR, ("institution_or_custodian",), names=("consent.provision.actor",)),
+    Rule("fhir", "authorized_actor", "context_dependent_split", _FHIR, ("participant_or_subject",), names=("consent.provision.actor.role",)),
+    Rule("fhir", "governed_resource", "near_equivalent", _FHIR, ("privacy_or_identifiability",), names=("consent.provision.data",)),
+    Rule("fhir", "governed_action", _ACT, _FHIR, ("choice_or_withdrawal_right", "contact_or_request"), names=("consent.provision.action",)),
+    Rule("fhir", "governed_action", _ACT, _FHIR, ("choice_or_withdrawal_right",), names=("consent.action",)),
+    Rule("fhir", "purpose_or_use_context", "near_equivalent", _FHIR, ("research_domain_or_study_topic",), names=("consent.provision.purpose",)),
+    Rule("fhir", "temporal_scope", "near_equivalent", _FHIR, ("temporal_target",), names=("consent.provision.period",)),
+    Rule("fhir", "temporal_scope", "near_equivalent", _FHIR, ("temporal_target",), names=("consent.period",)),
+    Rule("fhir", "temporal_scope", "near_equivalent", _FHIR, ("temporal_target", "study_or_data_lifecycle"), names=("consent.provision.dataperiod",)),
+    Rule("fhir", "privacy_or_identifiability", "near_equivalent", _FHIR, ("restriction_or_prohibition",), names=("consent.provision.securitylabel",)),
+    Rule("fhir", "purpose_or_use_context", "partial", _FHIR, ("study_or_data_lifecycle",), names=("consent.category",)),
+    Rule("fhir", "residual_important_content", "container_no_direct_mapping", _FHIR, names=("consent.provision",)),
+    Rule("fhir", "residual_important_content", "container_no_direct_mapping", _FHIR, names=("consent",)),
+    Rule("duo", "purpose_or_use_context", "near_equivalent_or_partial", "DUO data-use purpose/research-use category", ("research_domain_or_study_topic", "condition_or_exception"), names=("gru", "hmb", "ps"), in_text=("general research", "health")),
+    Rule("duo", "research_domain_or_study_topic", "partial", "DUO category constrains research topic/domain or allowed use scope", ("purpose_or_use_context", "restriction_or_prohibition"), names=("ds", "gso", "rs", "gs", "nres"), in_text=("disease", "population")),
+    Rule("duo", "temporal_scope", "partial", "DUO temporal/retention category", ("temporal_target", "study_or_data_lifecycle"), names=("ts", "rtn"), in_text=("time", "retention")),
+    Rule("duo", "restriction_or_prohibition", "partial", "DUO restriction or governance condition", ("condition_or_exception", "privacy_or_identifiability"), names=("col", "nmds", "pub", "irb"), in_text=("restriction",)),
+    Rule("ico", "choice_or_withdrawal_right", "near_equivalent", "ICO participation/withdrawal/choice element", ("decision_cue_or_consent_act", "governed_action"), in_text=("withdraw", "refus", "declin", "choice", "voluntar")),
+    Rule("ico", "decision_cue_or_consent_act", "near_equivalent", "ICO consent/authorization act or cue", ("sentence_decision",), in_text=("consent", "permission", "authorize", "agree", "informed consenting")),
+    Rule("ico", "participant_or_subject", "near_equivalent", "ICO person role maps to participant/subject", in_text=("participant", "patient", "subject", "consenter")),
+    Rule("ico", "authorized_actor", "near_equivalent", "ICO actor role maps to authorized actor", in_text=("researcher", "investigator", "doctor", "physician")),
+    Rule("ico", "governed_resource", "near_equivalent", "ICO data/specimen/information element", ("privacy_or_identifiability",), in_text=("specimen", "sample", "biospecimen", "data", "information", "record")),
+    Rule("ico", "governed_action", _ACT, "ICO act element maps to governed action", in_text=("use", "collect", "share", "disclos", "access", "return", "destroy", "store")),
+    Rule("", "participant_or_subject", "needs_expert_review", _WORDS, ("authorized_actor",), in_text=("participant", "subject", "child", "patient", "consenter", "grantor")),
+    Rule("", "authorized_actor", "needs_expert_review", _WORDS, ("institution_or_custodian",), in_text=("researcher", "investigator", "doctor", "physician", "staff", "team", "grantee")),
+    Rule("", "institution_or_custodian", "needs_expert_review", _WORDS, ("repository_or_registry",), in_text=("institution", "clinic", "hospital", "university", "custodian", "controller", "manager")),
+    Rule("", "repository_or_registry", "needs_expert_review", _WORDS, ("institution_or_custodian",), in_text=("database", "registry", "repository", "biobank", "bank")),
+    Rule("", "governed_resource", "needs_expert_review", _WORDS, ("privacy_or_identifiability",), in_text=("data", "sample", "specimen", "dna", "blood", "urine", "saliva", "record", "information", "result")),
+    Rule("", "governed_action", "needs_expert_review", _WORDS, in_text=("use", "collect", "store", "share", "disclose", "access", "destroy", "return", "donate", "contact")),
+    Rule("", "purpose_or_use_context", "needs_expert_review", _WORDS, ("research_domain_or_study_topic",), in_text=("purpose", "research", "clinical", "public health")),
+    Rule("", "temporal_scope", "needs_expert_review", _WORDS, ("temporal_target",), in_text=("period", "duration", "expire", "expiration", "until", "time", "future", "indefinite")),
+    Rule("", "condition_or_exception", "needs_expert_review", _WORDS, ("restriction_or_prohibition",), in_text=("condition", "exception", "unless", "except", "only if")),
+    Rule("", "restriction_or_prohibition", "needs_expert_review", _WORDS, ("condition_or_exception",), in_text=("prohibit", "restriction", "deny", "not", "cannot")),
+    Rule("", "privacy_or_identifiability", "needs_expert_review", _WORDS, in_text=("privacy", "confidential", "identifiable", "de-identified", "anonymous", "security")),
+    Rule("", "consequence_or_protection", "needs_expert_review", _WORDS, in_text=("care", "penalty", "benefit", "affect", "protection")),
 )
+DECISIVE = Rule("", "sentence_decision", "exact_decision", "source element encodes provision-level permit/deny/obligation polarity")
+NOTHING = Rule("", "residual_important_content", "no_direct_mapping", "no clear V1 functional mapping from available source metadata")
+NOT_IN_SCHEMA = "mapping target not present in schema; routed to residual for review"
 REVIEW = ("context_dependent_split", "partial", "no_direct_mapping", "needs_expert_review")
+# Columns that may name an element, its model, its label and its definition, the first filled one counts.
+ID_COLUMNS = ("union_element_id", "source_element_id", "element_id", "id")
+MODEL_COLUMNS = ("information_model", "source_model", "model", "canonical_information_model")
+LABEL_COLUMNS = ("source_element_label", "label", "name")
+DEFINITION_COLUMNS = ("source_element_definition", "definition", "description")
+# Columns that every field of a schema fills.
 REQUIRED = ("field_id", "field_name", "definition", "include", "exclude", "assigned_evidence_cards", "source_support")
 
 
-def _has(x: Column, words) -> Column:
-    out = F.contains(x, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(x, F.lit(w))
-    return out
+def _any(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, (F.contains(x, F.lit(w)) for w in words))
 
 
-def rules(uid: Column, model: Column, label: Column, definition: Column) -> list[tuple[Column, str, str]]:
-    """(condition, field, mapping type) in order; the first that holds counts."""
-    name = F.lower(text.after_first(uid))
-    words = F.concat_ws(" ", F.lower(uid), name, F.lower(text.collapsed(label)), F.lower(text.collapsed(definition)))
-    m = F.lower(model)
-    out = [(words.rlike(DECISION), "sentence_decision", "exact_decision")]
-    out += [((m == who) & _has(name, ws), field, kind) for who, cases in BY_NAME.items() for ws, field, kind in cases]
-    out += [((m.startswith("fhir") | F.contains(name, F.lit("consent."))) & (name == key), field, kind) for key, (field, kind) in CONSENT.items()]
-    out += [((m == "duo") & (name.isin(*codes) | _has(words, ws)), field, kind) for codes, ws, field, kind in DUO]
-    out += [(((m == "ico") | F.lower(uid).startswith("ico")) & _has(words, ws), field, kind) for ws, field, kind in ICO]
-    return out + [(_has(words, ws), field, "needs_expert_review") for field, ws, _ in KEYWORDS]
+def _holds(rule: Rule, uid: Column, model: Column, name: Column, words: Column) -> Column:
+    met = [name.isin(*rule.names)] if rule.names else []
+    met += [_any(name, rule.in_name)] if rule.in_name else []
+    met += [_any(words, rule.in_text)] if rule.in_text else []
+    of_model = {"": F.lit(True), "fhir": model.startswith("fhir") | F.contains(name, F.lit("consent.")), "ico": (model == "ico") | uid.startswith("ico")}
+    return of_model.get(rule.model, model == rule.model) & reduce(or_, met)
 
 
 def build(inventory: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """inventory with v1_field, mapping_type, secondary fields, and whether the mapping needs review; a
-    field that the schema lacks becomes the residual one."""
-    uid = F.col("union_element_id")
-    field, kind = F.lit("residual_important_content"), F.lit("no_direct_mapping")
-    for condition, f, k in reversed(rules(uid, F.col("source_model"), F.col("source_element_label"), F.col("source_element_definition"))):
-        field, kind = F.when(condition, f).otherwise(field), F.when(condition, k).otherwise(kind)
-    more = F.create_map(*(x for f, _, also in KEYWORDS for x in (F.lit(f), F.array(*map(F.lit, also)) if also else F.array().cast("array<string>"))))
-    out = inventory.withColumn("v1_field", field).withColumn("mapping_type", kind)
+    """The inventory with information_model (else the part of the id before ::, else unknown), v1_field,
+    mapping_type, secondary_fields, mapping_direction, rationale and whether the mapping needs review.
+
+    The first rule that holds counts. With fields, the names of a schema, a field that it lacks becomes the
+    residual one, for review, and further fields that it lacks go. Elements without an id go; nulls are empty;
+    columns of these names are replaced."""
+    filled = lambda names: first_filled(*(F.col(c) for c in names if c in inventory.columns))
+    made = ("information_model", "v1_field", "mapping_type", "secondary_fields", "mapping_direction", "rationale", "requires_context_review")
+    uid, said = F.col("_e.uid"), F.col("_e")
+    own = F.when(F.contains(uid, F.lit("::")), F.substring_index(uid, "::", 1)).otherwise("unknown")
+    known = inventory.withColumn("_e", F.struct(filled(ID_COLUMNS).alias("uid"), filled(MODEL_COLUMNS).alias("model"), F.lower(filled(LABEL_COLUMNS)).alias("label"), F.lower(filled(DEFINITION_COLUMNS)).alias("definition"))).filter(uid != "")
+    known = known.withColumn("_m", F.when(said["model"] != "", said["model"]).otherwise(own))
+    known = known.withColumn("_w", F.concat_ws(" ", F.lower(uid), F.lower(text.after_first(uid)), said["label"], said["definition"]))
+    n = F.when(F.col("_w").rlike(DECISION), 1)
+    name = F.lower(text.after_first(uid))
+    for i, r in enumerate(RULES, 2):
+        n = n.when(_holds(r, F.lower(uid), F.lower("_m"), name, F.col("_w")), i)
+    all_rules = json.dumps([r._asdict() for r in (DECISIVE, *RULES, NOTHING)])  # one literal, folded by the optimizer
+    rules = F.from_json(F.lit(all_rules), "array<struct<field:string,kind:string,note:string,also:array<string>>>")
+    known = known.withColumn("_r", F.element_at(rules, n.otherwise(len(RULES) + 2)))
+    field, kind, also = (F.col(f"_r.{c}") for c in ("field", "kind", "also"))
+    note = F.replace("_r.note", F.lit("{}"), text.after_first(uid))
     if fields is not None:
-        known = F.col("v1_field").isin(*fields, "sentence_decision")
-        out = out.withColumn("mapping_type", F.when(known, F.col("mapping_type")).otherwise("needs_expert_review")).withColumn("v1_field", F.when(known, F.col("v1_field")).otherwise("residual_important_content"))
-    secondary = F.when(F.col("mapping_type") == "needs_expert_review", F.coalesce(F.try_element_at(more, F.col("v1_field")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("secondary_fields", secondary).withColumn("requires_context_review", F.col("mapping_type").isin(*REVIEW))
+        there = field.isin(*fields, "sentence_decision")
+        field, kind, note = F.when(there, field).otherwise(NOTHING.field), F.when(there, kind).otherwise("needs_expert_review"), F.when(there, note).otherwise(NOT_IN_SCHEMA)
+        also = F.filter(also, lambda x: x.isin(*fields, "sentence_decision"))
+    kept = [c for c in inventory.columns if c not in (*made, "union_element_id")]
+    columns = (F.col("_m"), field, kind, also, F.lit("source_to_v1"), note, kind.isin(*REVIEW))
+    return known.select(uid.alias("union_element_id"), *kept, *(c.alias(n) for n, c in zip(made, columns, strict=True)))
 
 
-def rule_sql(model: str = "source_model", words: str = "t") -> str:
-    """The rules that can hold for models other than the four known ones, in SQL: 'field|type'."""
-    said = " OR ".join
-    every = f"(lower(union_element_id) || ' ' || lower(split_part(union_element_id, '::', 2)) || ' ' || {words} || ' ')"
-    cases = [f"WHEN regexp_matches({every}, '{DECISION}') THEN 'sentence_decision|exact_decision'"]
-    cases += [f"WHEN {said(f"contains({every}, '{w}')" for w in ws)} THEN '{field}|needs_expert_review'" for field, ws, _ in KEYWORDS]
-    return f"CASE {' '.join(cases)} ELSE 'residual_important_content|no_direct_mapping' END"
+def rule_sql(uid: str, model: str, label: str, definition: str) -> str:
+    """All rules in SQL, over expressions without nulls: 'field|type|further fields|note'."""
+    name = f"lower(CASE WHEN contains({uid}, '::') THEN substr({uid}, strpos({uid}, '::') + 2) ELSE {uid} END)"
+    words = f"(lower({uid}) || ' ' || {name} || ' ' || lower({label}) || ' ' || lower({definition}))"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    of_model = {"": "true", "fhir": f"(lower({model}) LIKE 'fhir%' OR contains({name}, 'consent.'))", "ico": f"(lower({model}) = 'ico' OR lower({uid}) LIKE 'ico%')"}
+
+    def out(r):
+        return f"{quoted(f'{r.field}|{r.kind}|' + ';'.join(r.also) + '|')} || replace({quoted(r.note)}, '{{}}', CASE WHEN contains({uid}, '::') THEN substr({uid}, strpos({uid}, '::') + 2) ELSE {uid} END)"
+
+    cases = [f"WHEN regexp_matches({words}, '{DECISION}') THEN {out(DECISIVE)}"]
+    for r in RULES:
+        met = [f"{name} = {quoted(n)}" for n in r.names] + [f"contains({name}, {quoted(w)})" for w in r.in_name] + [f"contains({words}, {quoted(w)})" for w in r.in_text]
+        cases.append(f"WHEN {of_model.get(r.model, f'lower({model}) = {quoted(r.model)}')} AND ({' OR '.join(met)}) THEN {out(r)}")
+    return f"CASE {' '.join(cases)} ELSE {out(NOTHING)} END"
 
 
 def edges(crosswalk: DataFrame) -> DataFrame:
-    return crosswalk.select("source_model", F.col("union_element_id").alias("source_element"), F.col("v1_field").alias("target_v1_field"), "mapping_type", "requires_context_review")
+    """One edge an element: from its model and id to its field."""
+    return crosswalk.select(F.col("information_model").alias("source_model"), F.col("union_element_id").alias("source_element"), F.col("v1_field").alias("target_v1_field"), "mapping_type", "requires_context_review")
+
+
+def summary(crosswalk: DataFrame) -> DataFrame:
+    return crosswalk.groupBy("information_model", "v1_field", "mapping_type").agg(F.count("*").alias("n_source_elements"))
+
+
+def matrix(crosswalk: DataFrame, models: list[str]) -> DataFrame:
+    """v1_field, and a column a model with its elements of that field; fields that none of them has stay, at 0."""
+    return crosswalk.groupBy("v1_field").agg(*(F.count_if(F.col("information_model") == m).alias(m) for m in models))
 
 
 def alignment(manual: DataFrame, induced: DataFrame, keys: list[str], manual_field: str, induced_field: str, fold: str) -> DataFrame:

@@ -8,7 +8,7 @@ from spanloom.functions import jsonish
 from spanloom.operators import crosswalk, diagnostics, relational
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import _cue_columns, query, r6
-from spanloom.session import table
+from spanloom.session import spread, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in diagnostics.STOP) + "]"
 _G = list(fx.CUES)
@@ -260,7 +260,10 @@ def i_fallback_cards(spark, sf_dir):
     return crosswalk.fallback(fields, "field_id", "t", cards, "item_id", "terms", 2, 3)
 
 
-@query(f"WITH {fx.INV}, x AS (SELECT union_element_id, source_model, {crosswalk.rule_sql()} AS rule FROM (SELECT *, CASE source_order % 6 WHEN 0 THEN 'data record' WHEN 1 THEN 'use of it' WHEN 2 THEN 'consent decision' WHEN 3 THEN 'future period' WHEN 4 THEN 'nothing' ELSE 'study team' END AS t FROM inv)) SELECT union_element_id, split_part(rule, '|', 1) AS field, split_part(rule, '|', 2) AS mapping_type FROM x")
+_LABEL = "CASE source_order % 6 WHEN 0 THEN 'data record' WHEN 1 THEN 'use of it' WHEN 2 THEN 'consent decision' WHEN 3 THEN 'future period' WHEN 4 THEN 'nothing' ELSE 'study team' END"
+
+
+@query(f"WITH {fx.INV}, x AS (SELECT union_element_id, {crosswalk.rule_sql('union_element_id', 'source_model', 't', chr(39) * 2)} AS rule FROM (SELECT *, {_LABEL} AS t FROM inv)) SELECT union_element_id, split_part(rule, '|', 1) AS field, split_part(rule, '|', 2) AS mapping_type FROM x")
 def b_rule_cascade(spark, sf_dir):
     n = F.col("source_order") % 6
     words = F.when(n == 0, "data record").when(n == 1, "use of it").when(n == 2, "consent decision").when(n == 3, "future period").when(n == 4, "nothing").otherwise("study team")
@@ -268,6 +271,58 @@ def b_rule_cascade(spark, sf_dir):
     return crosswalk.build(inv).select("union_element_id", F.col("v1_field").alias("field"), "mapping_type")
 
 
+# A crosswalk over all documents: each is an element of one of five models, under a name that rules know or a
+# neutral one, labelled with a word of the rules or none; its definition is its whole text, or nothing.
+
+_MODELS = ("ODRL", "FHIR_Consent", "DUO", "ICO", "Other")
+_NAMES = sorted({x for r in crosswalk.RULES for x in r.names + r.in_name} | {"duo.decision", "x1", "x2"})
+_SAID = sorted({x for r in crosswalk.RULES for x in r.in_text} | {"the decision", "Zzz"})
+_SCHEMA = sorted({r.field for r in crosswalk.RULES} - {"temporal_scope", "authorized_actor"})
+_sql_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_ELEMENTS = f"""el AS (SELECT m || '::' || ({_sql_list(_NAMES)})[doc_id // 5 % {len(_NAMES)} + 1] AS uid, CASE WHEN doc_id % 3 = 0 THEN '' ELSE m END AS given, m, doc_id,
+  CASE WHEN doc_id % 2 = 0 THEN ({_sql_list(_SAID)})[doc_id // 2 % {len(_SAID)} + 1] ELSE '' END AS label, CASE WHEN doc_id % 4 = 3 THEN trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')) ELSE '' END AS def
+  FROM (SELECT *, ({_sql_list(_MODELS)})[doc_id % 5 + 1] AS m FROM documents)),
+xr AS (SELECT doc_id, uid, m, {crosswalk.rule_sql("uid", "m", "label", "def")} AS rule FROM el),
+xf AS (SELECT doc_id, uid, m, split_part(rule, '|', 1) AS f, split_part(rule, '|', 2) AS k, split_part(rule, '|', 3) AS also, split_part(rule, '|', 4) AS note FROM xr),
+xw AS (SELECT doc_id, uid AS union_element_id, m AS information_model, CASE WHEN ok THEN f ELSE 'residual_important_content' END AS v1_field, CASE WHEN ok THEN k ELSE 'needs_expert_review' END AS mapping_type,
+  array_to_string(list_filter(string_split(also, ';'), lambda x: x IN {tuple([*_SCHEMA, "sentence_decision"])}), ';') AS secondary_fields, CASE WHEN ok THEN note ELSE '{crosswalk.NOT_IN_SCHEMA}' END AS rationale,
+  CASE WHEN ok THEN k ELSE 'needs_expert_review' END IN {crosswalk.REVIEW} AS requires_context_review FROM (SELECT *, f IN {tuple([*_SCHEMA, "sentence_decision"])} AS ok FROM xf))"""
+
+
+def _elements(spark, sf_dir):
+    d = F.col("doc_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    model = pick(_MODELS, d % len(_MODELS))
+    return spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.concat(model, F.lit("::"), pick(_NAMES, F.floor(d / 5) % len(_NAMES))).alias("union_element_id"), F.when(d % 3 != 0, model).alias("source_model"),
+        F.when(d % 2 == 0, pick(_SAID, F.floor(d / 2) % len(_SAID))).alias("source_element_label"), F.when(d % 4 == 3, F.col("text")).alias("source_element_definition"))
+
+
+def _crosswalk(spark, sf_dir):
+    return crosswalk.build(_elements(spark, sf_dir), _SCHEMA)
+
+
+@query(f"WITH {_ELEMENTS} SELECT * FROM xw")
+def r_crosswalk(spark, sf_dir):
+    x = _crosswalk(spark, sf_dir).withColumn("secondary_fields", F.array_join("secondary_fields", ";"))
+    return x.select("doc_id", "union_element_id", "information_model", "v1_field", "mapping_type", "secondary_fields", "rationale", "requires_context_review")
+
+
+@query(f"WITH {_ELEMENTS} SELECT information_model AS source_model, union_element_id AS source_element, v1_field AS target_v1_field, mapping_type, requires_context_review FROM xw")
+def r_crosswalk_edges(spark, sf_dir):
+    return crosswalk.edges(_crosswalk(spark, sf_dir))
+
+
+@query(f"WITH {_ELEMENTS} SELECT information_model, v1_field, mapping_type, count(*) AS n_source_elements FROM xw GROUP BY ALL")
+def r_crosswalk_summary(spark, sf_dir):
+    return crosswalk.summary(_crosswalk(spark, sf_dir))
+
+
+@query(f"WITH {_ELEMENTS} SELECT v1_field, {', '.join(f'count(*) FILTER (information_model = {chr(39)}{m}{chr(39)}) AS {chr(34)}{m}{chr(34)}' for m in _MODELS)} FROM xw GROUP BY v1_field")
+def r_crosswalk_matrix(spark, sf_dir):
+    return crosswalk.matrix(_crosswalk(spark, sf_dir), list(_MODELS))
+
+
 # Reshapes
 
 
