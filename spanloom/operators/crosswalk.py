@@ -236,3 +236,78 @@ def source_elements(cards: DataFrame, card: str, body: str) -> DataFrame:
         pick(a, "source_model", "information_model").alias("source_model"), pick(a, "source_element_id", "union_element_id", "element_id", "id").alias("source_element_id"),
         pick(a, "source_element_label", "label", "name").alias("source_element_label")))
     return cards.select(card, F.inline(each)).distinct()
+
+
+# Keys of a card under which its source elements stand, as a list or by model.
+ELEMENT_LISTS = ("source_elements", "source_model_elements", "elements", "member_elements", "crosswalk_mappings")
+ELEMENTS_BY_MODEL = ("source_model_counts", "source_model_support", "source_elements_by_model")
+# What stands for an element that a field's text only names the model of, and how rows came about.
+MENTIONED = "mentioned_in_field_definition"
+FROM_CARDS, FROM_TEXT, FROM_NOTHING = "evidence_card_source_elements", "field_text_heuristic", "field_without_parseable_source_elements"
+_ELEMENT = "struct<source_model:string,source_element:string,source_label:string>"
+
+
+def supported(body: Column) -> Column:
+    """The distinct source elements (source_model, source_element, source_label) of a card's JSON: from its
+    lists, whose items are objects or texts (model::element), then from its objects by model, whose values are
+    lists, lists in texts, or one value. What has no element goes; no JSON or null gives an empty list."""
+    from spanloom.functions import jsonish
+
+    v = jsonish.parse(body)
+    at = lambda a, names: text.collapsed(jsonish.text_at(a, *(f"$.{n}" for n in names)))
+    is_object = lambda a: F.schema_of_variant(a).startswith("OBJECT")
+    plain = lambda a: text.collapsed(F.try_variant_get(a, "$", "string"))
+    row = lambda m, e, l: F.struct(m.alias("source_model"), e.alias("source_element"), l.alias("source_label"))  # noqa: E731, E741
+
+    def listed(a):
+        s = plain(a)
+        own = row(at(a, ("source_model", "information_model", "model")), at(a, ("source_element", "source_element_id", "element_id", "id", "label")), at(a, ("source_label", "label", "name", "element")))
+        split = row(F.substring_index(s, "::", 1), text.after_first(s), text.after_first(s))
+        return F.when(is_object(a), own).when(F.contains(s, F.lit("::")), split).otherwise(row(F.lit(""), s, s))
+
+    def of_model(model, x):
+        s = F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))
+        inner = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.try_variant_get(F.try_parse_json(s), "$", "array<variant>"))
+        named = lambda a: F.coalesce(F.nullif(at(a, ("source_model",)), F.lit("")), model)
+        one = lambda a: F.when(is_object(a), row(named(a), at(a, ("source_element", "element_id", "label")), at(a, ("source_label", "label")))).otherwise(row(model, plain(a), plain(a)))
+        parts = F.transform(F.split(s, "[;|,]"), text.collapsed)
+        whole = F.when(is_object(x), F.array(one(x))).otherwise(F.transform(parts, lambda p: row(model, p, p)))
+        return F.when(inner.isNotNull(), F.transform(inner, one)).otherwise(whole)
+
+    empty = F.array().cast(f"array<{_ELEMENT}>")
+    found = [F.transform(jsonish.items(v, f"$.{k}"), listed) for k in ELEMENT_LISTS]
+    for k in ELEMENTS_BY_MODEL:
+        entries = F.map_entries(F.try_variant_get(v, f"$.{k}", "map<string,variant>"))
+        found.append(F.coalesce(F.flatten(F.transform(entries, lambda e: of_model(text.collapsed(e["key"]), e["value"]))), empty))
+    return F.array_distinct(F.filter(F.concat(*found), lambda r: r["source_element"] != ""))
+
+
+def from_schemas(fields: DataFrame, cards: DataFrame, manual: DataFrame) -> DataFrame:
+    """The crosswalk of induced schemas: a row for each field of a fold and each source element that its
+    evidence cards list, with the manual fields of that element.
+
+    fields: fold, field_id, field_name, definition, tier, evidence_ids (array), said (text in which source
+    models may be named). cards: fold, card, body. manual: source_model, source_element, manual_field.
+    An evidence id finds the card of that id in its own fold and, as an id alone, that in the least fold which
+    has one; of several bodies of one card the greatest counts. A field without elements gets those models that
+    its text names, else one row without a model. Nulls are empty; repeated rows count once."""
+    from spanloom.operators.schema import models_named
+
+    ids = F.filter(F.coalesce("evidence_ids", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    plain = ["fold", "field_id", "field_name", "definition", "tier"]
+    f = fields.select(*(text.collapsed(F.col(c)).alias(c) for c in plain), ids.alias("_ids"), text.blank(F.col("said")).alias("_said")).distinct()
+    f = f.withColumn("evidence_card_ids", F.array_join("_ids", "; "))
+    key = [*plain, "evidence_card_ids"]
+    c = cards.groupBy("fold", "card").agg(F.max("body").alias("_b")).select("fold", "card", supported(F.col("_b")).alias("_e"))
+    by_fold = c.select(F.concat_ws("::", "fold", "card").alias("_k"), "_e")
+    alone = c.groupBy("card").agg(F.min_by("_e", F.coalesce("fold", F.lit(""))).alias("_e")).select(F.col("card").alias("_k"), "_e")
+    asked = f.select(*key, F.explode("_ids").alias("_id")).select(*key, F.explode(F.array(F.concat_ws("::", "fold", "_id"), "_id")).alias("_k"))
+    parsed = asked.join(by_fold.unionByName(alone), "_k").select(*key, F.inline("_e")).distinct()
+    named = F.transform(models_named(F.col("_said")), lambda m: F.struct(m.alias("source_model"), F.lit(MENTIONED).alias("source_element"), F.lit(MENTIONED).alias("source_label")))
+    none = F.array(F.struct(*(F.lit("").alias(n) for n in ("source_model", "source_element", "source_label"))))
+    rest = f.join(parsed.select(key).distinct(), key, "left_anti").select(*key, F.inline(F.when(F.size(named) > 0, named).otherwise(none))).distinct()
+    basis = F.when(F.col("source_element") == "", FROM_NOTHING).when(F.col("evidence_card_ids") != "", FROM_CARDS).otherwise(FROM_TEXT)
+    ends = [F.lower(text.collapsed(F.col(x))).alias(y) for x, y in (("source_model", "_m"), ("source_element", "_s"))]
+    known = manual.select(*ends, text.collapsed(F.col("manual_field")).alias("_f")).filter("_s <> ''").groupBy("_m", "_s").agg(F.array_join(F.array_sort(F.collect_set("_f")), "; ").alias("_l"))
+    out = parsed.unionByName(rest).withColumn("mapping_basis", basis).withColumns({"_m": F.lower("source_model"), "_s": F.lower("source_element")})
+    return out.join(known, ["_m", "_s"], "left").withColumn("manual_fields", F.coalesce("_l", F.lit(""))).drop("_m", "_s", "_l")

@@ -323,6 +323,40 @@ def r_crosswalk_matrix(spark, sf_dir):
     return crosswalk.matrix(_crosswalk(spark, sf_dir), list(_MODELS))
 
 
+# A crosswalk from schemas and cards: each document is a field of one of three folds, each benchmark item a card.
+
+_SCHEMAS = """fd AS (SELECT 'fold_0' || doc_id % 3 AS fold, 'f' || doc_id AS field_id, source AS field_name, ['core', 'extra'][doc_id % 2 + 1] AS tier, CASE WHEN doc_id % 6 = 5 THEN '' ELSE 'C' || (100 + doc_id % 150) END AS eid,
+  coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' of ico' WHEN 1 THEN ' FHIR_Consent (duo)' ELSE '' END AS said FROM documents),
+cd0 AS (SELECT 'fold_0' || item_id % 3 AS fold, 'C' || (100 + item_id // 2) AS card, item_id, unnest(CASE item_id % 3
+  WHEN 0 THEN [{'m': 'ICO', 'e': 'E' || item_id % 9, 'l': 'a name'}, {'m': 'DUO', 'e': 'E5::x', 'l': 'E5::x'}, {'m': '', 'e': 'plain', 'l': 'plain'}]
+  WHEN 1 THEN [{'m': 'ODRL', 'e': '3', 'l': '3'}, {'m': 'ICO', 'e': 'E' || item_id % 9, 'l': 'E' || item_id % 9}, {'m': 'FHIR', 'e': 'E2', 'l': 'E2'}]
+  ELSE [{'m': 'DUO', 'e': 'E1', 'l': 'E1'}, {'m': 'DUO', 'e': 'E' || item_id % 9, 'l': 'E' || item_id % 9}] END) AS s FROM benchmark),
+cd AS (SELECT fold, card, s.m AS source_model, s.e AS source_element, s.l AS source_label FROM cd0),
+keyed AS (SELECT fold || '::' || card AS k, source_model, source_element, source_label FROM cd UNION ALL SELECT card, source_model, source_element, source_label FROM cd WHERE (card, fold) IN (SELECT (card, min(fold)) FROM cd GROUP BY card)),
+pa AS (SELECT DISTINCT fold, field_id, field_name, tier, eid, source_model, source_element, source_label FROM fd JOIN keyed ON eid <> '' AND k IN (fold || '::' || eid, eid)),
+re AS (SELECT fold, field_id, field_name, tier, eid, unnest(CASE WHEN len(ms) = 0 THEN [''] ELSE ms END) AS m FROM (SELECT *, list_filter(['ICO', 'DUO', 'ODRL', 'FHIR', 'FHIR_Consent'], lambda x: regexp_matches(said, '(?i)\\b' || x || '\\b')) AS ms FROM fd WHERE (fold, field_id) NOT IN (SELECT (fold, field_id) FROM pa))),
+al AS (SELECT * FROM pa UNION ALL SELECT fold, field_id, field_name, tier, eid, m, CASE WHEN m = '' THEN '' ELSE 'mentioned_in_field_definition' END, CASE WHEN m = '' THEN '' ELSE 'mentioned_in_field_definition' END FROM re),
+mn AS (SELECT lower(m) AS a, lower(e) AS b, string_agg(DISTINCT f, '; ' ORDER BY f) AS l FROM (SELECT ['ico', 'DUO'][item_id % 2 + 1] AS m, 'e' || item_id % 9 AS e, 'field' || item_id % 4 AS f FROM benchmark) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SCHEMAS} SELECT fold, field_id, field_name, tier, eid AS evidence_card_ids, source_model, source_element, source_label, coalesce(l, '') AS manual_fields,
+  CASE WHEN source_element = '' THEN 'field_without_parseable_source_elements' WHEN eid <> '' THEN 'evidence_card_source_elements' ELSE 'field_text_heuristic' END AS mapping_basis FROM al LEFT JOIN mn ON a = lower(source_model) AND b = lower(source_element)""")
+def r_schema_crosswalk(spark, sf_dir):
+    d, i = F.col("doc_id"), F.col("item_id")
+    part = F.when(d % 4 == 0, " of ico").when(d % 4 == 1, " FHIR_Consent (duo)").otherwise("")
+    fields = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("fold_0"), d % 3).alias("fold"), F.concat(F.lit("f"), d).alias("field_id"), F.col("source").alias("field_name"), F.col("text").alias("definition"), F.when(d % 2 == 0, "core").otherwise("extra").alias("tier"),
+        F.when(d % 6 != 5, F.array(F.concat(F.lit("C"), 100 + d % 150))).alias("evidence_ids"), F.concat(F.coalesce("text", F.lit("")), part).alias("said"))
+    e = F.concat(F.lit('"E'), i % 9, F.lit('"'))
+    body = F.when(i % 3 == 0, F.concat(F.lit('{"source_elements": [{"information_model": "ICO", "element_id": '), e, F.lit(', "name": "a  name"}, "DUO::E5::x"], "elements": ["plain", "plain", " "]}')))
+    body = body.when(i % 3 == 1, F.concat(F.lit('```json\n{"source_model_counts": {"ODRL": 3, "ICO": ['), e, F.lit(', {"label": ""}]}, "source_model_support": {"x": {"source_model": "FHIR", "label": "E2"}}}\n```')))
+    body = body.otherwise(F.concat(F.lit('{"source_elements_by_model": {"DUO": "E1; E'), i % 9, F.lit('|E1"}}')))
+    b = table(spark, sf_dir, "benchmark")
+    cards = b.select(F.concat(F.lit("fold_0"), i % 3).alias("fold"), F.concat(F.lit("C"), 100 + F.floor(i / 2)).alias("card"), body.alias("body"))
+    manual = b.select(F.when(i % 2 == 0, "ico").otherwise("DUO").alias("source_model"), F.concat(F.lit("e"), i % 9).alias("source_element"), F.concat(F.lit("field"), i % 4).alias("manual_field"))
+    return crosswalk.from_schemas(fields, cards, manual).drop("definition")
+
+
 # Reshapes
 
 

@@ -135,6 +135,33 @@ def test_schema_report_and_crosswalk(spark):
     assert crosswalk.edges(crosswalk.build(inventory)).count() == 7
 
 
+def test_crosswalk_of_odd_inventories(spark):
+    rows = [(None, "ODRL", "Party", None), (" ", "ODRL", "Party", None), ("ODRL::Party", None, None, None), ("ODRL::Duty", " ", None, None), ("plain", None, None, "a  Decision"), ("FHIR::Consent.Period", None, "", ""), ("ODRL::Party", None, None, None), ("q::w", None, "CARE", None)]
+    df = spark.createDataFrame(rows, "union_element_id string, model string, label string, definition string").withColumn("rationale", F.lit(7))
+    got = sorted(crosswalk.build(df).collect(), key=lambda r: r["union_element_id"])
+    assert [r["information_model"] for r in got] == ["FHIR", "ODRL", "ODRL", "ODRL", "unknown", "q"]
+    assert [r["v1_field"] for r in got] == ["temporal_scope", "sentence_decision", "participant_or_subject", "participant_or_subject", "sentence_decision", "consequence_or_protection"]
+    assert got[0]["rationale"] == "FHIR Consent.Period maps to the corresponding functional V1 role" and got[0]["secondary_fields"] == ["temporal_target"]
+    cut = {r["union_element_id"]: r for r in crosswalk.build(df, ["participant_or_subject", "authorized_actor"]).collect()}
+    assert cut["ODRL::Party"]["secondary_fields"] == ["authorized_actor"] and cut["ODRL::Duty"]["v1_field"] == "sentence_decision"
+    lost = cut["FHIR::Consent.Period"]
+    assert lost["v1_field"] == "residual_important_content" and lost["mapping_type"] == "needs_expert_review" and lost["rationale"] == crosswalk.NOT_IN_SCHEMA and lost["requires_context_review"]
+    assert crosswalk.build(df.limit(0)).count() == 0
+    assert sum(r["n_source_elements"] for r in crosswalk.summary(crosswalk.build(df)).collect()) == 6
+    assert {r["v1_field"]: r["ODRL"] for r in crosswalk.matrix(crosswalk.build(df), ["ODRL"]).collect()}["participant_or_subject"] == 2
+
+
+def test_crosswalk_from_schemas_of_odd_rows(spark):
+    fields = spark.createDataFrame([("a", "f1", "n", None, None, ["C1", None], None), ("b", "f1", "n", None, None, ["C1"], "x"), ("b", "f2", None, "d", "t", None, "an ICO and a duo"), ("b", "f3", None, None, None, [], None), ("b", "f3", None, None, None, [], None)], "fold string, field_id string, field_name string, definition string, tier string, evidence_ids array<string>, said string")
+    cards = spark.createDataFrame([("a", "C1", '{"elements": ["M::e", {"id": "z"}, null, 4]}'), ("b", "C1", '{"source_model_counts": {"N": "[\\"u\\"]", "O": null}}'), ("b", "C2", None), ("c", "C3", "no json")], "fold string, card string, body string")
+    manual = spark.createDataFrame([("m", "E", "one"), ("M", "e ", "two"), (None, None, "three")], "source_model string, source_element string, manual_field string")
+    got = sorted((r["fold"], r["field_id"], r["source_model"], r["source_element"], r["manual_fields"], r["mapping_basis"]) for r in crosswalk.from_schemas(fields, cards, manual).collect())
+    c, t, n = crosswalk.FROM_CARDS, crosswalk.FROM_TEXT, crosswalk.FROM_NOTHING
+    of_a = [("", "4", ""), ("", "z", ""), ("M", "e", "one; two")]
+    assert got == [*(("a", "f1", *x, c) for x in of_a), *(("b", "f1", *x, c) for x in [*of_a, ("N", "u", "")]), ("b", "f2", "DUO", crosswalk.MENTIONED, "", t), ("b", "f2", "ICO", crosswalk.MENTIONED, "", t), ("b", "f3", "", "", "", n)]
+    assert crosswalk.from_schemas(fields.limit(0), cards.limit(0), manual.limit(0)).count() == 0
+
+
 def test_numbered_rows(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v"), F.lit("a").alias("number"))
     got = relational.numbered(df.drop("number").repartition(7), [F.desc("v")]).collect()
