@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: A word, maybe of several parts.
 TOKEN = r"(?U)\b\w+(?:[-']\w+)*\b"
 
+#: Tokens whose places are made together.
+BLOCK = 128
+
 
 def located(text: Column, span: Column) -> Column:
     """Start of the first case-insensitive occurrence, white space flexible, -1 if there is none."""
@@ -31,14 +34,19 @@ def token_offsets(text: Column, pattern: str = TOKEN) -> Column:
     text = F.coalesce(text, F.lit(""))
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, t: F.struct(F.length(b).alias("skip"), F.length(t).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    # An array grows by copying, so places are made block by block, each from the characters before its block.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
+    running = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    size = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["skip"] + x["n"])
+    bases = F.aggregate(blocks, running, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     add = lambda s, x: F.struct((s["at"] + x["skip"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + x["n"]).alias("end")))).alias("out"))
-    return F.aggregate(steps, start, add, lambda s: s["out"])
+    return F.flatten(F.zip_with(blocks, bases, lambda block, at: F.aggregate(block, start(at), add, lambda s: s["out"])))
 
 
 def token_span(offsets: Column, start: Column, end: Column) -> Column:
-    """First and last token that overlap [start, end), -1 and -1 if none does."""
-    at = F.filter(F.transform(offsets, lambda o, i: F.when((o["start"] < end) & (o["end"] > start), i)), lambda i: i.isNotNull())
+    """First and last token that overlap [start, end), -1 and -1 if none does or the start is below 0."""
+    at = F.filter(F.transform(offsets, lambda o, i: F.when((start >= 0) & (o["start"] < end) & (o["end"] > start), i)), lambda i: i.isNotNull())
     return F.struct(F.coalesce(F.array_min(at), F.lit(-1)).alias("first"), F.coalesce(F.array_max(at), F.lit(-1)).alias("last"))
 
 

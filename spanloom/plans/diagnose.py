@@ -170,28 +170,35 @@ def r_decision_summary(spark, sf_dir):
     return s.withColumn("mean_score", r6("mean_score")).withColumn("top_values", F.array_join("top_values", ";"))
 
 
-_GRAN = f"""{fx.RT}, s AS (SELECT doc_id, llm, tk[1:40] AS w, array_to_string(tk[1:40], ' ') AS t, [array_to_string(tk[1:9], ' '), coalesce(tk[4], ''), array_to_string(tk[3:5], ' '), 'nowhere to be found'] AS sp, ['A', 'B', 'A', ''] AS lb FROM rt WHERE len(list_distinct(tk[1:40])) = len(tk[1:40]) AND len(tk) >= 20 AND NOT contains(array_to_string(tk[1:40], ' '), chr(39)))"""
+_GRAN = f"""{fx.RT}, s AS (SELECT doc_id, llm, original_text AS t, len(tk) AS n, list_filter([array_to_string(tk[1:9 + doc_id % 6], ' '), coalesce(tk[4], ''), array_to_string(tk[3:5], ' '), 'nowhere to be found', CASE WHEN doc_id % 9 = 0 THEN original_text ELSE '' END], lambda x: x <> '') AS sp, doc_id % 2 + 1 AS labels FROM rt),
+p AS (SELECT *, list_transform(sp, lambda x: len(regexp_extract_all(x, '[A-Za-z0-9'']+'))) AS k, list_transform(sp, lambda x: strpos(t, x)) AS st FROM s),
+c AS (SELECT *, flatten(list_transform(range(1, len(sp) + 1), lambda i: CASE WHEN st[i] = 0 THEN [] ELSE range(len(string_split(substr(t, 1, st[i]), ' ')), len(string_split(substr(t, 1, st[i] + length(sp[i]) - 1), ' ')) + 1) END)) AS met FROM p),
+g AS (SELECT doc_id, llm, n AS source_token_count, 5 AS n_annotations, labels AS n_unique_labels, 5 / greatest(1, n) AS annotation_density, coalesce(list_max(k), 0) AS max_span_tokens, len(list_filter(k, lambda x: x >= 8)) AS n_long_spans, len(list_filter(k, lambda x: x >= 12)) AS n_clause_spans, coalesce(list_sum(k), 0) / greatest(1, len(k)) AS mean_span_tokens,
+  len(list_filter(range(1, len(k) + 1), lambda i: k[i] / greatest(1, n) >= 0.8 OR sp[i] = t)) AS n_full_sentence_spans, len(list_distinct(met)) / greatest(1, n) AS token_coverage, (len(met) + coalesce(list_sum(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN st[i] = 0 THEN k[i] ELSE 0 END)), 0)) / greatest(1, len(list_distinct(met))) AS duplicate_coverage FROM c)"""
 
 
 def _gran(spark, sf_dir):
-    rt = fx.roundtrips(spark, sf_dir).withColumn("w", F.slice("tk", 1, 40)).filter((F.size(F.array_distinct("w")) == F.size("w")) & (F.size("tk") >= 20)).filter(~F.contains(F.array_join("w", " "), F.lit("'")))
+    """Annotations of whole texts: the first words, the fourth, the third to fifth, words that are not there, and at times all."""
+    d, t = F.col("doc_id"), F.col("original_text")
     part = lambda a, n: F.array_join(F.slice("tk", a, n), " ")
-    rows = rt.select("doc_id", "llm", F.array_join("w", " ").alias("t"), F.array(part(1, 9), F.element_at("tk", 4), part(3, 3), F.lit("nowhere to be found")).alias("sp"), F.array(F.lit("A"), F.lit("B"), F.lit("A"), F.lit("")).alias("lb"))
-    return diagnostics.granularity(rows, "t", "sp", "lb")
+    found = F.array(part(1, 9 + d.cast("int") % 6), F.coalesce(F.try_element_at("tk", F.lit(4)), F.lit("")), part(3, 3), F.lit("nowhere to be found"), F.when(d % 9 == 0, t).otherwise(""))
+    labels = F.array(F.lit("A"), F.when(d % 2 == 1, "B").otherwise("A"), F.lit("A"), F.lit(""), F.lit(""))
+    return diagnostics.granularity(fx.roundtrips(spark, sf_dir).select("doc_id", "llm", t.alias("t"), found.alias("sp"), labels.alias("lb")), "t", "sp", "lb")
 
 
-@query(f"""WITH {_GRAN}, p AS (SELECT doc_id, w, t, sp, (SELECT count(*) FROM (SELECT unnest(range(1, len(w) + 1)) AS i)) AS n, [strpos(t, x) FOR x IN sp] AS at, strpos(t, sp[2]) AS b FROM s),
-q AS (SELECT doc_id, len(w) AS n, len(regexp_extract_all(substr(t, 1, strpos(t, sp[2]) - 1 + length(sp[2])), '[a-z0-9]+')) - 1 AS b FROM s)
-SELECT doc_id, n AS source_token_count, 4 AS n_annotations, 2 AS n_unique_labels, round(4 / n, 6) AS annotation_density, 9 AS max_span_tokens, 1 AS n_long_spans, 0 AS n_clause_spans, round(17 / 4, 6) AS mean_span_tokens FROM q""")
+_GRAN_COUNTS = ["source_token_count", "n_annotations", "n_unique_labels", "max_span_tokens", "n_long_spans", "n_clause_spans", "n_full_sentence_spans"]
+_GRAN_RATIOS = ["annotation_density", "mean_span_tokens", "token_coverage", "duplicate_coverage"]
+
+
+@query(f"WITH {_GRAN} SELECT doc_id, {', '.join(_GRAN_COUNTS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _GRAN_RATIOS)} FROM g")
 def r_granularity(spark, sf_dir):
-    counts = ["source_token_count", "n_annotations", "n_unique_labels", "max_span_tokens", "n_long_spans", "n_clause_spans"]
-    return _gran(spark, sf_dir).select("doc_id", *(F.col(c).cast("long").alias(c) for c in counts), r6("annotation_density").alias("annotation_density"), r6("mean_span_tokens").alias("mean_span_tokens"))
+    return _gran(spark, sf_dir).select("doc_id", *(F.col(c).cast("long").alias(c) for c in _GRAN_COUNTS), *(r6(c).alias(c) for c in _GRAN_RATIOS))
 
 
-@query(f"WITH {_GRAN} SELECT llm, count(*) AS n_rows, round(avg(4 / len(w)), 6) AS mean_annotation_density, round(median(4 / len(w)), 6) AS median_annotation_density, 1.0::DOUBLE AS pct_rows_with_long_span FROM s GROUP BY llm")
+@query(f"WITH {_GRAN} SELECT llm, count(*) AS n_rows, round(avg(annotation_density), 6) AS mean_annotation_density, round(median(annotation_density), 6) AS median_annotation_density, round(avg((n_long_spans > 0)::INT), 6) AS pct_rows_with_long_span FROM g GROUP BY llm")
 def r_granularity_summary(spark, sf_dir):
     g = diagnostics.granularity_summary(_gran(spark, sf_dir), ["llm"], ["annotation_density"])
-    return g.select("llm", "n_rows", r6("mean_annotation_density").alias("mean_annotation_density"), r6("median_annotation_density").alias("median_annotation_density"), "pct_rows_with_long_span")
+    return g.select("llm", "n_rows", *(r6(c).alias(c) for c in ("mean_annotation_density", "median_annotation_density", "pct_rows_with_long_span")))
 
 
 # Comparisons

@@ -8,7 +8,7 @@ from spanloom.functions import spans, text
 from spanloom.operators import evidence, mentions, packets, pairs, relational, resolve
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import query, r6
-from spanloom.session import table
+from spanloom.session import spread, table
 
 
 def _in(values) -> str:
@@ -153,12 +153,13 @@ def g_span_context(spark, sf_dir):
     return s.select("doc_id", "ann_idx", "at", spans.context(t, at, end).alias("context"), spans.nth_start(t, span, F.lit(1)).alias("second"))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 400) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9'']+') AS m, regexp_split_to_array(t, '[A-Za-z0-9'']+') AS b FROM d)
-SELECT doc_id, len(m) AS n, coalesce(list_sum(list_transform(range(1, len(m) + 1), lambda i: i * (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))), 0)::BIGINT AS weighted_starts FROM w""")
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+') AS m, regexp_split_to_array(coalesce(text, ''), '[A-Za-z0-9'']+') AS b FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, length(unnest(m)) AS m, length(unnest(b[1:len(m)])) AS b FROM w), v AS (SELECT doc_id, i, sum(b + m) OVER (PARTITION BY doc_id ORDER BY i) - m AS st FROM u)
+SELECT documents.doc_id, count(i) AS n, coalesce(sum(i * st), 0)::BIGINT AS weighted_starts FROM documents LEFT JOIN v USING (doc_id) GROUP BY documents.doc_id""")
 def g_token_offsets(spark, sf_dir):
-    o = table(spark, sf_dir, "documents").select("doc_id", spans.token_offsets(F.substring(F.coalesce("text", F.lit("")), 1, 400), "[A-Za-z0-9']+").alias("o"))
-    weighted = F.aggregate(F.transform("o", lambda x, i: (i + 1) * x["start"]), F.lit(0), lambda a, x: a + x)
-    return o.select("doc_id", F.size("o").cast("long").alias("n"), weighted.cast("long").alias("weighted_starts"))
+    o = spread(table(spark, sf_dir, "documents")).select("doc_id", spans.token_offsets(F.col("text"), "[A-Za-z0-9']+").alias("o"))
+    weighted = F.aggregate(F.transform("o", lambda x, i: (i + 1).cast("long") * x["start"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    return o.select("doc_id", F.size("o").cast("long").alias("n"), weighted.alias("weighted_starts"))
 
 
 def _annotated(spark, sf_dir):
@@ -208,9 +209,9 @@ def u_mentions(spark, sf_dir):
     return m.select("doc_id", F.col("ann_idx").cast("long").alias("ann_idx"), "span", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "span_canonical", "validity")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'F' || doc_id WHEN source <> '' THEN source ELSE '' END AS form, CASE WHEN doc_id % 2 = 0 THEN 'S' || doc_id ELSE 'SENT_' || substr(sha1(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 1, 12) END AS sentence_key, 'ROW_' || (doc_id + 2) AS roundtrip_key FROM documents WHERE regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*')""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'F' || doc_id WHEN source <> '' THEN source ELSE '' END AS form, CASE WHEN doc_id % 2 = 0 THEN 'S' || doc_id ELSE 'SENT_' || substr(sha1(trim(regexp_replace(coalesce(text, ''), '[\\t-\\r\\x{85}\\p{Z}]+', ' ', 'g'))), 1, 12) END AS sentence_key, 'ROW_' || (doc_id + 2) AS roundtrip_key FROM documents""")
 def u_identities(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]"))
+    d = table(spark, sf_dir, "documents")
     d = d.withColumns({"form_key": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("F"), "doc_id", F.lit("_annotated.csv"))), "sentence_id": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" S"), "doc_id"))})
     return mentions.identities(d, ["form_key", "source"], ["sentence_id"], ["roundtrip_id"], "text", "doc_id").select("doc_id", "form", "sentence_key", "roundtrip_key")
 
@@ -300,11 +301,11 @@ def i_dense_pairs(spark, sf_dir):
     return pairs.dense(_nodes(spark, sf_dir), pairs.pair_features(_mentions(spark, sf_dir))).select("sense_1", "sense_2", "same_span_count", "same_sentence_cooccurrence")
 
 
-@query(f"""WITH {fx.RT}, {fx.ANN}, {_M}, r AS (SELECT sense, span, row_number() OVER (PARTITION BY sense ORDER BY provenance) AS n FROM mention) SELECT sense, string_agg(span, ' || ' ORDER BY n) FILTER (n <= 20) || ' ||  ||  ||  ||  || ' AS node_text FROM r GROUP BY sense HAVING count(*) >= 20""")
+@query(f"""WITH {fx.RT}, {fx.ANN}, {_M}, r AS (SELECT sense, span, 'by ' || llm || ' of ' || span AS about, row_number() OVER (PARTITION BY sense ORDER BY provenance) AS n FROM mention)
+SELECT sense, string_agg(span, ' || ' ORDER BY n) FILTER (n <= 20) || ' || ' || string_agg(trim(about), ' || ' ORDER BY n) FILTER (n <= 5) AS node_text FROM r GROUP BY sense""")
 def u_node_texts(spark, sf_dir):
-    m = _mentions(spark, sf_dir)
-    many = m.groupBy("sense").agg(F.count("*").alias("n")).filter("n >= 20")
-    return mentions.node_texts(m, "sense", "provenance").join(many, "sense", "left_semi")
+    m = _mentions(spark, sf_dir).withColumn("local_context", F.concat(F.lit("by  "), "llm", F.lit(" of "), "span"))
+    return mentions.node_texts(m, "sense", "provenance")
 
 
 @query("SELECT array_to_string(t, ' | ') AS signature_terms, count(DISTINCT lang) AS n_folds, string_agg(DISTINCT lang, ',' ORDER BY lang) AS folds, sum(n_chars)::BIGINT AS total_mentions FROM (SELECT lang, n_chars, ['t' || doc_id % 4, 'u' || doc_id % 3] AS t FROM documents) GROUP BY ALL")
@@ -346,9 +347,14 @@ def u_evidence_units(spark, sf_dir):
     return _evidence(spark, sf_dir).select("roundtrip_id", "source_element_id", "label", "span", "method", "source_element_key")
 
 
-@query(f"WITH {_UNITS} SELECT edge_type, count(*) AS n FROM (SELECT unnest(['evidence_for_roundtrip', 'evidence_for_sentence', 'maps_to_source_element', 'belongs_to_source_model']) AS edge_type FROM ev UNION ALL SELECT unnest(['has_sentence', 'uses_information_model', 'generated_by_llm']) FROM rt) GROUP BY ALL")
+_EDGE_CUES = " + ".join("(" + " OR ".join(f"contains(x, '{t}')" for t in terms) + ")::INT" for terms in fx.CUES.values())
+
+
+@query(f"""WITH {_UNITS}, x AS (SELECT lower(concat_ws(' ', span, label, original_text, reconstructed_text)) AS x FROM ev JOIN rt USING (doc_id))
+SELECT edge_type, count(*) AS n FROM (SELECT unnest(['evidence_for_roundtrip', 'evidence_for_sentence', 'maps_to_source_element', 'belongs_to_source_model']) AS edge_type FROM ev UNION ALL SELECT unnest(['has_sentence', 'uses_information_model', 'generated_by_llm']) FROM rt) GROUP BY ALL
+UNION ALL SELECT 'matches_cue_group', sum({_EDGE_CUES})::BIGINT FROM x""")
 def n_evidence_edges(spark, sf_dir):
-    return evidence.edges(_evidence(spark, sf_dir)).filter("edge_type <> 'matches_cue_group'").groupBy("edge_type").agg(F.count("*").alias("n"))
+    return evidence.edges(_evidence(spark, sf_dir)).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_UNITS} SELECT information_model, source_element_key, label, count(*) AS n_evidence_units, count(DISTINCT sentence_id) AS n_sentences, round(avg(meaning_preserved), 6) AS preserved_rate FROM ev GROUP BY ALL")

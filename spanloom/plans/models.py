@@ -35,13 +35,12 @@ def o_char_tfidf(spark, sf_dir):
     return retrieval.weights(retrieval.char_grams(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id").select("item_id", "term", r6("w").alias("w"))
 
 
-@query(f"""WITH {fx.RT}, pr AS (SELECT doc_id, array_to_string(tk[1:60], ' ') AS a, array_to_string(rk[1:60], ' ') AS b FROM rt), s AS (SELECT doc_id, 0 AS side, a AS t FROM pr UNION ALL SELECT doc_id, 1, b FROM pr),
+@query(f"""WITH {fx.RT}, pr AS (SELECT doc_id, original_text AS a, reconstructed_text AS b FROM rt), s AS (SELECT doc_id, 0 AS side, a AS t FROM pr UNION ALL SELECT doc_id, 1, b FROM pr),
 w AS (SELECT doc_id, side, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM s), g AS (SELECT doc_id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT doc_id, side, term, count(*) AS tf FROM g GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), x AS (SELECT doc_id, side, term, tf * (ln((1 + (SELECT count(*) FROM s)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)), v AS (SELECT doc_id, side, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, side)) AS w FROM x)
 SELECT pr.doc_id, round(coalesce(sum(p.w * q.w), 0), 6) AS cosine FROM pr LEFT JOIN v p ON p.doc_id = pr.doc_id AND p.side = 0 LEFT JOIN v q ON q.doc_id = pr.doc_id AND q.side = 1 AND q.term = p.term GROUP BY pr.doc_id""")
 def f_paired_tfidf(spark, sf_dir):
-    cut = lambda c: F.array_join(F.slice(c, 1, 60), " ")
-    pr = fx.roundtrips(spark, sf_dir).select("doc_id", cut("tk").alias("a"), cut("rk").alias("b"))
+    pr = fx.roundtrips(spark, sf_dir).select("doc_id", F.col("original_text").alias("a"), F.col("reconstructed_text").alias("b"))
     return models.paired_tfidf(pr, "doc_id", "a", "b").select("doc_id", r6("cosine").alias("cosine"))
 
 

@@ -162,6 +162,18 @@ def test_crosswalk_from_schemas_of_odd_rows(spark):
     assert crosswalk.from_schemas(fields.limit(0), cards.limit(0), manual.limit(0)).count() == 0
 
 
+def test_places_of_tokens_over_blocks(spark):
+    import re
+
+    words = [("a" * (i % 7 + 1)) + ("'b" if i % 5 == 0 else "") for i in range(2 * spans.BLOCK + 3)]
+    texts = ["", None, "one", "  two words ", " ".join(words), ", ".join(words[: spans.BLOCK])]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", spans.token_offsets(F.col("t"), "[A-Za-z0-9']+").alias("o")).collect()
+    for r in got:
+        assert [(x["start"], x["end"]) for x in r["o"]] == [m.span() for m in re.finditer("[A-Za-z0-9']+", texts[r["i"]] or "")]
+    far = spark.range(1).select(spans.token_span(spans.token_offsets(F.lit("one two")), F.lit(-1), F.lit(5)).alias("s")).first()["s"]
+    assert (far["first"], far["last"]) == (-1, -1)  # a span that is not there covers nothing
+
+
 def test_numbered_rows(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v"), F.lit("a").alias("number"))
     got = relational.numbered(df.drop("number").repartition(7), [F.desc("v")]).collect()

@@ -1,6 +1,6 @@
 import pytest
 
-from spanloom.plans import catalog, diagnose, documents, mining, models, selection  # noqa: F401
+from spanloom.plans import catalog, diagnose, dictionaries, documents, mining, models, selection  # noqa: F401
 from tests.parity import compare, connection
 
 SF = "/root/testdata/sf0.001"
