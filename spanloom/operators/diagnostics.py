@@ -201,10 +201,12 @@ def granularity(rows: DataFrame, source: str, spans_: str, labels: str) -> DataF
     pattern = r"[A-Za-z0-9']+"
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
     df = rows.withColumns({"_src": spans.token_offsets(F.col(source), pattern), "_sp": F.filter(F.transform(spans_, text.collapsed), lambda s: s != "")})
-    place = lambda s: spans.token_span(F.col("_src"), spans.located(F.col(source), s), spans.located(F.col(source), s) + F.length(s))
-    df = df.withColumns({"_n": F.transform("_sp", words), "_at": F.transform("_sp", place), "source_token_count": F.size("_src"), "n_annotations": F.size(labels), "n_unique_labels": F.size(F.array_distinct(F.filter(labels, lambda x: x != "")))})
+    df = df.withColumn("_st", F.transform("_sp", lambda s: spans.located(F.col(source), s)))  # a span is looked for once, not once a token
+    place = F.zip_with("_sp", "_st", lambda s, st: spans.token_span(F.col("_src"), st, st + F.length(s)))
+    df = df.withColumns({"_n": F.transform("_sp", words), "_at": place, "source_token_count": F.size("_src"), "n_annotations": F.size(labels), "n_unique_labels": F.size(F.array_distinct(F.filter(labels, lambda x: x != "")))})
     items, tokens = F.greatest(F.lit(1), "n_annotations"), F.greatest(F.lit(1), "source_token_count")
-    met = spans.coverage(F.col("_at"), F.col("source_token_count"))
+    df = df.withColumn("_met", spans.coverage(F.col("_at"), F.col("source_token_count")))
+    met = F.col("_met")
     lost = F.aggregate(F.zip_with("_at", "_n", lambda a, k: F.when(a["first"] < 0, k).otherwise(0)), F.lit(0), lambda s, x: s + x)
     total = F.aggregate("_n", F.lit(0), lambda s, x: s + x)
     whole = F.size(F.filter(F.zip_with("_sp", "_n", lambda s, k: (k / tokens >= 0.80) | (F.lower(s) == F.lower(text.collapsed(F.col(source))))), lambda x: x))
@@ -213,7 +215,7 @@ def granularity(rows: DataFrame, source: str, spans_: str, labels: str) -> DataF
         "annotation_density": F.col("n_annotations") / tokens, "mean_span_tokens": total / F.greatest(F.lit(1), F.size("_n")), "max_span_tokens": F.coalesce(F.array_max("_n"), F.lit(0)), "n_long_spans": over(8), "n_clause_spans": over(12),
         "pct_long_spans": over(8) / items, "pct_clause_spans": over(12) / items, "n_full_sentence_spans": whole, "pct_full_sentence_spans": whole / items, "token_coverage": met["covered"] / tokens,
         "duplicate_coverage": (met["counted"] + lost) / F.greatest(F.lit(1), met["covered"]),
-    }).drop("_src", "_sp", "_n", "_at")
+    }).drop("_src", "_sp", "_st", "_n", "_at", "_met")
 
 
 def granularity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
