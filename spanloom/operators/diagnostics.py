@@ -36,6 +36,8 @@ EVALUATION_GROUPS = {
     "contact_recontact": ["contact", "recontact", "call", "email", "notify", "ask you", "request"],
 }
 DECISION_TAILS = ("DUO.decision", "ICO.decision", "Rule_TestSentence", "Consent.provision.type")
+#: Parts over which the elements of one group are paired.
+SALTS = 8
 UNMATCHED_KEYS = ("unmatched_language", "unmatched_language_spans", "unmatched_spans", "unmapped_language", "unmapped_spans", "not_annotated", "not_covered")
 
 
@@ -171,12 +173,17 @@ def element_summary(records: DataFrame, uid: str, sentence: str, means: list[str
 
 def element_pairs(records: DataFrame, uid: str, sentence: str, score: str, keys: list[str]) -> DataFrame:
     """Pairs of elements named for the same sentence under keys: how often, in how many sentences, and the
-    mean of those groups' mean scores. A group's distinct elements meet each other, as asked."""
-    by = [sentence, *keys]
-    g = records.groupBy(*by).agg(F.collect_set(uid).alias("ids"), F.avg(F.col(score).cast("double")).alias("s"))
-    ids = F.array_sort("ids")
-    pair = F.flatten(F.transform(ids, lambda a, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return g.select(sentence, "s", F.inline(pair)).groupBy("a", "b").agg(F.count("*").alias("n_cooccurrences"), F.countDistinct(sentence).alias("n_source_sentences"), F.avg("s").alias("mean_score"))
+    mean of those groups' mean scores. A group's distinct elements meet each other, as asked, in SALTS tasks, so
+    that a group of many elements is no single row or task. Null keys are a group of their own; null elements
+    are left out."""
+    group = F.struct(sentence, *keys)  # equal in a join where fields are null, unlike the fields themselves
+    rows = records.select(group.alias("_k"), F.col(uid).alias("_u"), F.col(score).cast("double").alias("_x"))
+    means = rows.groupBy("_k").agg(F.avg("_x").alias("_s"))
+    each = rows.filter(F.col("_u").isNotNull()).select("_k", "_u").distinct()
+    a = each.select("_k", F.col("_u").alias("a"), F.pmod(F.xxhash64("_u"), F.lit(SALTS)).cast("int").alias("_n"))
+    b = each.select("_k", F.col("_u").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_n"))
+    met = a.join(b, ["_k", "_n"]).filter("a < b").join(means, "_k")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n_cooccurrences"), F.countDistinct(f"_k.{sentence}").alias("n_source_sentences"), F.avg("_s").alias("mean_score"))
 
 
 def decision_summary(records: DataFrame, keys: list[str], sentence: str, value: str, score: str, n: int = 8) -> DataFrame:

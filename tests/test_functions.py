@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import jsonish, sets, spans, text
-from spanloom.operators import components, crosswalk, evidence, graph, relational, resolve, roundtrip
+from spanloom.operators import components, crosswalk, diagnostics, evidence, graph, relational, resolve, roundtrip
 from spanloom.sources import files
 
 
@@ -174,6 +174,14 @@ def test_places_of_tokens_over_blocks(spark):
     assert (far["first"], far["last"]) == (-1, -1)  # a span that is not there covers nothing
 
 
+def test_element_pairs_of_odd_rows(spark):
+    rows = [("s", "m", "x", 1.0), ("s", "m", "y", None), ("s", "m", "x", 0.0), (None, "m", "x", 1.0), (None, "m", "y", 0.0), ("s", None, "z", 1.0), ("s", "m", None, 1.0), *(("hot", "m", f"e{i:03}", 0.5) for i in range(60))]
+    df = spark.createDataFrame(rows, "sentence string, llm string, u string, score double")
+    got = {(r["a"], r["b"]): (r["n_cooccurrences"], r["n_source_sentences"], r["mean_score"]) for r in diagnostics.element_pairs(df, "u", "sentence", "score", ["llm"]).collect()}
+    assert got[("x", "y")] == (2, 1, (2 / 3 + 0.5) / 2) and len(got) == 1 + 60 * 59 // 2 and set(got.values()) - {got[("x", "y")]} == {(1, 1, 0.5)}
+    assert diagnostics.element_pairs(df.limit(0), "u", "sentence", "score", ["llm"]).count() == 0
+
+
 def test_numbered_rows(spark):
     df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v"), F.lit("a").alias("number"))
     got = relational.numbered(df.drop("number").repartition(7), [F.desc("v")]).collect()
