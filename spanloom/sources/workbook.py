@@ -84,11 +84,13 @@ class WorkbookWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.sheets, self.overwrite = options["path"], json.loads(options["sheets"]), overwrite
         self.folder = f"{self.path}._pieces-{uuid.uuid4().hex}"
+        # Made here and not by tasks: one that still runs when the job is given up can't make it anew.
+        fs, folder = opened(self.folder)
+        fs.create_dir(folder, recursive=True)
 
     def write(self, iterator: Iterator) -> Pieces:
         found, sheet, out = [], None, None
         fs, folder = opened(self.folder)
-        fs.create_dir(folder, recursive=True)
         try:
             for row in iterator:
                 if row["sheet"] != sheet:
