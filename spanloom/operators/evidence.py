@@ -14,6 +14,8 @@ ID_KEYS = ("id", "node_id", "concept_id", "term_id", "code", "uri", "iri", "clas
 LABEL_KEYS = ("label", "name", "term", "title", "class", "predicate", "property", "element", "concept", "node")
 TEXT_KEYS = ("text", "phrase", "span", "value", "content", "verbatim", "sentence", "description")
 LONGEST, SHORTEST, LINES = 240, 4, 50
+#: What goes at a line's beginning: any signs and digits of a list, or a number only with its dot or bracket.
+LIST_SIGNS, LIST_MARKS = r"^[\s\-*•\d.)]+", r"^(?:[\s\-*•.)]|\d+[.)](?!\S))+"
 
 
 def json_units(df: DataFrame, raw: Column) -> DataFrame:
@@ -30,14 +32,14 @@ def _unit(i, label, span, method) -> Column:
     return F.struct(i.alias("source_element_id"), label.alias("label"), span.alias("span"), F.lit(method).alias("method"), F.lit("").alias("path"))
 
 
-def with_units(rows: DataFrame, mapping: str, model: str, original: str) -> DataFrame:
+def with_units(rows: DataFrame, mapping: str, model: str, original: str, bullet: str = LIST_SIGNS) -> DataFrame:
     """Adds _units: of a mapping its JSON objects, identifiers of known families and lines; else the
     mapping's beginning, else the original's. Each (id, label, span) once, case aside. Steps are
     columns of their own, so that none is evaluated twice."""
     df = rows.withColumn("_s", F.trim(F.coalesce(mapping, F.lit(""))))
     s = F.col("_s")
     ids = F.transform(text.id_families(s, text.ID_FAMILIES), lambda x: _unit(x, x, x, "regex_id"))
-    bare = F.transform(F.split(s, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"^[\s\-*•\d.)]+", "")))
+    bare = F.transform(F.split(s, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, bullet, "")))
     lines = F.slice(F.filter(bare, lambda x: (F.length(x) >= SHORTEST) & (F.length(x) <= LONGEST)), 1, LINES)
     walked = json_units(rows, F.coalesce(mapping, F.lit(""))).select(F.col("id").alias("_id"), F.col("units").alias("_u"))
     df = df.join(walked, walks.text_id(s) == F.col("_id"), "left")
@@ -53,9 +55,9 @@ def with_units(rows: DataFrame, mapping: str, model: str, original: str) -> Data
     return df.select(*rows.columns, F.when(F.size("_once") > 0, F.col("_once")).otherwise(fallback).alias("_units"))
 
 
-def evidence(rows: DataFrame, dictionary: dict[str, list[str]], mapping: str = "forward_mapping", model: str = "information_model", original: str = "original_text", reconstructed: str = "reconstructed_text", key: str = "roundtrip_id") -> DataFrame:
+def evidence(rows: DataFrame, dictionary: dict[str, list[str]], mapping: str = "forward_mapping", model: str = "information_model", original: str = "original_text", reconstructed: str = "reconstructed_text", key: str = "roundtrip_id", bullet: str = LIST_SIGNS) -> DataFrame:
     """One row per unit: evidence_unit_id, source_element_id and _key, label, span, unit_text, method, path, cue_groups."""
-    u = with_units(rows, mapping, model, original).select(*rows.columns, F.posexplode("_units").alias("unit", "_x")).select(*rows.columns, "unit", "_x.*")
+    u = with_units(rows, mapping, model, original, bullet).select(*rows.columns, F.posexplode("_units").alias("unit", "_x")).select(*rows.columns, "unit", "_x.*")
     parts = F.concat_ws(" | ", *(F.nullif(F.col(c), F.lit("")) for c in ("span", "label", "source_element_id", model)))
     u = u.withColumn("unit_text", parts)
     eid = F.concat(F.lit("ev_"), stable_id(F.col(key), F.col("unit").cast("string"), F.col("unit_text")))

@@ -339,7 +339,8 @@ ev AS (SELECT doc_id, roundtrip_id, sentence_id, information_model, llm, meaning
 
 
 def _evidence(spark, sf_dir):
-    return evidence.evidence(_mappings(spark, sf_dir), fx.CUES)
+    # a word that is a number belongs to its line
+    return evidence.evidence(_mappings(spark, sf_dir), fx.CUES, bullet=evidence.LIST_MARKS)
 
 
 @query(f"WITH {_UNITS} SELECT roundtrip_id, source_element_id, label, span, method, source_element_key FROM ev")

@@ -215,3 +215,13 @@ def test_runner(spark):
 def test_blank_columns(spark):
     df = spark.createDataFrame([(1, " ", None), (2, "", None)], "a int, b string, c string")
     assert relational.without_blank_columns(df).columns == ["a"]
+
+
+NUMBERED = "* 137 of it\n2. two of it\n\u2022 3) three of it\n- 4.5 of it\n12 of it"
+
+
+def test_a_number_that_is_a_word_stays_in_its_line(spark):
+    df = spark.createDataFrame([("r1", NUMBERED, "en", "o", "r")], "roundtrip_id string, forward_mapping string, information_model string, original_text string, reconstructed_text string")
+    lines = lambda bullet: [r["label"] for r in evidence.evidence(df, {}, bullet=bullet).orderBy("unit").collect()]
+    assert lines(evidence.LIST_MARKS) == ["137 of it", "two of it", "three of it", "4.5 of it", "12 of it"]
+    assert lines(evidence.LIST_SIGNS) == ["of it", "two of it", "three of it"]
