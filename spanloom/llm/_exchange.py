@@ -11,8 +11,8 @@ Chunks and answers are two tables bucketed by chunk, with as many buckets as the
 tables side by side and move neither again. Tables lie in the shared folder, so a lost executor
 costs at most the running round; they are dropped at the end or when a round fails.
 
-Blocks number chunks times buckets: at 16 MB a bucket and 8 MB a chunk they hold over a thousand
-keys up to 2 TB of text and a hundred up to 20 TB; beyond, both sizes have to be raised.
+Blocks number chunks times buckets, so the keys that one holds become fewer as the corpus grows;
+for very large ones both sizes have to be raised.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spanloom.llm._words import distinct, trim, trimmed
 from spanloom.session import fresh_path, remove, stored
 
-BUCKET_BYTES, TASK_BYTES, MOST_TASKS = 16 << 20, 24 << 20, 50_000
+BUCKET_BYTES, TASK_BYTES, MOST_TASKS = 12 << 20, 24 << 20, 50_000
 ASK = "chunk long, kind int, bucket int, body binary"
 PACKED = "chunk long, size long, payload binary"
 _COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()

@@ -113,6 +113,7 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k >>= bits
     if (new[1:] & (k[1:] == k[:-1])).any():
         return np.unique(x, return_index=True, return_inverse=True)
+    del k
     which = np.empty(n, np.int64)
     which[order] = np.cumsum(new) - 1
     return values[new], order[new], which
@@ -178,7 +179,8 @@ def remainder(ids: list, modulus: int) -> np.ndarray:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
+    """Gives freed memory back to the system, Arrow's too: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

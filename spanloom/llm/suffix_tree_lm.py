@@ -35,7 +35,7 @@ from spanloom.llm._exchange import Corpus, answered, ask, kinds, pack, unpack
 from spanloom.llm._words import Words, distinct, mix, remainder, texts_of
 
 DEPTH, MIN_COUNT, PENALTY = 3, 2, 1.0
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 5 << 20
 HELD_OUT = (5, 1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
 
@@ -120,7 +120,8 @@ class State:
         (c1,) = answered(table, 0)
         self.c1 = np.abs(c1.astype(np.int64))
         self.base = ((self.c1 + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))[self.index]
-        self.p, self.count, self.deep = self.base, self.c1[self.index], np.zeros(len(index), np.int8)
+        self.whole = np.int32 if model["n"] < 2**31 else np.int64
+        self.p, self.count, self.deep = self.base, self.c1.astype(self.whole)[self.index], np.zeros(len(index), np.int8)
         self.key, self.number, self.gram = self.words, self.index, self.words[self.index]
 
     def unigrams(self) -> np.ndarray:
@@ -146,7 +147,7 @@ class State:
     def counted(self, table: pa.Table) -> None:
         """Takes the training counts of the open level's n-grams."""
         level = self.level
-        self.count = np.zeros(len(self.index), np.int64)
+        self.count = np.zeros(len(self.index), self.whole)
         self.signed = np.zeros(0, np.int64)
         if len(level.at):
             self.signed = answered(table, 2 * self.depth)[0].astype(np.int64)

@@ -318,3 +318,16 @@ def test_random_and_encoded_texts_leave_the_bands(spark):
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = compression_bands.judge(made).collect()
     assert len(got) == 8 and all(r["n_words"] > 50 and not r["base_failed"] and not r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("n, size", [(10, 4), (2**31, 8)])
+def test_states_of_a_chunk_hold_counts_no_wider_than_they_need(n, size):
+    from spanloom.llm import _exchange, suffix_tree_lm
+
+    one, words = np.array([1]), np.array([3, 5], np.uint64)
+    payload = _exchange.pack(one, np.zeros(1, np.uint8), np.ones(1, np.uint8), np.array([4], np.int32), words, np.array([0, 1, 0, 1], np.uint32))
+    answer = _exchange.rows_table([(0, 0, 0, _exchange.pack(np.array([-7, 2], np.int32)))])
+    state = suffix_tree_lm.State(payload, answer, {"n": n, "v": 2, "min_count": 2, "depth": 1})
+    assert state.count.tolist() == [7, 2, 7, 2] and state.count.itemsize == size
+    state.open()
+    assert state.before.itemsize == size
