@@ -1,9 +1,10 @@
 """Near copies by shingle similarity: SimHash fingerprints, pivot distance tables, exact check.
 
 Texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity`` are
-linked. At 0.8 their fingerprints differ in about ten bits of 64 and in up to ``WIDE``, which is
-too many for keys made of fingerprint bits, so candidates share one of ``BANDS`` keys, each of
-``ROWS`` min-hashes. A pair of similarity s has none in common with probability
+linked. Texts whose fingerprints differ in at most ``RADIUS`` bits are found as in
+:mod:`simhash_pivots`, by mask groups, pivot tables and Hamming distance (:func:`by_masks`). At 0.8
+fingerprints differ in about ten bits of 64 and in up to ``WIDE``, which is too many for keys made
+of fingerprint bits, so further candidates share one of ``BANDS`` keys, each of ``ROWS`` min-hashes. A pair of similarity s has none in common with probability
 (1 - s**ROWS)**BANDS, 4e-5 at 0.8.
 
 In a key's group the fingerprints' distances to the pivots are computed; a pair is discarded once
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm._exchange import text_bytes
 from spanloom.llm._words import Words, buffers, mix, slices, window_hash, trimmed
-from spanloom.llm.simhash_pivots import _PIVOTS, fingerprint
+from spanloom.llm.simhash_pivots import _PIVOTS, RADIUS, fingerprint
+from spanloom.llm.simhash_pivots import links as fingerprint_links
 from spanloom.operators.components import connected_components
 from spanloom.session import discard, parts_of, stored
 
@@ -175,6 +177,18 @@ def _forests(rows: DataFrame) -> DataFrame:
     return rows.select("key", *MARKS).mapInArrow(trimmed(run), "a long, b long")
 
 
+def by_masks(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of texts (a, b) that join all whose fingerprints differ in at most radius bits, from
+    the pivot tables of mask groups; texts of one fingerprint meet the least of them."""
+    texts = marked.select("tid", "fp").distinct()
+    nodes = stored(texts.groupBy("fp").agg(F.min("tid").alias("rep")), "copies-nodes")
+    near = fingerprint_links(nodes, radius)
+    same = texts.join(nodes, "fp").filter("tid != rep").select(F.col("rep").alias("a"), F.col("tid").alias("b"))
+    out = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), "copies-masked")
+    discard(nodes, near)
+    return out
+
+
 def candidates(marked: DataFrame, group: int = GROUP) -> DataFrame:
     """Pairs of texts (a, b) from every key's forest; marked as from :func:`sketches`."""
     spark = marked.sparkSession
@@ -361,7 +375,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     spark = docs.sparkSession
     marked = stored(sketches(known, shingle), "copies-sketches", parts_of(spark, text_bytes(known), READ))
     parts = parts_of(spark, marked.count(), PART)
-    pairs = candidates(marked, group=group)
+    masked, keyed = by_masks(marked), candidates(marked, group=group)
+    pairs = stored(masked.unionByName(keyed).distinct(), "copies-pairs", parts)
     links = checked(known, marked, pairs, shingle, similarity)
     more = remaining(known, marked, links, shingle, similarity, group)
     rep = marked.groupBy("tid").agg(F.min("doc_id").alias("rep"))
@@ -370,7 +385,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = stored(joined.join(least, "component").select("tid", "component_id"), "copies-named", parts)
     out = stored(marked.select("doc_id", "tid").join(named, "tid").select("doc_id", "component_id"), "copies-components", parts)
-    discard(marked, pairs, links, more, joined, named)
+    discard(marked, masked, keyed, pairs, links, more, joined, named)
     return out
 
 

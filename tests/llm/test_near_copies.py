@@ -82,3 +82,14 @@ def test_large_keys_lose_no_pair(spark):
     data = family(200, 3, 6)
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(data, SCHEMA).repartition(4), group=30).collect()}
     assert got == components(data)
+
+
+def test_mask_groups_link_copies_without_a_common_key(spark, monkeypatch):
+    none = lambda *a, **k: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "candidates", none)
+    monkeypatch.setattr(near_copies, "remaining", none)
+    rng = random.Random(3)
+    base = " ".join("v%d" % rng.randrange(900) for _ in range(3000))
+    data = [(1, base, "s", "x", None), (2, base + " tail", "s", "x", None), (3, "another text of its own words", "s", "x", None)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == components(data) == {1: 1, 2: 1, 3: 3}
