@@ -29,7 +29,7 @@ from spanloom.session import stored
 
 CAPACITY, CLOSING = 4096, 1
 #: Words, and parts of words, whose ids a worker remembers, and bytes of text encoded at a time.
-CACHE, SLICE = 400_000, 4 << 20
+CACHE, SLICE = 200_000, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long"
 _tokenizers: dict = {}
 

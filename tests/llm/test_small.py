@@ -331,3 +331,9 @@ def test_states_of_a_chunk_hold_counts_no_wider_than_they_need(n, size):
     assert state.count.tolist() == [7, 2, 7, 2] and state.count.itemsize == size
     state.open()
     assert state.before.itemsize == size
+
+
+def test_packing_encodes_a_megabyte_at_a_time():
+    bounds = np.arange(0, (5 << 20) + 1, 1 << 16)
+    runs = list(bin_packing.slices(np.zeros(5 << 20, np.uint8), bounds, bin_packing.SLICE))
+    assert max(len(data) for _, _, data, _ in runs) <= 1 << 20 and sum(hi - lo for lo, hi, _, _ in runs) == len(bounds) - 1
