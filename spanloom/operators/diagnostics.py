@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import cues, jsonish, sets, spans, text
 from spanloom.operators import order, relational, walks
+from spanloom.session import stored
 
 # Word list and cue groups of the diagnostics.
 STOP = (
@@ -227,6 +228,8 @@ def granularity(rows: DataFrame, source: str, spans_: str, labels: str) -> DataF
 
 def granularity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     some = lambda c: F.avg((F.col(c) > 0).cast("int"))
+    read = dict.fromkeys([*keys, *metrics, "n_long_spans", "n_full_sentence_spans"])
+    df = stored(df.select(*read), "granularity")  # medians read it several times
     s = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *(F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in metrics), some("n_long_spans").alias("pct_rows_with_long_span"), some("n_full_sentence_spans").alias("pct_rows_with_full_sentence_span"))
     return order.with_medians(s, df, keys, metrics)
 

@@ -2,7 +2,7 @@
 
 import math
 
-from spanloom.operators import models
+from spanloom.operators import diagnostics, models
 
 
 def test_paired_tfidf_moves_a_term_of_a_pair_twice(spark):
@@ -16,3 +16,10 @@ def test_paired_tfidf_moves_a_term_of_a_pair_twice(spark):
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
     assert math.isclose(cosines[1], sum(one[t] * other[t] for t in other) / size(one) / size(other))
     assert cosines[2] == cosines[3] == 0.0 and math.isclose(cosines[4], 1.0)
+
+
+def test_granularity_is_made_once_for_its_summary(spark):
+    rows = spark.createDataFrame([("m", "a b c d", ["a b", "d"], ["A", "B"]), ("m", "a", ["zz"], [""]), ("n", None, [], [])], "llm string, t string, sp array<string>, lb array<string>")
+    got = diagnostics.granularity_summary(diagnostics.granularity(rows, "t", "sp", "lb"), ["llm"], ["annotation_density"])
+    assert got.inputFiles() and all("granularity-" in f for f in got.inputFiles())
+    assert {r["llm"]: (r["n_rows"], r["median_annotation_density"]) for r in got.collect()} == {"m": (2, 0.75), "n": (1, 0.0)}
