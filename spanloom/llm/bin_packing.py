@@ -14,7 +14,6 @@ rows are packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm._words import Words, buffers, distinct, slices, trimmed
+from spanloom.llm._words import _LOWER, Words, buffers, distinct, run_hash, slices, trimmed
 from spanloom.session import stored
 
 CAPACITY, CLOSING = 4096, 1
 #: Words, and parts of words, whose ids a worker remembers, and bytes of text encoded at a time.
-CACHE, SLICE = 200_000, 1 << 20
+CACHE, SLICE = 800_000, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long"
 _tokenizers: dict = {}
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[list(_SIGNS.encode())] = True
 
 
 def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,31 +45,40 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
 
 
 class Runs:
-    """Numbered runs of ids by name, in one growing array."""
+    """Runs of ids, each under the 64-bit hash of its word, in one growing array."""
 
     def __init__(self):
-        self.number: dict = {}
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
-    def add(self, names: list, ids: np.ndarray, n: np.ndarray) -> None:
-        have = len(self.number)
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The run of each hash, -1 where there is none."""
+        if len(self.hashes) == 0:
+            return np.full(len(hashes), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[i] == hashes, self.place[i], -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Runs of n ids each under new, distinct hashes."""
+        have = len(self.hashes)
         begin = int(self.at[have])
         while begin + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while have + len(names) + 1 > len(self.at):
+        while have + len(hashes) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[begin : begin + len(ids)] = ids
-        self.at[have + 1 : have + 1 + len(names)] = begin + np.cumsum(n)
-        self.number.update(zip(names, range(have, have + len(names)), strict=True))
+        self.at[have + 1 : have + 1 + len(hashes)] = begin + np.cumsum(n)
+        order = np.argsort(hashes)
+        to = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.place = np.insert(self.hashes, to, hashes[order]), np.insert(self.place, to, have + order)
 
 
 class WordEncoder:
     """Token ids of texts, word by word: the vocabulary drops white space and never merges across
-    it. Only the distinct words of many texts are looked at one by one; a word of plain letters,
-    maybe with signs after them, is encoded as those two parts, the letters in lower case. Ids of
-    words and parts are remembered, up to a bound."""
+    it. A word of plain letters (of ASCII and Latin-1), maybe with signs after them, is encoded as
+    those two parts, the letters in lower case. Only parts that are new are looked at one by one;
+    ids of words and parts are remembered under their hashes, up to a bound."""
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
     MARK, GROUP = "\x01", 200
 
     def __init__(self, path: str):
@@ -76,7 +88,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._each([self.MARK])[0]
         samples = ("Ab.", "ÉÀ)", "x<|", "It...", "Zz\\", "a,")
-        self.parted = all(sum(self._each([m[1].lower(), m[2]]), []) == self._each([w])[0] for w in samples if (m := self.PLAIN.fullmatch(w)))
+        self.parted = all(sum(self._each([w.rstrip(_SIGNS).lower(), w[len(w.rstrip(_SIGNS)) :]]), []) == self._each([w])[0] for w in samples)
         self.words, self.parts = Runs(), Runs()
 
     def _each(self, parts: list[str]) -> list[list[int]]:
@@ -95,36 +107,49 @@ class WordEncoder:
         each = self._each(parts)
         return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.parts.number) > CACHE:
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Remembers the words data[start:end], all new."""
+        if len(self.parts.hashes) > CACHE:
             self.parts = Runs()
-        split = []
-        for raw in words:
-            word = raw.decode()
-            m = self.PLAIN.fullmatch(word) if self.parted else None
-            split += (m[1].lower(), m[2]) if m else (word, "")
-        number = self.parts.number
-        new = list(dict.fromkeys(p for p in split if p not in number))
+        middle, lower = end, data
+        if self.parted:
+            first = np.append(data[1:], np.uint8(0))
+            two = (data == 0xC3) & (first >= 0x80) & (first <= 0xBF) & (first != 0x97) & (first != 0xB7)
+            second = np.concatenate([[False], two[:-1]])
+            stop = np.append(np.flatnonzero(~(_LETTER[data] | two | second)), len(data))
+            middle = np.minimum(stop[np.searchsorted(stop, start)], end)
+            stop = np.append(np.flatnonzero(~_SIGN[data]), len(data))
+            plain = (middle > start) & (stop[np.searchsorted(stop, middle)] >= end)
+            middle = np.where(plain, middle, end)
+            lower = np.where(second & (data >= 0x80) & (data <= 0x9E), data + np.uint8(32), _LOWER[data])
+        # each word is two parts, the second maybe empty
+        flags = np.column_stack([plain if self.parted else np.zeros(len(start), bool), np.zeros(len(start), bool)]).ravel()
+        begins, ends = np.column_stack([start, middle]).ravel(), np.column_stack([middle, end]).ravel()
+        key = run_hash(data, begins, ends)
+        key[flags] = run_hash(lower, begins[flags], ends[flags])
+        keys, at, which = distinct(key)
+        new = np.flatnonzero(self.parts.numbers(keys) < 0)
+        raw = (data.tobytes(), lower.tobytes())
         for i in range(0, len(new), 50_000):
-            self.parts.add(new[i : i + 50_000], *self._encoded(new[i : i + 50_000]))
-        flat, ends = _gather(self.parts.flat, self.parts.at, np.array([number[p] for p in split], np.int64))
-        self.words.add(words, flat, np.diff(ends[1::2], prepend=0))
+            k = new[i : i + 50_000]
+            names = [raw[f][a:b].decode() for f, a, b in zip(flags[at[k]].tolist(), begins[at[k]].tolist(), ends[at[k]].tolist(), strict=True)]
+            self.parts.add(keys[k], *self._encoded(names))
+        flat, ends = _gather(self.parts.flat, self.parts.at, self.parts.numbers(keys)[which])
+        self.words.add(hashes, flat, np.diff(ends[1::2], prepend=0))
 
     def ids(self, data: np.ndarray, bounds: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the closing id, and where each text's ids begin."""
-        if len(self.words.number) > CACHE:
+        if len(self.words.hashes) > CACHE:
             self.words = Runs()
         w = Words(data, bounds)
-        _, first, which = distinct(w.hashes())
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        number = self.words.number
-        if new := [x for x in words if x not in number]:
-            self._learn(new)
-        flat, ends = _gather(self.words.flat, self.words.at, np.array([number[x] for x in words], np.int64))
+        keys, first, which = distinct(w.hashes())
+        new = np.flatnonzero(self.words.numbers(keys) < 0)
+        if len(new):
+            self._learn(data, w.start[first[new]], w.end[first[new]], keys[new])
+        flat, ends = _gather(self.words.flat, self.words.at, self.words.numbers(keys))
         at = np.concatenate([[0], ends, ends[-1:] + 1 if len(ends) else [1]])
         flat = np.append(flat, np.uint32(closing))
-        units = np.full(len(which) + len(bounds) - 1, len(words), np.int64)
+        units = np.full(len(which) + len(bounds) - 1, len(keys), np.int64)
         last = np.cumsum(w.count + 1) - 1
         inner = np.ones(len(units), bool)
         inner[last] = False

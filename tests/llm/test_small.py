@@ -337,3 +337,20 @@ def test_packing_encodes_a_megabyte_at_a_time():
     bounds = np.arange(0, (5 << 20) + 1, 1 << 16)
     runs = list(bin_packing.slices(np.zeros(5 << 20, np.uint8), bounds, bin_packing.SLICE))
     assert max(len(data) for _, _, data, _ in runs) <= 1 << 20 and sum(hi - lo for lo, hi, _, _ in runs) == len(bounds) - 1
+
+
+def test_encoder_remembers_words_by_hash():
+    """Odd words are encoded as the tokenizer does; words met before do not reach it again, however many."""
+    import public_tokenizers
+
+    encoder = bin_packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    odd = "Été ÉTÉ, ÀÖØÞ) ß×a a÷b ÿ... don't it's! A1b, !? É x×, 𝔸b \x01 Zürich-Öl ÑANDÚ¿ ǅa ab C".split(" ")
+    texts = [" ".join(odd), "", odd[1], " ".join(f"W{i:x}," for i in range(250_000))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, at = encoder.ids(data, bounds, 1)
+    assert [ids[a:b].tolist() for a, b in zip(at[:3], at[1:4])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts[:3]]
+    met = []
+    encoder._each = lambda parts: met.append(parts)
+    again, _ = encoder.ids(data, bounds, 1)
+    assert not met and (again == ids).all()
