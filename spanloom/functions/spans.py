@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,16 +34,23 @@ def nth_start(text: Column, span: Column, n: Column) -> Column:
 def token_offsets(text: Column, pattern: str = TOKEN) -> Column:
     """Places of word tokens: each match's length, and those of the pieces between the matches."""
     text = F.coalesce(text, F.lit(""))
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, t: F.struct(F.length(b).alias("skip"), F.length(t).alias("n")))
-    # An array grows by copying, so places are made block by block, each from the characters before its block.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
     running = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     size = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["skip"] + x["n"])
-    bases = F.aggregate(blocks, running, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    bases = lambda blocks: F.aggregate(blocks, running, lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
     start = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     add = lambda s, x: F.struct((s["at"] + x["skip"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + x["n"]).alias("end")))).alias("out"))
-    return F.flatten(F.zip_with(blocks, bases, lambda block, at: F.aggregate(block, start(at), add, lambda s: s["out"])))
+    # An array grows by copying, so places are made block by block, each from the characters before its block.
+    cut = lambda steps: F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
+    placed = lambda blocks: F.flatten(F.zip_with(blocks, bases(blocks), lambda block, at: F.aggregate(block, start(at), add, lambda s: s["out"])))
+    step = lambda b, t: F.struct(F.length(b).alias("skip"), F.length(t).alias("n"))
+    # after the last token there is one more piece than tokens
+    steps = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), step), lambda x: x["n"].isNotNull())
+    return once(steps, lambda steps: once(cut(steps), placed))
+
+
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is computed once however often then names it: inside a lambda a column's expression runs for every element."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
 def token_span(offsets: Column, start: Column, end: Column) -> Column:

@@ -225,3 +225,9 @@ def test_a_number_that_is_a_word_stays_in_its_line(spark):
     lines = lambda bullet: [r["label"] for r in evidence.evidence(df, {}, bullet=bullet).orderBy("unit").collect()]
     assert lines(evidence.LIST_MARKS) == ["137 of it", "two of it", "three of it", "4.5 of it", "12 of it"]
     assert lines(evidence.LIST_SIGNS) == ["of it", "two of it", "three of it"]
+
+
+def test_tokens_are_searched_for_once(spark):
+    """An expression inside a lambda runs for each block, so the text's search must stand outside of it, once."""
+    found = spark.range(1).select(spans.token_offsets(F.col("id").cast("string"), "[a-z]+").alias("o"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
