@@ -82,7 +82,17 @@ def groups_in(text: Column, cues: dict[str, list[str]]) -> Column:
 def pattern_groups(text: Column, patterns: dict[str, list[str]]) -> Column:
     """Groups with a matching regular expression."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(low.rlike("|".join(f"(?:{p})" for p in ps)), g) for g, ps in patterns.items())))
+    return F.array_compact(F.array(*(F.when(low.rlike(one_pattern(ps)), g) for g, ps in patterns.items())))
+
+
+def one_pattern(ps: list[str]) -> str:
+    """A pattern that is found where one of ps is. If all are words (a literal letter or more between
+    boundaries), a text is searched for their first letters and the boundary before their alternatives."""
+    words = [m for p in ps if (m := re.fullmatch(r"\\b(([a-z])[a-z][^|\\]*|([a-z])[a-z](?:[^|\\()]|\(\?:[^()\\]*\))*)\\b", p))]
+    if len(words) < len(ps) or not ps:
+        return "|".join(f"(?:{p})" for p in ps)
+    first = "".join(sorted({m[2] or m[3] for m in words}))
+    return rf"(?=[{first}])\b(?:" + "|".join(m[1] for m in words) + r")\b"
 
 
 def group_features(o: Column, r: Column, name: str) -> list[Column]:

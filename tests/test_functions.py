@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from spanloom.functions import jsonish, sets, spans, text
+from spanloom.functions import cues, jsonish, sets, spans, text
 from spanloom.operators import components, crosswalk, diagnostics, evidence, graph, relational, resolve, roundtrip
 from spanloom.sources import files
 
@@ -231,3 +231,18 @@ def test_tokens_are_searched_for_once(spark):
     """An expression inside a lambda runs for each block, so the text's search must stand outside of it, once."""
     found = spark.range(1).select(spans.token_offsets(F.col("id").cast("string"), "[a-z]+").alias("o"))
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+
+
+def test_one_pattern_finds_what_its_parts_find():
+    import random
+    import re
+
+    assert cues.one_pattern([r"\bno\b", r"\bneeds? to\b"]) == r"(?=[n])\b(?:no|needs? to)\b"
+    for other in ([r"\bno\b", "x+"], [r"\ba|b\b"], [r"\ba?b\b"], [r"\b(a|b)\b"]):
+        assert cues.one_pattern(other) == "|".join(f"(?:{p})" for p in other)
+    r = random.Random(5)
+    words = sorted({w for ps in cues.PATTERNS.values() for p in ps for w in re.sub(r"\\b|[()?:|\[\]]", " ", p).split()})
+    for ps in cues.PATTERNS.values():
+        for _ in range(200):
+            t = "".join(r.choice(words) + r.choice(["", " ", " ", "s ", "-", "ed ", "é "]) for _ in range(6))
+            assert bool(re.search(cues.one_pattern(ps), t)) == bool(re.search("|".join(f"(?:{p})" for p in ps), t)), (ps, t)
