@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import cues, text
 from spanloom.operators import walks
 from spanloom.operators.evaluation import stable_id
+from spanloom.session import once
 
 # Keys under which mappings keep identifiers, labels and texts.
 ID_KEYS = ("id", "node_id", "concept_id", "term_id", "code", "uri", "iri", "class_id", "element_id")
@@ -21,8 +22,8 @@ LIST_SIGNS, LIST_MARKS = r"^[\s\-*•\d.)]+", r"^(?:[\s\-*•.)]|\d+[.)](?!\S))+
 def json_units(df: DataFrame, raw: Column) -> DataFrame:
     """id (of the text), units: node-like objects of JSON or of a Python literal at any depth, in document order."""
     objects = walks.containers(walks.texts_of(df, raw)).filter("kind = 'OBJECT'")
-    read = objects.select("id", "place", "path", *(walks.first_of(F.col("members"), keys).alias(n) for n, keys in (("i", ID_KEYS), ("l", LABEL_KEYS), ("s", TEXT_KEYS))))
-    i, label, span = F.col("i"), F.col("l"), F.col("s")
+    read = objects.select("id", "place", "path", once(F.struct(*(walks.first_of(F.col("members"), keys).alias(n) for n, keys in (("i", ID_KEYS), ("l", LABEL_KEYS), ("s", TEXT_KEYS))))).alias("u"))
+    i, label, span = F.col("u.i"), F.col("u.l"), F.col("u.s")
     either = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
     unit = F.struct(i.alias("source_element_id"), either(label, span, i).alias("label"), either(span, label, i).alias("span"), F.lit("json_object").alias("method"), F.col("path").alias("path"))
     return walks.per_text(read.filter((i != "") | (label != "") | (span != "")), units=unit)

@@ -107,3 +107,17 @@ def test_elements_that_a_mapping_names(spark):
             if o.get("union_element_id"):
                 wanted.append((i, path, shown(o["union_element_id"]), turn(o, "span_text"), turn(o, "value", "decision"), "sentence_level_decision" if o["union_element_id"] == 99 else "span_annotation"))
     assert got == sorted(wanted)
+
+
+def test_texts_are_made_once(spark):
+    """A costly text is evaluated once a row, not in each filter, key and join of a walk."""
+    for walk in (lambda d, raw: walks.under_keys(d, raw, diagnostics.UNMATCHED_KEYS), walks.element_mentions):
+        calls = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def made(x, calls=calls):
+            calls.add(1)
+            return x
+
+        df = spark.createDataFrame([(i, '{"not_covered": ["x", %d], "union_element_id": "E"}' % i) for i in range(12)], "k long, raw string")
+        assert walk(df, made("raw")).count() == 12 and calls.value == 12, calls.value
