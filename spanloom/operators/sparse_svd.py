@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import retrieval
-from spanloom.session import stored
+from spanloom.session import parts_of, stored
 
 # Terms of the vocabulary and components.
 MOST_TERMS, COMPONENTS = 10_000, 128
 BLOCK, TOLERANCE, PASSES = 32, 1e-6, 200
 _ENTRIES = 1 << 16
+#: Text of a task that counts terms: its distinct terms are a hash table there.
+TASK_BYTES = 8 << 20
 
 
 @dataclass
@@ -37,7 +39,8 @@ class Vectors:
 
 
 def vocabulary(terms: DataFrame, key: str, documents: int, most: int = MOST_TERMS) -> tuple[list[str], np.ndarray]:
-    """The terms with the most occurrences (then by name), in order of name, and their idf: at most so many rows reach the driver."""
+    """The terms with the most occurrences (then by name), in order of name, and their idf: at most so many rows reach the driver.
+    Of terms that are dealt out by key a task moves a row for each distinct one."""
     counts = terms.groupBy(key, "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
     top = sorted((r["term"], r["df"]) for r in counts.orderBy(F.desc("n"), F.asc("term")).limit(most).collect())
     return [t for t, _ in top], np.array([np.log((1 + documents) / (1 + d)) + 1 for _, d in top])
@@ -151,8 +154,9 @@ def reduced_rows(rows: DataFrame, key: str, right: np.ndarray) -> DataFrame:
 def text_vectors(df: DataFrame, key: str, text: str, k: int = COMPONENTS, most: int = MOST_TERMS, tolerance: float = TOLERANCE) -> tuple[DataFrame, Vectors]:
     """key, vector of each text (unit length; k components at most, fewer if there are fewer texts or terms), and the model.
     Texts without a term of the vocabulary get no row. With two texts or terms at most the weights themselves are the vector."""
-    terms = stored(retrieval.grams(df, key, text), "grams")
-    n = df.select(key).distinct().count()
+    # texts move by key and terms are made of them where they are, twice: nothing as long as all grams is stored or moved
+    n, size = df.select(key).distinct().count(), df.agg(F.sum(F.octet_length(text))).first()[0]
+    terms = retrieval.grams(df.select(key, text).repartition(parts_of(df.sparkSession, size or 0, TASK_BYTES), key), key, text)
     names, idf = vocabulary(terms, key, n, most)
     rows = stored(sparse_rows(terms, key, names, idf), "sparse-rows")
     least = min(n, len(names))

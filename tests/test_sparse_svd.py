@@ -59,3 +59,16 @@ def test_few_texts_and_low_rank(spark):
     y = np.array([r["vector"] for r in sorted(got.collect())])
     assert np.allclose(y @ y.T, np.block([[np.ones((9, 9)), np.zeros((9, 1))], [np.zeros((1, 9)), 1]]), atol=1e-6) and np.allclose(model.values[:2], [3, 1]) and np.abs(model.values[2:]).max() < 1e-6
     assert sparse_svd.text_vectors(same.limit(0), "id", "text")[0].count() == 0
+
+
+def test_grams_are_not_written(spark, monkeypatch):
+    """What is written has at most a row a text, and equal keys are one text wherever their rows are."""
+    written, stored = [], sparse_svd.stored
+    monkeypatch.setattr(sparse_svd, "stored", lambda df, name, *a: written.append(stored(df, name, *a)) or written[-1])
+    texts = prose(30, 2)
+    df = spark.createDataFrame([(i % 15, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    got, model = sparse_svd.text_vectors(df, "id", "text", 4)
+    assert got.count() == 15 and max(w.count() for w in written) <= 15
+    term = next(t for t in model.terms if " " not in t)
+    have = len({i % 15 for i, t in enumerate(texts) if term in t.split()})
+    assert abs(model.idf[model.terms.index(term)] - np.log(16 / (1 + have)) - 1) < 1e-12
