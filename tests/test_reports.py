@@ -3,6 +3,7 @@
 import os
 import time
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -151,3 +152,52 @@ def test_scores_of_three_kinds_and_hybrid_sets(spark):
     metrics, kept = models.experiments({"all": (df, df)}, {"hybrid": sets["hybrid"]}, ["linear"], thresholds=True)
     by = {(r["feature_set"], r["model"]): r["accuracy"] for r in metrics.collect()}
     assert by["hybrid", "linear"] == 1.0 and ("none", "majority") in by and kept.count() == 8
+
+
+def test_texts_of_all_splits_are_counted_in_one_reading(spark):
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    texts = {i: None if i == 7 else " ".join(words[(i * j + j * j // 3) % (2 + i % 7)] for j in range(i % 13)) + " x" * (i % 2) for i in range(90)}
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(k):
+        seen.add(1)
+        return texts[k]
+
+    df = spark.range(90).repartition(3).select("id", (F.col("id") % 3 == 1).cast("int").alias("y"), F.when(F.col("id") % 11 > 0, F.col("id") % 2).alias("part"), read.asNondeterministic()("id").alias("t"))
+    schemes = {"leave": F.col("part")}
+    tests = {f"leave_{v}": F.coalesce(F.col("part") == v, F.lit(False)) for v in (0, 1)}
+    counted = evaluation.term_counts(df, "y", tests, "t", features=9)
+    assert seen.value == 90 and "t" not in counted.columns
+    frames = evaluation.split_frames(counted, "y", schemes)
+    assert sorted(frames) == sorted(tests)
+
+    def terms(i):
+        w = [x for x in (texts[i] or "").split() if len(x) > 1]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    rows = {r["id"]: r["t_counts"] for r in counted.collect()}
+    tops = {}
+    for v in (0, 1):
+        n = Counter(t for i in range(90) if i % 11 == 0 or i % 2 != v for t in terms(i))
+        tops[v] = sorted(n, key=lambda t: (-n[t], " " in t, t))[:9]
+    assert any(" " in t for t in tops[0] + tops[1]) and tops[0] != tops[1]
+    vocabulary = sorted({*tops[0], *tops[1]}, key=lambda t: (" " in t, t))
+    for i, vector in rows.items():
+        assert list(vector.toArray()) == [terms(i).count(t) for t in vocabulary], i
+    for v in (0, 1):
+        slicer = evaluation.count_stages(frames[f"leave_{v}"][0], "t_counts", "out", 9)[0]
+        assert [vocabulary[j] for j in slicer.getIndices()] == sorted(tops[v], key=vocabulary.index)
+
+
+def test_scores_from_counts_are_those_from_texts(spark):
+    df = spark.createDataFrame([(i, float(i % 10), f"good w{i % 7} fine w{i % 4}" if i % 3 else f"bad poor w{i % 5}", int(i % 3 > 0) if i % 8 else 1 - int(i % 3 > 0), i % 2) for i in range(120)], "id int, length_ratio double, t string, y int, part int")
+    schemes = {"leave": F.col("part")}
+    tests = evaluation.split_tests(df, "y", schemes)
+    plain, counted = (evaluation.split_frames(x, "y", schemes, tests) for x in (df, evaluation.term_counts(df, "y", tests, "t")))
+    for name in tests:
+        a, b = ({r["id"]: r["score"] for r in evaluation.fit_score(*frames[name], "lr", ["length_ratio"], [], "y", text).collect()} for frames, text in ((plain, "t"), (counted, "t_counts")))
+        assert len(a) == 60 and b == pytest.approx(a, abs=1e-4), name
+    results, kept = models.experiments(counted, {"hybrid": (["length_ratio"], [], "t_counts")}, ["lr"], thresholds=True)
+    assert [(r["split"], r["model"], r["n"]) for r in results.orderBy("split", "model").collect()] == [(f"leave_{v}", m, 60) for v in (0, 1) for m in ("lr", "majority")] and kept.count() == 16
+    assert evaluation.term_counts(df.withColumn("t", F.lit(None).cast("string")), "y", tests, "t").first()["t_counts"].size == 1
