@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.relational import top_per_group
 
 
+def words(text: Column) -> Column:
+    """The words of two letters or more, in small letters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def grams(df: DataFrame, key: str, text: str, bigrams: bool = True) -> DataFrame:
     """key, term for words of two letters or more and their bigrams."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    rows = df.select(key, words.alias("w"))
+    rows = df.select(key, words(F.col(text) if isinstance(text, str) else text).alias("w"))
     pair = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     return rows.select(key, F.explode(F.concat("w", pair) if bigrams else F.col("w")).alias("term"))
 
