@@ -72,3 +72,17 @@ def test_grams_are_not_written(spark, monkeypatch):
     term = next(t for t in model.terms if " " not in t)
     have = len({i % 15 for i, t in enumerate(texts) if term in t.split()})
     assert abs(model.idf[model.terms.index(term)] - np.log(16 / (1 + have)) - 1) < 1e-12
+
+
+def test_terms_named_by_few_blocks(spark, monkeypatch):
+    """Blocks that leave out their rare terms give the same vocabulary, and no row a term is moved but for those; where bounds are too wide all are named."""
+    texts = prose(400, 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    asked, counting = [], sparse_svd._counting
+    monkeypatch.setattr(sparse_svd, "_counting", lambda least: asked.append(least) or counting(least))
+    monkeypatch.setattr(sparse_svd, "LARGE_BYTES", 1)
+    for words, most, wanted in ((2000, 40, [6]), (300, 40, [6, 1]), (300, 3000, [6, 1])):
+        asked.clear()
+        monkeypatch.setattr(sparse_svd, "BLOCK_WORDS", words)
+        model = sparse_svd.text_vectors(df, "id", "text", 4, most)[1]
+        assert model.terms == dense(texts, most)[1] and asked == wanted, (words, most, asked)
