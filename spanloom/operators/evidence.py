@@ -2,25 +2,124 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import cues, text
 from spanloom.operators import walks
 from spanloom.operators.evaluation import stable_id
-from spanloom.session import once
+from spanloom.session import once, stored
 
 # Keys under which mappings keep identifiers, labels and texts.
 ID_KEYS = ("id", "node_id", "concept_id", "term_id", "code", "uri", "iri", "class_id", "element_id")
 LABEL_KEYS = ("label", "name", "term", "title", "class", "predicate", "property", "element", "concept", "node")
 TEXT_KEYS = ("text", "phrase", "span", "value", "content", "verbatim", "sentence", "description")
+_GROUP_OF = {k: i for i, keys in enumerate((ID_KEYS, LABEL_KEYS, TEXT_KEYS)) for k in keys}
 LONGEST, SHORTEST, LINES = 240, 4, 50
 #: What goes at a line's beginning: any signs and digits of a list, or a number only with its dot or bracket.
 LIST_SIGNS, LIST_MARKS = r"^[\s\-*•\d.)]+", r"^(?:[\s\-*•.)]|\d+[.)](?!\S))+"
+_UNIT = "struct<source_element_id:string,label:string,span:string,method:string,path:string>"
+#: Texts whose units a task holds at once.
+_TEXTS = 256
+_HALF_PAIR = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+class _Other(Exception):
+    """A text whose values the JVM writes in another form than Python."""
+
+
+def _other(_):
+    raise _Other
+
+
+def _shown(v) -> str:
+    """As the level walk shows a member, without blanks around it."""
+    if v is None:
+        return ""
+    if isinstance(v, (dict, list)):
+        v = json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+        if "\\u00" in v:
+            raise _Other
+    return str(v).strip(" ")
+
+
+def _walked(root) -> list[tuple[str, str, str, str]]:
+    """id, label, span and path of the node-like objects in a parsed text, in document order."""
+    out, todo = [], [("", root)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, list):
+            todo += [(f"{path}[{i}]", v) for i, v in enumerate(x) if isinstance(v, (dict, list))][::-1]
+            continue
+        first, below = ["", "", ""], []
+        for k, v in x.items():
+            which = _GROUP_OF.get(k.lower())
+            if which is not None and not first[which]:
+                first[which] = _shown(v)
+            if isinstance(v, (dict, list)):
+                below.append((f"{path}.{k}" if path else k, v))
+        todo += below[::-1]
+        i, label, span = first
+        if i or label or span:
+            out.append((i, label or span or i, span or label or i, path))
+    return out
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of each text that is JSON for Python and shown by it as by the JVM, so without floats; else none, and the text."""
+    decoder, kept = json.JSONDecoder(parse_float=_other, parse_constant=_other), sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(1000)  # the JVM's parser reads no longer ones
+    try:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(lo, _TEXTS)
+                left, found, at = [], [], [0]
+                for t in part.column("_s").to_pylist():
+                    rest = None
+                    if t and t[0] in "{[(":
+                        try:
+                            if _HALF_PAIR.search(t):
+                                raise _Other
+                            found += _walked(decoder.decode(t))
+                        except (_Other, ValueError, RecursionError):
+                            rest = t
+                    left.append(rest)
+                    at.append(len(found))
+                columns = [pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else [[]] * 4)]
+                fields = [*columns[:3], pa.array(["json_object"] * len(found), pa.string()), columns[3]]
+                units = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, ["source_element_id", "label", "span", "method", "path"]))
+                keep = part.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(left, pa.string()), units], [*keep, "_s", "units"])
+    finally:
+        sys.set_int_max_str_digits(kept)
+
+
+def units_beside(df: DataFrame, raw: Column, *keep: str) -> DataFrame:
+    """The columns to keep and units, for each row whose text has some: node-like objects of JSON or of a Python literal at any depth, in
+    document order. A text is read in one pass where it is; only those that Python cannot show as the JVM does are walked level by level."""
+    given = df.select(*keep, F.trim(raw).alias("_s"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
+    read = stored(given.mapInArrow(_read_whole, f"{kinds}, units array<{_UNIT}>"), "units")
+    whole, other = read.filter(F.size("units") > 0).select(*keep, "units"), read.filter("_s IS NOT NULL").select(*keep, "_s")
+    if other.isEmpty():
+        return whole
+    walked = _level_units(other, F.col("_s")).select(F.col("id").alias("_id"), "units")
+    return whole.union(other.join(walked, walks.text_id(F.col("_s")) == F.col("_id")).select(*keep, "units"))
 
 
 def json_units(df: DataFrame, raw: Column) -> DataFrame:
-    """id (of the text), units: node-like objects of JSON or of a Python literal at any depth, in document order."""
+    """id (of the text), units: those of :func:`units_beside` for each text once."""
+    texts = df.select(once(F.trim(raw)).alias("_t")).filter(F.substring("_t", 1, 1).isin("{", "[", "(")).distinct()
+    return units_beside(texts.select(walks.text_id(F.col("_t")).alias("id"), "_t"), F.col("_t"), "id")
+
+
+def _level_units(df: DataFrame, raw: Column) -> DataFrame:
     objects = walks.containers(walks.texts_of(df, raw)).filter("kind = 'OBJECT'")
     read = objects.select("id", "place", "path", once(F.struct(*(walks.first_of(F.col("members"), keys).alias(n) for n, keys in (("i", ID_KEYS), ("l", LABEL_KEYS), ("s", TEXT_KEYS))))).alias("u"))
     i, label, span = F.col("u.i"), F.col("u.l"), F.col("u.s")

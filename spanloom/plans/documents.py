@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import diagnostics, evidence, walks
+from spanloom.operators import diagnostics, evidence
 from spanloom.plans import fixtures as fx
 from spanloom.plans.catalog import query
-from spanloom.session import stored, table
+from spanloom.session import table
 
 _LINES = "li AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS status, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus) - 1 AS j FROM lineitem)"
 
@@ -30,9 +30,8 @@ def e_json_walk(spark, sf_dir):
     o = _orders(spark, sf_dir, line)
     one = F.struct("o_orderkey", F.struct(F.lit(True).alias("open"), F.col("o_orderkey").alias("id"), "lines").alias("o"))
     c = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]).alias("orders"))
-    docs = stored(c.select("o_custkey", F.to_json(F.struct(F.concat(F.lit("customer "), "o_custkey").alias("name"), "orders")).alias("raw")), "docs")
-    units = evidence.json_units(docs, F.col("raw"))
-    found = docs.join(units, walks.text_id(F.col("raw")) == F.col("id")).select(F.col("o_custkey").alias("c"), F.explode("units").alias("u"))
+    raw = F.to_json(F.struct(F.concat(F.lit("customer "), "o_custkey").alias("name"), "orders"))
+    found = evidence.units_beside(c, raw, "o_custkey").select(F.col("o_custkey").alias("c"), F.explode("units").alias("u"))
     return found.select("c", "u.path", F.col("u.source_element_id").alias("id"), "u.label", "u.span").withColumn("span", F.when(F.col("id").startswith("E"), F.col("id")).otherwise(F.col("span")))
 
 

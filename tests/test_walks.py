@@ -121,3 +121,19 @@ def test_texts_are_made_once(spark):
 
         df = spark.createDataFrame([(i, '{"not_covered": ["x", %d], "union_element_id": "E"}' % i) for i in range(12)], "k long, raw string")
         assert walk(df, made("raw")).count() == 12 and calls.value == 12, calls.value
+
+
+def test_plain_json_is_read_in_one_pass(spark, monkeypatch):
+    """Texts that Python shows as the JVM does never reach the level walk; floats, escapes, rests and literals do, with the same units."""
+    walked, level = [], evidence._level_units
+    monkeypatch.setattr(evidence, "_level_units", lambda df, raw: walked.append(df.count()) or level(df, raw))
+    plain = ['{"": [{"id": " a ", "Label": null, "parts": {"text": ["x", {"Name": true}], "code": -0}}], "b": {"span": "\u00e9 \\"q\\" \\n"}}', '[{"id": "x", "id": "y"}, [], {"\u212aey": 1, "name": ""}]', "{}", "no json", "", None]
+    odd = ['{"id": 1e9, "text": [0.00001, 12345678.5]}', '{"label": ["\\u001f"]}', '{"id": "\\ud800"}', '{"id": "a"} and more', "('x', {'id': None, 'name': 'n'})", '{"id": ' + "9" * 1200 + "}"]
+    every = [*plain, *odd]
+    df = spark.createDataFrame(list(enumerate(every)), "k long, raw string")
+    got = {r["k"]: [tuple(u) for u in r["units"]] for r in evidence.units_beside(df, F.col("raw"), "k").collect()}
+    assert walked == [len(odd)]
+    wanted = df.join(level(df, F.col("raw")), walks.text_id(F.col("raw")) == F.col("id")).collect()
+    assert got == {r["k"]: [tuple(u) for u in r["units"]] for r in wanted} and len(got[0]) == 4 and len(got) >= 5
+    walked.clear()
+    assert evidence.units_beside(df.filter(F.col("k") < len(plain)), F.col("raw"), "k").count() == 2 and not walked
